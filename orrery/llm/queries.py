@@ -6,10 +6,12 @@ from orrery.llm.packing import op2_best_fit_packing
 from orrery.llm.sharding import op1_sharding
 from orrery.llm.simhash import op8_simhash_near_dedup
 from orrery.llm.tokenfile import op10_token_output
+from orrery.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_token_output": op10_token_output,
 }
