@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from orrery.llm.chat import OP6_SQL, op6_chat_formatting
+from orrery.llm.decontaminate import op3_decontamination
 from orrery.llm.packing import op2_best_fit_packing
+from orrery.llm.secretscan import op7_secret_scans
 from orrery.llm.sharding import op1_sharding
 from orrery.llm.simhash import op8_simhash_near_dedup
 from orrery.llm.tokenfile import op10_token_output
@@ -11,9 +14,14 @@ from orrery.llm.toxicity import op5_toxicity
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_decontamination": op3_decontamination,
     "op5_toxicity": op5_toxicity,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_secret_scans": op7_secret_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_token_output": op10_token_output,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat_formatting": OP6_SQL,
+}

@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 1. Learn. In labelled documents, count for hashed word features (a word, and its
-   first 5, 6 and 7 letters) the toxic and other documents that hold them. The
+   first 4 to 8 letters) the toxic and other documents that hold them. The
    log-odds under an informative Dirichlet prior, shrunk by their standard error,
    make a table of fixed size.
 2. Scan. Each word's score is its best feature's log-odds less a drift, so neutral
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from orrery.llm.common import materialise, table, whole_text
 
 BUCKETS = 1 << 18
-STEMS = (5, 6, 7)
+STEMS = (4, 5, 6, 7, 8)
 #: Prior weight in documents; errors to shrink by; cost of a neutral word.
-PRIOR, SHRINK, DRIFT = 10.0, 2.0, 0.15
+PRIOR, SHRINK, DRIFT = 10.0, 1.5, 0.15
 THRESHOLD = 0.3
 SIGNIFICANT = 0.001
 _WORD = re.compile(r"\w+")
