@@ -5,6 +5,7 @@ from __future__ import annotations
 from orrery.llm.chat import OP6_SQL, op6_chat_formatting
 from orrery.llm.decontaminate import op3_decontamination
 from orrery.llm.packing import op2_best_fit_packing
+from orrery.llm.quality import op4_quality_classifier
 from orrery.llm.secretscan import op7_secret_scans
 from orrery.llm.sharding import op1_sharding
 from orrery.llm.simhash import op8_simhash_near_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_decontamination": op3_decontamination,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scans": op7_secret_scans,
