@@ -1,18 +1,58 @@
-"""A training-data pipeline of the operators in ``orrery.llm``."""
+"""A training-data pipeline of the operators in ``orrery.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; ``run`` writes
+every stage's result and reads it again before the next.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm.common import materialise, table
+from orrery.llm.decontaminate import decontaminate
+from orrery.llm.packing import pack_documents
+from orrery.llm.secretscan import redact
 from orrery.llm.simhash import deduplicate
+from orrery.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that are predicted toxic."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of each group of near-duplicates."""
     return deduplicate(docs)
 
 
-STAGES = [("near-duplicates", drop_near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a benchmark item."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep every document, with secrets replaced in its text."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokenise what is left and pack it; one row per piece."""
+    import public_tokenizers
+
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash-near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("secret-scans", secret_scan),
+    ("best-fit-packing", packing),
+]
+
+#: Learnt scores, random walks and token ids are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
