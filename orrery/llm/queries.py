@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from orrery.llm.chat import OP6_SQL, op6_chat_formatting
 from orrery.llm.decontaminate import op3_decontamination
+from orrery.llm.media import op9_media_columns
 from orrery.llm.packing import op2_best_fit_packing
 from orrery.llm.quality import op4_quality_classifier
 from orrery.llm.secretscan import op7_secret_scans
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op7_secret_scans": op7_secret_scans,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
 }
 
