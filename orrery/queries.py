@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from orrery.plans import relations
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (relations,)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "qa_battery"
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
+FLAGSHIP = "graph_edges"
