@@ -1,11 +1,11 @@
-"""Contact predicates of a box with a plane rectangle, as struct columns."""
+"""Contact predicates of a box with a plane rectangle, as columns."""
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
@@ -34,26 +34,43 @@ WALL = Contact(penetration=0.02)
 WALL_LOOSE = Contact(contact=0.12, penetration=0.02)
 
 
-def _clauses(capable: Column, name: str, box: str, surface: str, limits: Contact, gap: Column, margin: Column) -> Column:
-    side, plane_gap = g.centroid_to_plane(box, surface), g.in_plane_gap(box, surface)
+def measured(pairs: DataFrame, box: str = "e", surface: str = "s") -> DataFrame:
+    """``pairs`` with ``side``, ``gap``, ``plane_gap`` and ``lean``: each measure is worked out once."""
+    return pairs.withColumns({"side": g.centroid_to_plane(box, surface), "gap": g.corner_range(box, surface)[0], "plane_gap": g.in_plane_gap(box, surface), "lean": g.col(surface, "c")})
+
+
+def verdict(rows: DataFrame, limits: Contact, wall: bool) -> DataFrame:
+    """``rows`` of :func:`measured` with ``ok``, ``failed`` (clauses in order) and ``margin``.
+
+    Wall contact asks for an upright surface, rest contact for a level one; both ask
+    for the inner side, a gap within the band, and an overlap with the rectangle.
+    """
+    if wall:
+        most = math.sin(math.radians(limits.tilt))
+        name, capable, level = "wall_capable", F.abs("lean") <= most, (most - F.abs("lean")) / most
+    else:
+        least = math.cos(math.radians(limits.tilt))
+        name, capable, level = "support_capable", F.col("lean") >= least, (F.col("lean") - least) / (1 - least)
+    gap = F.col("gap")
     touching = (gap >= -limits.penetration) & (gap <= limits.contact)
-    clauses = [(name, capable), ("centroid_on_support_side", side >= 0), ("contact", touching), ("footprint_ok", plane_gap <= limits.footprint)]
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(label)) for label, ok in clauses]))
+    clauses = [(name, capable), ("centroid_on_support_side", F.col("side") >= 0), ("contact", touching), ("footprint_ok", F.col("plane_gap") <= limits.footprint)]
     scale = limits.contact or 1.0
-    over = F.when(plane_gap <= 0, math.inf).otherwise((limits.footprint - plane_gap) / scale)
-    whole = F.least(margin, side / scale, g.band_margin(gap, -limits.penetration, limits.contact), over)
-    return F.struct((F.size(failed) == 0).alias("ok"), failed.alias("failed"), side.alias("side"), gap.alias("gap"), plane_gap.alias("plane_gap"), whole.alias("margin"))
+    over = F.when(F.col("plane_gap") <= 0, math.inf).otherwise((limits.footprint - F.col("plane_gap")) / scale)
+    ok = clauses[0][1]
+    for _, clause in clauses[1:]:
+        ok = ok & clause
+    return rows.withColumns({
+        "ok": ok,
+        "failed": F.array_compact(F.array(*[F.when(~clause, F.lit(label)) for label, clause in clauses])),
+        "margin": F.least(level, F.col("side") / scale, g.band_margin(gap, -limits.penetration, limits.contact), over),
+    })
 
 
-def rest_contact(box: str, surface: str, limits: Contact = REST) -> Column:
-    """Whether a box rests on a level surface: ``{ok, failed, side, gap, plane_gap, margin}``."""
-    upright, least = g.col(surface, "c"), math.cos(math.radians(limits.tilt))
-    gap = g.corner_range(box, surface)[0]
-    return _clauses(upright >= least, "support_capable", box, surface, limits, gap, (upright - least) / (1 - least))
+def rest_contact(pairs: DataFrame, limits: Contact = REST) -> DataFrame:
+    """Whether ``e`` rests on the level surface ``s``."""
+    return verdict(measured(pairs), limits, wall=False)
 
 
-def wall_contact(box: str, surface: str, limits: Contact = WALL) -> Column:
-    """Whether a box touches an upright surface from its inner side."""
-    lean, most = F.abs(g.col(surface, "c")), math.sin(math.radians(limits.tilt))
-    gap = g.corner_range(box, surface)[0]
-    return _clauses(lean <= most, "wall_capable", box, surface, limits, gap, (most - lean) / most)
+def wall_contact(pairs: DataFrame, limits: Contact = WALL) -> DataFrame:
+    """Whether ``e`` touches the upright surface ``s`` from its inner side."""
+    return verdict(measured(pairs), limits, wall=True)

@@ -91,17 +91,17 @@ def near_surface(entities: DataFrame, surfaces: DataFrame, polygons: bool = Fals
     return _edge(pairs, F.col("e.uid"), F.lit("NEAR_SURFACE"), F.col("s.surface"), F.col("d"), g.ratio_margin(F.col("d"), F.col("limit")))
 
 
-def _tested(pairs: DataFrame, test: Column, kind: str, dst: str) -> DataFrame:
-    return pairs.withColumn("t", test).select("scene_id", F.col("e.uid").alias("src"), F.lit(kind).alias("type"), F.col(dst).alias("dst"), F.col("t.gap").alias("metric"), F.col("t.margin").alias("margin"), F.col("t.ok").alias("ok"), F.col("t.failed").alias("failed"))
+def _tested(tests: DataFrame, kind: str, dst: str) -> DataFrame:
+    return tests.select("scene_id", F.col("e.uid").alias("src"), F.lit(kind).alias("type"), F.col(dst).alias("dst"), F.col("gap").alias("metric"), "margin", "ok", "failed")
 
 
 def on_surface_tests(entities: DataFrame, surfaces: DataFrame, limits: c.Contact = c.REST) -> DataFrame:
     """Every entity against every surface, with the verdict and the failed clauses in order."""
-    return _tested(with_surfaces(entities, surfaces), c.rest_contact("e", "s", limits), "ON_SURFACE", "s.surface")
+    return _tested(c.rest_contact(with_surfaces(entities, surfaces), limits), "ON_SURFACE", "s.surface")
 
 
 def contacts_surface_tests(entities: DataFrame, surfaces: DataFrame, limits: c.Contact = c.WALL) -> DataFrame:
-    return _tested(with_surfaces(entities, surfaces, ["wall"]), c.wall_contact("e", "s", limits), "CONTACTS_SURFACE", "s.surface")
+    return _tested(c.wall_contact(with_surfaces(entities, surfaces, ["wall"]), limits), "CONTACTS_SURFACE", "s.surface")
 
 
 def edges_of(tests: DataFrame) -> DataFrame:
@@ -133,9 +133,9 @@ def attached_to_v2(entities: DataFrame, surfaces: DataFrame, cfg: AttachedV2 = A
     """ATTACHED_TO, second form: loose wall contact, shallow, and clear of the first floor or thin; says which."""
     level = surfaces.where("surface_type = 'floor'").groupBy("scene_id").agg(F.min(F.struct("surface", "z0")).alias("f")).select("scene_id", F.col("f.z0").alias("floor_z"))
     low, high = g.corner_range("e", "s")
-    tested = with_surfaces(entities, surfaces, ["wall"]).withColumn("t", c.wall_contact("e", "s", c.WALL_LOOSE)).withColumn("depth", high - low)
-    touching = tested.where(F.col("t.ok") & (F.col("depth") <= cfg.depth)).select(
-        "scene_id", F.col("e.uid").alias("src"), F.lit("ATTACHED_TO").alias("type"), F.col("s.surface").alias("dst"), F.col("depth").alias("metric"), F.col("t.margin").alias("margin"), F.col("e.z0").alias("bottom"))
+    tested = c.wall_contact(with_surfaces(entities, surfaces, ["wall"]).withColumn("depth", high - low), c.WALL_LOOSE)
+    touching = tested.where(F.col("ok") & (F.col("depth") <= cfg.depth)).select(
+        "scene_id", F.col("e.uid").alias("src"), F.lit("ATTACHED_TO").alias("type"), F.col("s.surface").alias("dst"), F.col("depth").alias("metric"), "margin", F.col("e.z0").alias("bottom"))
     clear = F.coalesce(F.col("bottom") - F.col("floor_z") >= cfg.clearance, F.lit(False))
     placed = touching.join(level, "scene_id", "left").withColumn("disjunct", F.when(clear, "clear").otherwise("thin"))
     return placed.where((F.col("disjunct") == "clear") | (F.col("metric") <= cfg.thin)).select(*EDGE, "disjunct")
@@ -154,7 +154,7 @@ def on_entity_surface_tests(entities: DataFrame, classes: tuple[str, ...], limit
     """Entities that carry nothing themselves against the tops of others in their scene."""
     movable = entities.where(~F.col("cls").isin(*classes))
     pairs = with_surfaces(movable, tops(entities, classes)).where(F.col("e.uid") != F.col("s.owner"))
-    return _tested(pairs, c.rest_contact("e", "s", limits), "ON_ENTITY_SURFACE", "s.owner")
+    return _tested(c.rest_contact(pairs, limits), "ON_ENTITY_SURFACE", "s.owner")
 
 
 def on_entity_surface_v2(entities: DataFrame, surfaces: DataFrame, classes: tuple[str, ...], most_area: float = 0.5) -> DataFrame:

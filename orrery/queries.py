@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from orrery.plans import relations
+from orrery.plans import questions, relations
 
-_MODULES = (relations,)
+_MODULES = (relations, questions)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
-FLAGSHIP = "graph_edges"
+FLAGSHIP = "qa_battery"
