@@ -3,28 +3,66 @@
 A text's ids are the ids of its space-delimited chunks, one after the other, as
 these tokenizers never merge across a space. So each batch of texts is split and
 dictionary-encoded by Arrow, every distinct chunk is encoded once by the
-tokenizers library (and remembered, up to a limit), and the ids are gathered by
-numpy. Where a byte-level tokenizer looks around white space (a space at either
+tokenizers library (and remembered, up to a limit; a chunk of letters and marks is
+put together from its pieces, so "word," costs nothing after "word"), and the ids
+are gathered by numpy. Where a byte-level tokenizer looks around white space (a space at either
 end of the text, or next to other white space) the text is encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
 #: Fixed value: white space of Unicode and of ASCII's separators.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Beyond these characters a chunk is not cut into pieces here.
+_RARE = re.compile(r"[^\x21-\x7e\xa1-\u024f \n\t]")
 _UNEVEN = rf"(^ )|( $)|({_SPACE} )|( {_SPACE})"
+#: What the two kinds of tokenizer cut a text into before they merge.
+_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END_ID = 2
 _CACHE: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
+class Memo[V]:
+    """What was worked out for strings, in two generations of at most ``limit`` entries (and a batch) each.
+
+    When the young one is full it becomes the old one; what is asked for again
+    moves back. So frequent strings stay, and memory is bounded.
+    """
+
+    def __init__(self, limit: int = 400_000) -> None:
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def all(self, keys: list[str], make: Callable[[list[str]], list[V]]) -> list[V]:
+        """The values of ``keys``; ``make`` works out those that are not known."""
+        young, old = self.young, self.old
+        found = [young.get(k) for k in keys]
+        fresh = []
+        for i, value in enumerate(found):
+            if value is None:
+                known = old.get(keys[i])
+                if known is None:
+                    fresh.append(i)
+                else:
+                    found[i] = young[keys[i]] = known
+        if fresh:
+            for i, value in zip(fresh, make([keys[i] for i in fresh]), strict=True):
+                found[i] = young[keys[i]] = value
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
+        return found
+
+
 class ChunkEncoder:
     """Encodes batches of texts with a tokenizer file.
 
@@ -32,28 +70,35 @@ class ChunkEncoder:
     tokenizers do; otherwise the tokenizer drops white space.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 400_000) -> None:
+    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_space, self.limit = keeps_space, limit
-        self.known: dict[str, bytes] = {}
+        self.keeps_space = keeps_space
+        self.known: Memo[bytes] = Memo(limit)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        out = []
+        for at in range(0, len(texts), 4096):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
+            out += [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, self._whole(part), strict=True))
-        return [known[x] for x in chunks]
+        cut = [self._pieces(x) for x in chunks]
+        names = list(dict.fromkeys(p for x in cut for p in (x if type(x) is list else (x,))))
+        ids = dict(zip(names, self.known.all(names, self._whole), strict=True))
+        return [b"".join([ids[p] for p in x]) if type(x) is list else ids[x] for x in cut]
+
+    def _pieces(self, chunk: str) -> str | list[str]:
+        """What the tokenizer would cut the chunk into, or the chunk itself."""
+        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
+            return chunk.lower() if not self.keeps_space and not _RARE.search(chunk) else chunk
+        if _RARE.search(chunk):
+            return chunk
+        return _BYTE_PIECES.findall(chunk) if self.keeps_space else _WORD_PIECES.findall(chunk.lower())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the count of each text."""
