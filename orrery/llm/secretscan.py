@@ -112,16 +112,16 @@ def _base_spans(text: Column, rank: int, pattern: str, group: int, least: int) -
     return F.transform(kept, lambda x: _span(x["start"], x["end"], rank))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, out: str = "secrets") -> DataFrame:
     """``docs`` with ``secrets``: ``[{start, rank, end}]`` by start, then kind (rank in KINDS).
 
-    A null text has none. All rows and columns stay; a column named ``secrets`` is replaced.
+    A null text has none. All rows and columns stay; a column of the name ``out`` is replaced.
     """
     text = whole_text()
     spans = []
     for rank, (_, pattern, group, least) in enumerate(PATTERNS):
         spans.append(_base_spans(text, rank, pattern, group, least))
-    return docs.withColumn("secrets", F.array_sort(F.concat(*spans, _entropy_spans(text))))
+    return docs.withColumn(out, F.array_sort(F.concat(*spans, _entropy_spans(text))))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -139,10 +139,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     rest = lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(text)
-    done = scan(docs).withColumn("text", clean)
+    clean = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", start, step, rest)).otherwise(text)
+    done = scan(docs, "__secrets").withColumn("text", clean)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
