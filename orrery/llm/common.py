@@ -61,3 +61,13 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bucket
     ranked = df.withColumn("__place", F.row_number().over(inside) - 1)
     joined = ranked.join(starts, [*group, "__bucket"])
     return joined.withColumn(out, (F.col("__start") + F.col("__place")).cast("long")).drop("__bucket", "__start", "__place")
+
+
+def least_hashed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those of the least hashes of ``key``: a bounded sample.
+
+    The hashes alone are sorted, so no more than the sample's rows travel.
+    """
+    hashed = F.xxhash64(key)
+    cut = df.select(hashed.alias("h")).orderBy("h").limit(rows).agg(F.max("h").alias("h")).first()["h"]
+    return df.where(hashed <= F.lit(cut if cut is not None else 0)).limit(rows)

@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table, whole_text
+from orrery.llm.common import least_hashed, table, whole_text
+from orrery.llm.tokens import Memo
 from orrery.llm.toxicity import _chunks, _slices, held_out
 
 BUCKETS = 1 << 16
@@ -52,13 +53,8 @@ def _form(codes: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> np.nd
     return np.stack([np.add.reduceat(same, first) / per_text, distinct / per_text, np.minimum(mean, 40) / 10, np.log1p(per_text) / 10], 1)
 
 
-def _known(chunks: list[str], known: dict[str, tuple[int, int, int]], limit: int = 400_000) -> np.ndarray:
-    if len(known) > limit:
-        known.clear()
-    for x in chunks:
-        if x not in known:
-            known[x] = chunk_features(x)
-    return np.array([known[x] for x in chunks], np.int64).reshape(-1, 3)
+def _known(chunks: list[str], known: Memo[tuple[int, int, int]]) -> np.ndarray:
+    return np.array(known.all(chunks, lambda new: [chunk_features(x) for x in new]), np.int64).reshape(-1, 3)
 
 
 @dataclass
@@ -115,7 +111,7 @@ def sample_features(labelled: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndar
     """Features and grades of at most TRAIN_ROWS labelled documents, least hash first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, int]] = {}
+        known: Memo[tuple[int, int, int]] = Memo()
         for batch in batches:
             for part in _slices(batch, 0):
                 codes, chunks, per_text = _chunks(part.column(0))
@@ -129,7 +125,7 @@ def sample_features(labelled: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndar
                     values.append(np.concatenate([c / n, form[r]]))
                 yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), part.column(1)], names=["places", "values", "grade"])
 
-    chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS)
+    chosen = least_hashed(labelled, "doc_id", TRAIN_ROWS)
     found = chosen.select("text", "grade").mapInArrow(run, "places array<int>, values array<double>, grade int").toArrow()
     rows = [(np.array(a.as_py()), np.array(b.as_py())) for a, b in zip(found["places"], found["values"], strict=True)]
     return rows, found["grade"].to_pylist()
@@ -138,7 +134,7 @@ def sample_features(labelled: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndar
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, expected_grade, tails``: tails[i] is P(grade >= the model's level i + 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict[str, tuple[int, int, int]] = {}
+    known: Memo[tuple[int, int, int]] = Memo()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
