@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, table, whole_text
+from orrery.llm.common import least_hashed, materialise, table, whole_text
 from orrery.llm.tokens import crc32, pieces_of
 
 MAGIC = b"OTB1"
@@ -44,8 +44,7 @@ def train_dictionary(docs: DataFrame, path: str, keeps_space: bool, width: int)
 
     Empty (frames without a dictionary) where the sample is too small to train on.
     """
-    text = whole_text()
-    sample = docs.select(F.xxhash64("doc_id", text).alias("h"), text.alias("text")).orderBy("h").limit(TRAIN_DOCS)
+    sample = least_hashed(docs.select("doc_id", whole_text().alias("text")), "doc_id", TRAIN_DOCS)
     texts = pa.array([r["text"] for r in sample.collect()], pa.string())
     if not len(texts):
         return b""
@@ -118,12 +117,12 @@ def write_token_file(docs: DataFrame, path: str, keeps_space: bool, dictionary:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         arrays: list[np.ndarray] = []
+        held = 0
 
         def close() -> pa.RecordBatch:
             payload = write_block(names, arrays, before, dictionary, width)
-            n = sum(map(len, arrays))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([names[-1]], pa.int64()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names[0]], pa.int64()), pa.array([names[-1]], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())],
                 names=["part", "block", "first_doc", "last_doc", "n_ids", "payload"],
             )
 
@@ -132,9 +131,10 @@ def write_token_file(docs: DataFrame, path: str, keeps_space: bool, dictionary:
             for doc, a, b in zip(batch.column(0).to_pylist(), ends - counts, ends, strict=True):
                 names.append(doc)
                 arrays.append(ids[a:b])
-                if len(names) == BLOCK_DOCS or sum(map(len, arrays)) >= BLOCK_IDS:
+                held += int(b - a)
+                if len(names) == BLOCK_DOCS or held >= BLOCK_IDS:
                     yield close()
-                    block, before = block + 1, before + sum(map(len, arrays))
+                    block, before, held = block + 1, before + held, 0
                     names, arrays = [], []
         if names:
             yield close()
