@@ -40,25 +40,23 @@ def compile_questions(questions: DataFrame, extra_on: dict[str, str] | None = No
     else) or ``parser_failure``. Surface patterns are tried first; "near" something
     other than the wall falls through to the generic ones.
     """
-    q = F.regexp_replace(F.lower(F.trim("question")), r"\s+", " ")
-    noun = lambda pattern: F.trim(F.regexp_replace(F.regexp_extract("q", pattern, 1), r"[.?!]+$", ""))
+    patterns = [ON, ATTACHED, AGAINST, *[p for p, _ in GENERIC]]
+    kinds = [None, "ATTACHED_TO", "CONTACTS_SURFACE", *[k for _, k in GENERIC]]
     classes = {**ON_CLASSES, **(extra_on or {})}
-    table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
-    named = table[noun(ON)]
-
-    def parts(kind: str | None, anchor_kind: str | None, anchor: Column | str | None, state: str) -> Column:
-        text = F.lit(anchor) if anchor is None or isinstance(anchor, str) else anchor
-        return F.struct(F.lit(kind).cast("string").alias("edge_type"), F.lit(anchor_kind).cast("string").alias("anchor_kind"), text.cast("string").alias("anchor"), F.lit(state).alias("compiled"))
-
-    out = parts(None, None, None, "out_of_schema")
-    rule = F.when(F.col("q").rlike(ON), F.when(noun(ON) == "floor", parts("SUPPORTS", "surface", "floor", "compiled")).when(named.isNotNull(), parts("SUPPORTS", "class", named, "compiled")).otherwise(out))
-    for pattern, kind in ((ATTACHED, "ATTACHED_TO"), (AGAINST, "CONTACTS_SURFACE")):
-        rule = rule.when(F.col("q").rlike(pattern), F.when(noun(pattern) == "wall", parts(kind, "surface", "wall", "compiled")).otherwise(out))
-    rule = rule.when(F.col("q").rlike(NEAR) & (noun(NEAR) == "wall"), parts("NEAR_SURFACE", "surface", "wall", "compiled"))
-    for pattern, kind in GENERIC:
-        rule = rule.when(F.col("q").rlike(pattern), parts(kind, "entity", noun(pattern), "compiled"))
-    rule = rule.otherwise(parts(None, None, None, "parser_failure"))
-    return questions.withColumn("q", q).withColumn("rule", rule).select(*questions.columns, "rule.edge_type", "rule.anchor_kind", "rule.anchor", "rule.compiled")
+    literal = lambda values: F.array(*[F.lit(v).cast("string") for v in values])
+    rule, noun = F.col("__rule"), F.col("__noun")
+    # which pattern holds, then one extraction with it, then what its noun makes of it
+    found = questions.withColumn("__q", F.regexp_replace(F.lower(F.trim("question")), r"\s+", " "))
+    found = found.withColumn("__rule", F.coalesce(*[F.when(F.col("__q").rlike(p), F.lit(i)) for i, p in enumerate(patterns)]))
+    found = found.withColumn("__noun", F.trim(F.regexp_replace(F.call_function("regexp_extract", F.col("__q"), F.get(literal(patterns), rule), F.lit(1)), r"[.?!]+$", "")))
+    named = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])[noun]
+    wall, near = noun == "wall", patterns.index(NEAR)
+    kind = F.when(rule == 0, F.when((noun == "floor") | named.isNotNull(), "SUPPORTS")).when(rule < 3, F.when(wall, F.get(literal(kinds), rule))).when((rule == near) & wall, "NEAR_SURFACE").otherwise(F.get(literal(kinds), rule))
+    place = F.when(rule == 0, F.when(noun == "floor", "surface").otherwise("class")).when((rule < 3) | ((rule == near) & wall), "surface").otherwise("entity")
+    anchor = F.when((rule == 0) & (noun != "floor"), named).otherwise(noun)
+    known = found.withColumn("edge_type", kind).withColumn("compiled", F.when(rule.isNull(), "parser_failure").when(F.col("edge_type").isNull(), "out_of_schema").otherwise("compiled"))
+    if_known = lambda c: F.when(F.col("compiled") == "compiled", c)
+    return known.select(*questions.columns, "edge_type", if_known(place).alias("anchor_kind"), if_known(anchor).alias("anchor"), "compiled")
 
 
 def logical_edges(edges: DataFrame) -> DataFrame:
@@ -85,15 +83,14 @@ def anchors(entities: DataFrame, surfaces: DataFrame) -> DataFrame:
     return named.select("scene_id", "k.anchor_kind", "k.anchor", "ref").unionByName(kinds)
 
 
-def answer(questions: DataFrame, entities: DataFrame, surfaces: DataFrame, edges: DataFrame, recall: float = 1.0, threshold: float = 0.95, tau: float = 0.0, aggregate: str = "min") -> DataFrame:
+def answer(compiled: DataFrame, entities: DataFrame, surfaces: DataFrame, edges: DataFrame, recall: float = 1.0, threshold: float = 0.95, tau: float = 0.0, aggregate: str = "min") -> DataFrame:
     """Every question of every scene: ``scene_id, question, outcome, n, answers, cited, confidence, text``.
 
-    questions: ``scene_id, question``. An answer is bound once however many anchors or
+    compiled: compiled questions with ``scene_id``. An answer is bound once however many anchors or
     edges give it (the edge of least id is cited). Without bindings the outcome is
     ``empty`` if the extractors' recall reaches the threshold, else ``unknown``. Scores
     below ``tau`` turn bindings and empties into ``unknown``. aggregate: min, mean or product.
     """
-    compiled = compile_questions(questions)
     asked = compiled.where("compiled = 'compiled'")
     seen = edges.withColumn("confidence", g.margin_confidence(F.col("margin")))
     hits = (

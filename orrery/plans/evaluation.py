@@ -124,3 +124,12 @@ def label_topk(spark: SparkSession, sf: str) -> DataFrame:
     order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "cls")
     ranked = pairs.select("vec_id", "cls", cosine.alias("cosine")).withColumn("rank", F.row_number().over(order).cast("long"))
     return ranked.where("rank <= 3").select("vec_id", "cls", F.round("cosine", 5).alias("cosine"), "rank")
+
+
+@_query("WITH o AS (SELECT user_id AS entity, least(greatest(value / 100, 0e0), 1e0) AS score FROM events) SELECT entity, round(sum(score), 6) AS support, round(sum(1 - score), 6) AS against, count(*) AS n, round((sum(score) + 1) / (count(*) + 2), 4) AS belief FROM o GROUP BY 1")
+def evidence_mass(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming accumulator's aggregate, over the whole table as a batch."""
+    from orrery.streaming.evidence import evidence
+
+    seen = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("entity"), F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return evidence(seen).select("entity", F.round("support", 6).alias("support"), F.round("against", 6).alias("against"), "n", F.round("belief", 4).alias("belief"))

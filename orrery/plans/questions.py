@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.operators import reasoner as q
 from orrery.plans import relations as rel
 from orrery.plans.scene import CLASSES, entities, surfaces
+from orrery.sources.tables import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -16,9 +17,10 @@ ODD = ("Where is it?", "what is on the ceiling?", "what is attached to the lamp"
 
 
 def asked(spark: SparkSession, sf: str, texts: tuple[str, ...]) -> DataFrame:
-    """Every question in every scene."""
+    """Every question, compiled once, in every scene; the texts are literals and broadcast."""
     scenes = surfaces(spark, sf).select("scene_id").distinct()
-    return scenes.crossJoin(F.broadcast(spark.createDataFrame([(t,) for t in texts], "question string")))
+    compiled = settled(q.compile_questions(spark.createDataFrame([(t,) for t in texts], "question string")), "questions")
+    return scenes.crossJoin(F.broadcast(compiled))
 
 
 def _values(texts: tuple[str, ...]) -> str:
@@ -83,7 +85,8 @@ def answers_sql(texts: tuple[str, ...], recall: float = 1.0, tau: float = 0.0, s
 
 
 def answers(spark: SparkSession, sf: str, texts: tuple[str, ...], **options) -> DataFrame:
-    return q.answer(asked(spark, sf, texts), entities(spark, sf), surfaces(spark, sf), rel.stored_edges(spark, sf), **options)
+    e, s = settled(entities(spark, sf), "entities"), surfaces(spark, sf)
+    return q.answer(asked(spark, sf, texts), e, s, settled(rel.edges_between(e, s), "edges"), **options)
 
 
 def _query(sql: str | None = None):
@@ -98,7 +101,7 @@ def _query(sql: str | None = None):
 
 @_query(f"WITH {rel.PRELUDE}, {compiled_sql(q.BATTERY + DIRECTIONAL + ODD)} SELECT * FROM rules")
 def compile_questions(spark: SparkSession, sf: str) -> DataFrame:
-    return q.compile_questions(asked(spark, sf, q.BATTERY + DIRECTIONAL + ODD))
+    return asked(spark, sf, q.BATTERY + DIRECTIONAL + ODD)
 
 
 @_query(f"WITH {answers_sql(q.BATTERY)} SELECT * FROM answers")

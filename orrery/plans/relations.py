@@ -9,6 +9,7 @@ from orrery.functions import contact as c
 from orrery.functions import geometry as g
 from orrery.operators import relations as r
 from orrery.plans.scene import PRELUDE, SUPPORT, entities, surfaces
+from orrery.sources.tables import settled
 
 _SUPPORT_SQL = ", ".join(f"'{x}'" for x in SUPPORT)
 
@@ -178,8 +179,11 @@ def rejection_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The graph's edges: six relations, each with its extractor's id."""
-    e, s = entities(spark, sf), surfaces(spark, sf)
+    """The graph's edges: seven extractors, each edge with its id. Entities are derived once and settled."""
+    return edges_between(settled(entities(spark, sf), "entities"), surfaces(spark, sf))
+
+
+def edges_between(e: DataFrame, s: DataFrame) -> DataFrame:
     parts = {
         "directional": r.directional_sparse(e),
         "proximity": r.near(e, boxes=True),

@@ -10,6 +10,7 @@ from orrery.operators import legacy, mesh
 from orrery.operators import relations as r
 from orrery.plans import relations as rel
 from orrery.plans.scene import CLASSES, PRELUDE, entities
+from orrery.sources.tables import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +28,7 @@ def _query(sql: str | None = None):
 
 
 def scored(spark: SparkSession, sf: str, version: int) -> DataFrame:
-    e = entities(spark, sf)
+    e = settled(entities(spark, sf), "entities")
     asked = legacy.parse(spark.createDataFrame([(t,) for t in ASKED], "query string"), CLASSES)
     spots = e.select("scene_id", F.col("uid").alias("dst"), F.col("cls").alias("anchor"), F.col("cx").alias("ax"), F.col("cy").alias("ay"))
     edges = r.directional_compat(e).select("scene_id", "src", F.col("type").alias("relation"), "dst", g.margin_confidence(F.col("margin")).alias("w"))
@@ -71,7 +72,7 @@ def legacy_topk_v2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Meshes from line items: each supplier's items are vertices on a grid 20 wide; a square of four is two faces.
-MESH = """vert AS (SELECT l_suppkey AS mesh, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1)::BIGINT AS vid, round(l_quantity / 50, 4) AS z FROM lineitem
+MESH = """vert AS (SELECT l_suppkey AS mesh, (row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1)::BIGINT AS vid, round(l_quantity / 50, 4) AS z FROM lineitem
 ), v AS (SELECT mesh, vid, (vid % 20)::DOUBLE AS x, (vid // 20)::DOUBLE AS y, z FROM vert
 ), quad AS (SELECT a.mesh, a.vid FROM v a JOIN v b ON b.mesh = a.mesh AND b.vid = a.vid + 21 WHERE a.vid % 20 < 19
 ), face AS (SELECT mesh, 2 * vid AS fid, vid AS a, vid + 1 AS b, vid + 20 AS c, vid // 60 AS oid FROM quad UNION ALL SELECT mesh, 2 * vid + 1, vid + 1, vid + 21, vid + 20, vid // 60 FROM quad)"""
@@ -80,8 +81,8 @@ MESH = """vert AS (SELECT l_suppkey AS mesh, (row_number() OVER (PARTITION BY l_
 def mesh_tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window
 
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     vid = F.col("vid")
     vert = lines.select(F.col("l_suppkey").alias("mesh"), (F.row_number().over(order) - 1).cast("long").alias("vid"), F.round(F.col("l_quantity") / 50, 4).alias("z"))
     vertices = vert.select("mesh", "vid", (vid % 20).cast("double").alias("x"), F.floor(vid / 20).cast("double").alias("y"), "z")
