@@ -26,12 +26,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, table, whole_text
+from orrery.llm.common import least_hashed, materialise, table, whole_text
+from orrery.llm.tokens import Memo
 
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7, 8)
 #: Prior weight in documents; errors to shrink by; cost of a neutral word.
 PRIOR, SHRINK, DRIFT = 10.0, 1.5, 0.15
+#: The bound of the labelled sample that is learnt from, least hash of doc_id first; so its labels can be broadcast.
+TRAIN_ROWS = 50_000
 THRESHOLD = 0.3
 SIGNIFICANT = 0.001
 _WORD = re.compile(r"\w+")
@@ -147,26 +150,22 @@ def maximal_segments(positive: list[int], score: list[float], total: list[float]
     return [(a, b, right - left) for a, b, left, right in stack]
 
 
-def scan(docs: DataFrame, scores: np.ndarray, least: float = 1.0, limit: int = 400_000) -> DataFrame:
+def scan(docs: DataFrame, scores: np.ndarray, least: float = 1.0) -> DataFrame:
     """``doc_id, n_tokens, best, passages``: the segments of every text that score ``least`` or more.
 
     A passage is its first token, the token after its last, and its score; tokens
     are the chunks between single spaces.
     """
     table_of = docs.sparkSession.sparkContext.broadcast(scores.astype(np.float64))
-    known: dict[str, float] = {}
+    known: Memo[float] = Memo(500_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = table_of.value
         for batch in batches:
             for part in _slices(batch, 1):
                 codes, chunks, per_text = _chunks(part.column(1))
-                if len(known) > limit:
-                    known.clear()
-                for x in chunks:
-                    if x not in known:
-                        known[x] = chunk_score(x, weights)
-                flat = np.fromiter((known[x] for x in chunks), float, len(chunks))[codes]
+                values = known.all(chunks, lambda new: [chunk_score(x, weights) for x in new])
+                flat = np.array(values, float)[codes]
                 sums, first = np.cumsum(flat), np.cumsum(per_text) - per_text
                 places = np.flatnonzero(flat > 0)
                 owner = np.searchsorted(first, places, "right") - 1
@@ -205,13 +204,14 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted, best, n_tokens, passages`` of every row of ``docs``.
 
-    ``passages`` are the significant ones: ``start, end, score, p_value``. Labels of
-    held-out rows, and null labels, are not used; of several labels of a document
+    ``passages`` are the significant ones: ``start, end, score, p_value``. At most TRAIN_ROWS labels
+    are used, none of held-out rows and no null ones; of several labels of a document
     the greatest counts. Null texts are empty; empty texts get the score of a text
     without any toxic word. Without labels of both kinds the score is the share of
     label 1. Repeated rows are scored once each; an empty table gives an empty table.
     """
     toxic = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
+    toxic = F.broadcast(materialise(least_hashed(toxic.where(~held_out()), "doc_id", TRAIN_ROWS), "toxic-labels"))
     known = docs.select("doc_id", whole_text().alias("text")).where(~held_out()).join(toxic, "doc_id")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     one, zero = sizes.get(1, 0), sizes.get(0, 0)
