@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import evaluation, masks, questions, relations, retrieval
+from orrery.plans import evaluation, masks, questions, relations, reports, retrieval
 
-_MODULES = (relations, questions, masks, evaluation, retrieval)
+_MODULES = (relations, questions, masks, evaluation, retrieval, reports)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
