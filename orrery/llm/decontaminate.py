@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import materialise, table, whole_text
+from orrery.llm.tokens import Memo
 
 SIMILARITY = 0.8
 #: Items of fewer words are no passages and are not searched.
@@ -114,13 +115,14 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = SIMILARITY) -> None:
         self.items, self.similarity = items, similarity
         self.pairs = np.zeros(_PAIRS // 8, np.uint8)
+        self.own_pairs = [pair_slots(own) for _, own in items]
         ladder: dict[int, list[int]] = defaultdict(list)
         for k, (_, own) in enumerate(items):
             size = LEAST_WORDS
             while max(size + 1, int(size * LADDER)) <= len(own):
                 size = max(size + 1, int(size * LADDER))
             ladder[size].append(k)
-            slots = pair_slots(own)
+            slots = self.own_pairs[k]
             np.bitwise_or.at(self.pairs, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
         self.classes = []
         for size, members in sorted(ladder.items()):
@@ -137,14 +139,18 @@ class ItemIndex:
         if len(flat) < 2:
             return
         slots = pair_slots(flat)
-        hit = (self.pairs[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1
-        sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-        left = np.repeat(first + count, count)  # end of each place's document
+        hits = np.flatnonzero((self.pairs[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
         for size, need, keys, owner in self.classes:
-            if len(flat) < size:
+            # a window holds enough pairs if its need-th hit from some hit on is still inside
+            span = hits[need - 1 :] - hits[: max(0, len(hits) - need + 1)]
+            dense = np.flatnonzero(span <= size - 2)
+            if not len(dense):
                 continue
-            starts = np.flatnonzero(sums[size - 1 :] - sums[: len(sums) - size + 1] >= need)
-            starts = starts[starts + size <= left[starts]]
+            from_ = np.maximum(hits[dense + need - 1] - (size - 2), 0)
+            n = hits[dense] - from_ + 1
+            starts = np.unique(np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
+            row = np.searchsorted(first, starts, "right") - 1
+            starts = starts[starts + size <= first[row] + count[row]]
             for at in range(0, len(starts), 65536):
                 part = starts[at : at + 65536]
                 for walk in range(WALKS):
@@ -173,7 +179,11 @@ class ItemIndex:
             own = self.items[k][1]
             slack = edits(len(own), self.similarity)
             lo, hi = max(int(first[r]), int(start[a]) - slack), min(int(first[r] + count[r]), int(start[b - 1]) + len(own) + slack)
-            distance, at, end = fit_distance(own, flat[lo:hi])
+            region = flat[lo:hi]
+            # the q-gram lemma again, for this item: most of its pairs must be there
+            if np.isin(self.own_pairs[k], pair_slots(region)).sum() < len(own) - 1 - 2 * slack:
+                continue
+            distance, at, end = fit_distance(own, region)
             if distance <= slack:
                 found = (distance, lo + at - int(first[r]), lo + end - int(first[r]))
                 best[r, k] = min(best.get((r, k), found), found)
@@ -217,8 +227,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return found.withColumn("similarity", 1 - F.col("distance") / F.col("n_words")).drop("n_words")
 
 
-def _searcher(shared, similarity: float, most_bytes: int = 4 << 20, limit: int = 400_000):
-    known: dict[str, list[int]] = {}
+def _searcher(shared, similarity: float, most_bytes: int = 8 << 20):
+    known: Memo[bytes] = Memo(500_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -229,7 +239,7 @@ def _searcher(shared, similarity: float, most_bytes: int = 4 << 20, limit: int =
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most_bytes, "right")))
                 part, at = batch.slice(at, to - at), to
-                flat, count = _word_hashes(part.column(1), known, limit)
+                flat, count = _word_hashes(part.column(1), known)
                 rows = list(index.search(flat, np.cumsum(count) - count, count))
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -240,20 +250,15 @@ def _searcher(shared, similarity: float, most_bytes: int = 4 << 20, limit: int =
     return run
 
 
-def _word_hashes(texts: pa.Array, known: dict[str, list[int]], limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(texts: pa.Array, known: Memo[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row and their number in each text."""
     split = pc.split_pattern(texts, " ")
     coded = pc.list_flatten(split).dictionary_encode()
     per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    if len(known) > limit:
-        known.clear()
-    for x in chunks:
-        if x not in known:
-            known[x] = words(x)
-    values = [known[x] for x in chunks]
-    size = np.fromiter(map(len, values), np.int64, len(values))
-    pool = np.fromiter((h for v in values for h in v), np.uint64, int(size.sum()))
+    values = known.all(chunks, lambda new: [np.array(words(x), np.uint64).tobytes() for x in new])
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 8
+    pool = np.frombuffer(b"".join(values), np.uint64)
     start, spread = np.cumsum(size) - size, size[codes]
     flat = pool[np.repeat(start[codes] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))]
     count = np.add.reduceat(spread, np.cumsum(per_text) - per_text) if len(per_text) else np.zeros(0, np.int64)
