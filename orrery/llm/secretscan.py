@@ -26,12 +26,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits per character that a window must reach, by character class.
-LIMITS = {"hex": 3.0, "mixed": 3.7}
-#: Runs that are long and yet no secrets: UUIDs, words joined by marks, dates and counters, one character over and over.
-#: Java matches a repeated group by recursion, so none repeats one without bound.
+LIMITS = {"hex": 3.0, "mixed": 3.7, "letters": 3.65}
+#: Runs that are long and yet no secrets: UUIDs, words in one case or CamelCase joined by marks, dates and counters, one character over and over.
+#: Java matches a repeated group by recursion, so none repeats one without bound unless it is possessive.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[A-Za-z_/=+-]*$",
+    r"^(?:[-_/=+]++|[A-Z]{2,19}+(?![A-Z])|[A-Z]?+[a-z]{2,19}+(?![a-z])|(?<![A-Za-z])[A-Za-z](?![A-Za-z]))*+$",
     r"^[0-9_/=+-]+$",
     r"^(.)\1*$",
 )
@@ -96,7 +96,8 @@ def _entropy_spans(text: Column) -> Column:
         return keep
 
     def span(x: Column) -> Column:
-        limit = F.when(x["value"].rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).otherwise(LIMITS["mixed"])
+        letters = ~x["value"].rlike("[0-9]")
+        limit = F.when(x["value"].rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).when(letters, LIMITS["letters"]).otherwise(LIMITS["mixed"])
         return F.struct(x["start"].alias("start"), high_entropy(x["value"], limit).alias("high"))
 
     runs = F.filter(_matches(text, CANDIDATE, 0), unexplained)

@@ -304,6 +304,17 @@ def test_runs_of_a_million_characters_do_not_overflow_the_stack(spark):
     assert found == {0: [], 1: [], 2: [], 3: [(1_000_000, 1)]}
 
 
+def test_keys_of_letters_alone_are_found_and_joined_words_are_not(spark):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters + letters.upper()) for _ in range(n)) for n in (20, 24, 32, 44) for _ in range(50)]
+    plain = ["AbstractUserSessionFactoryBean", "some/long/path/of/words/a/b", "MAX_BACKGROUND_FLOWS_PER_USER", "parseXMLHttpRequestBody", "----------------------", "keitstlichschenverpf"]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secretscan.scan(docs).where("exists(secrets, s -> s.rank = 3)").collect()}
+    assert not [t for i, t in enumerate(plain, len(keys)) if i in found]
+    assert sum(i in found for i in range(len(keys))) >= 0.93 * len(keys)
+
+
 # 8 simhash
 
 
