@@ -10,7 +10,8 @@ edit distance of the whole item to the best-fitting stretch of the document.
 Windows are as long as the items: item lengths are rounded down to a geometric
 ladder, and an item is embedded by its first words of that number. Only windows
 that an item within the distance could leave (the q-gram lemma on word pairs:
-an edit destroys two pairs at most) are embedded.
+an edit destroys two pairs at most) are embedded. A window may run past its text's
+beginning or end by as many words as the item may lose.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SIMILARITY = 0.8
 LEAST_WORDS = 5
 LADDER = 1.1
 #: Independent walks, samples of each, and words in a sample.
-WALKS, SAMPLES, WIDTH = 2, 24, 3
+WALKS, SAMPLES, WIDTH = 4, 24, 3
 #: Bytes of item texts that go to the executors at once; more are searched in blocks.
 BLOCK_BYTES = 16 << 20
 _PAIRS = 1 << 24
@@ -63,13 +64,15 @@ def edits(n: int, similarity: float = SIMILARITY) -> int:
     return int(n * (1 - similarity) + 1e-9)
 
 
-def embed(flat: np.ndarray, starts: np.ndarray, size: int, walk: int) -> np.ndarray:
-    """The first 2 x size steps of the CGK walk over windows of ``size`` words: one row per step."""
+def embed(flat: np.ndarray, starts: np.ndarray, lack: np.ndarray, room: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """The first 2 x size steps of the CGK walk over windows of ``size`` words: one row per step.
+
+    The text has a window's words from ``lack`` to ``room``; the others are padding.
+    """
     out = np.empty((2 * size, len(starts)), np.uint64)
     at = np.zeros(len(starts), np.int64)
     for step in range(2 * size):
-        inside = at < size
-        symbol = np.where(inside, flat[starts + np.minimum(at, size - 1)], _PAD)
+        symbol = np.where((at >= lack) & (at < room), flat[starts + np.minimum(np.maximum(at, lack), room - 1)], _PAD)
         out[step] = symbol
         salt = np.uint64((step * 2 + 1 + walk * 100_003) * int(_MIX) % (1 << 64))
         coin = _mix(symbol + salt) >> np.uint64(40)
@@ -127,12 +130,13 @@ class ItemIndex:
         self.classes = []
         for size, members in sorted(ladder.items()):
             # the longest item of a class may lose most pairs
-            need = max(1, min(size - 1 - 2 * edits(len(items[k][1]), similarity) for k in members))
+            slack = max(edits(len(items[k][1]), similarity) for k in members)
+            need = max(1, size - 1 - 2 * slack)
             flat = np.concatenate([items[k][1][:size] for k in members])
-            keys = np.concatenate([sample_keys(embed(flat, np.arange(len(members)) * size, size, w), size, w) for w in range(WALKS)])
+            keys = np.concatenate([sample_keys(embed(flat, np.arange(len(members)) * size, np.zeros(len(members), np.int64), np.full(len(members), size), size, w), size, w) for w in range(WALKS)])
             owner = np.broadcast_to(np.array(members), keys.shape).ravel()
             order = np.argsort(keys.ravel(), kind="stable")
-            self.classes.append((size, need, keys.ravel()[order], owner[order]))
+            self.classes.append((size, slack, need, keys.ravel()[order], owner[order]))
 
     def candidates(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts of windows, and items whose keys they share."""
@@ -140,26 +144,36 @@ class ItemIndex:
             return
         slots = pair_slots(flat)
         hits = np.flatnonzero((self.pairs[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
-        for size, need, keys, owner in self.classes:
+        for size, slack, need, keys, owner in self.classes:
             # a window holds enough pairs if its need-th hit from some hit on is still inside
             span = hits[need - 1 :] - hits[: max(0, len(hits) - need + 1)]
             dense = np.flatnonzero(span <= size - 2)
+            row = np.searchsorted(first, hits[dense], "right") - 1
+            same = hits[dense + need - 1] < first[row] + count[row]
+            dense, row = dense[same], row[same]
             if not len(dense):
                 continue
-            from_ = np.maximum(hits[dense + need - 1] - (size - 2), 0)
+            # a passage that lost words may begin or end with its text, inside the window
+            from_ = np.maximum(hits[dense + need - 1] - (size - 2), first[row] - slack)
             n = hits[dense] - from_ + 1
-            starts = np.unique(np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum())))
-            row = np.searchsorted(first, starts, "right") - 1
-            starts = starts[starts + size <= first[row] + count[row]]
+            starts = np.repeat(from_ - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            width = len(flat) + slack
+            both = np.unique(np.repeat(row, n) * width + starts + slack)
+            row, starts = both // width, both % width - slack
+            room = np.minimum(first[row] + count[row] - starts, size)
+            kept = room >= size - slack
+            row, starts, room = row[kept], starts[kept], room[kept]
+            lack = np.maximum(first[row] - starts, 0)
             for at in range(0, len(starts), 65536):
-                part = starts[at : at + 65536]
+                cut = slice(at, at + 65536)
+                inside = starts[cut] + lack[cut]
                 for walk in range(WALKS):
-                    for found in sample_keys(embed(flat, part, size, walk), size, walk):
+                    for found in sample_keys(embed(flat, starts[cut], lack[cut], room[cut], size, walk), size, walk):
                         lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
                         n = hi - lo
                         if n.any():
                             pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                            yield np.repeat(part, n), owner[pick]
+                            yield np.repeat(inside, n), owner[pick]
 
     def search(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(row, item, start, end, distance)``: the best stretch of each document for each item within the similarity."""

@@ -137,6 +137,26 @@ def test_contaminated_finds_exact_and_edited_items_and_leaves_clean_ones(spark):
     assert all(r["similarity"] >= 0.8 and r["start"] < r["end"] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["deleted", "cut at the end", "cut at the start", "inserted", "changed"])
+@pytest.mark.parametrize(("before", "after"), [(0, 0), (0, 90), (90, 0)])
+def test_passages_at_the_ends_of_texts_are_found_at_the_least_similarity(kind, before, after):
+    rng = np.random.default_rng(17)
+    some = lambda n: rng.integers(1, 1 << 62, n).astype(np.uint64)
+    items = [(i, some(n)) for i, n in enumerate([20, 40, 59, 100] * 10)]
+    texts = []
+    for _, own in items:
+        e = decontaminate.edits(len(own))
+        places = rng.choice(len(own), e, False)
+        edited = {"deleted": np.delete(own, places), "cut at the end": own[: len(own) - e], "cut at the start": own[e:], "inserted": np.insert(own, places, some(e)), "changed": own.copy()}[kind]
+        if kind == "changed":
+            edited[places] = some(e)
+        texts.append(np.concatenate([some(before), edited, some(after)]))
+    count = np.array([len(x) for x in texts])
+    found = list(decontaminate.ItemIndex(items).search(np.concatenate(texts), np.cumsum(count) - count, count))
+    assert all(r == k and distance <= decontaminate.edits(len(items[k][1])) for r, k, _, _, distance in found)
+    assert len(found) >= 0.9 * len(items)
+
+
 def test_fit_distance_agrees_with_a_plain_table():
     rng = random.Random(9)
     for _ in range(60):
