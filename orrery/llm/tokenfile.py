@@ -40,22 +40,29 @@ def serialise(ids: np.ndarray, width: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str, keeps_space: bool, width: int) -> bytes:
-    """A dictionary trained on the id arrays of at most TRAIN_DOCS documents, least hash first.
+    """A dictionary trained on the id arrays of at most TRAIN_DOCS documents, each cut at TRAIN_BYTES.
 
+    Tasks tokenise; at most TRAIN_BYTES of distinct arrays, least hash first, reach the driver.
     Empty (frames without a dictionary) where the sample is too small to train on.
     """
     sample = least_hashed(docs.select("doc_id", whole_text().alias("text")), "doc_id", TRAIN_DOCS)
-    texts = pa.array([r["text"] for r in sample.collect()], pa.string())
-    if not len(texts):
+    most = TRAIN_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, ids, counts in pieces_of(batches, path, keeps_space):
+            ends = np.cumsum(counts)
+            own = [serialise(ids[a : min(b, a + most // width)], width) for a, b in zip(ends - counts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], names=["own"])
+
+    coded = materialise(sample.select("text").mapInArrow(run, "own binary").select("own", F.octet_length("own").cast("long").alias("n"), F.xxhash64("own").alias("h")), "token-samples")
+    size, last = 0, None
+    for row in coded.select("h", "n").orderBy("h").collect():
+        if size + row["n"] > most and last is not None:
+            break
+        size, last = size + row["n"], row["h"]
+    if last is None:
         return b""
-    whole = pa.RecordBatch.from_arrays([texts], names=["text"])
-    samples, size = [], 0
-    for _, ids, counts in pieces_of(iter([whole]), path, keeps_space):
-        ends = np.cumsum(counts)
-        for a, b in zip(ends - counts, ends, strict=True):
-            if size < TRAIN_BYTES:
-                samples.append(serialise(ids[a:b], width))
-                size += len(samples[-1])
+    samples = [bytes(r["own"]) for r in coded.where(F.col("h") <= last).dropDuplicates(["h"]).orderBy("h").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

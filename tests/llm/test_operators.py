@@ -455,6 +455,16 @@ def test_token_file_round_trip(spark, docs, empty, name, keeps_space):
     assert tokenfile.read_token_file(nothing, dictionary).count() == 0
 
 
+def test_the_driver_gets_a_bounded_share_of_long_documents(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(tokenfile, "TRAIN_BYTES", 1000)
+    monkeypatch.setattr(tokenfile.zstandard, "train_dictionary", lambda size, samples: got.extend(samples) or tokenfile.zstandard.ZstdCompressionDict(b"x" * 64))
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 5 if i % 2 else 4000)) for i in range(20)], "doc_id long, text string")
+    tokenfile.train_dictionary(docs, public_tokenizers.path("byte_bpe_50k.json"), True, 2)
+    assert got and sum(map(len, got)) <= 1000
+
+
 def test_chat_digest_is_of_the_lines(spark):
     row = chat.op6_chat_formatting(spark, "/root/testdata/sf0.001").where("conv_id = -1").first()
     text = "</s>[INST] ok [/INST]"
