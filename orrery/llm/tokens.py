@@ -34,14 +34,16 @@ _CACHE: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 class Memo[V]:
-    """What was worked out for strings, in two generations of at most ``limit`` entries (and a batch) each.
+    """What was worked out for strings, in two generations of at most ``limit`` entries and ``most_bytes`` of strings each.
 
     When the young one is full it becomes the old one; what is asked for again
-    moves back. So frequent strings stay, and memory is bounded.
+    moves back. So frequent strings stay, and memory is bounded. Strings of more than
+    ``longest`` characters, such as texts without spaces, are worked out each time.
     """
 
-    def __init__(self, limit: int = 400_000) -> None:
-        self.limit, self.young, self.old = limit, {}, {}
+    def __init__(self, limit: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64) -> None:
+        self.limit, self.most_bytes, self.longest = limit, most_bytes, longest
+        self.young, self.old, self.held = {}, {}, 0
 
     def all(self, keys: list[str], make: Callable[[list[str]], list[V]]) -> list[V]:
         """The values of ``keys``; ``make`` works out those that are not known."""
@@ -57,9 +59,13 @@ class Memo[V]:
                     found[i] = young[keys[i]] = known
         if fresh:
             for i, value in zip(fresh, make([keys[i] for i in fresh]), strict=True):
-                found[i] = young[keys[i]] = value
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
+                key = keys[i]
+                found[i] = value
+                if len(key) <= self.longest:
+                    young[key] = value
+                    self.held += len(key)
+        if len(young) > self.limit or self.held > self.most_bytes:
+            self.old, self.young, self.held = young, {}, 0
         return found
 
 

@@ -1,11 +1,13 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 1. Learn. In labelled documents, count for hashed word features (a word, and its
-   first 4 to 8 letters) the toxic and other documents that hold them. The
-   log-odds under an informative Dirichlet prior, shrunk by their standard error,
-   make a table of fixed size.
+   first 3 to 8 letters) how often they occur in toxic and other documents, and in
+   how many. The log-odds of the rates under an informative Dirichlet prior, shrunk
+   by a standard error that counts documents, make a table of fixed size. Rates
+   tell a stem that toxic texts repeat from one that any long text holds once.
 2. Scan. Each word's score is its best feature's log-odds less a drift, so neutral
-   words lower a running sum. One linear scan finds all maximal segments of a text.
+   words lower a running sum: by about what one says against a text in which a word
+   in twenty is toxic. One linear scan finds all maximal segments of a text.
 3. Calibrate. Best segments of non-toxic documents follow an extreme-value
    (Gumbel) law whose location grows with the log of the length. Its tail gives a
    passage's significance; a logistic curve over its reduced variate gives the
@@ -25,14 +27,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.llm.common import least_hashed, materialise, table, whole_text
 from orrery.llm.tokens import Memo
 
 BUCKETS = 1 << 18
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (3, 4, 5, 6, 7, 8)
 #: Prior weight in documents; errors to shrink by; cost of a neutral word.
-PRIOR, SHRINK, DRIFT = 10.0, 1.5, 0.15
+PRIOR, SHRINK, DRIFT = 10.0, 2.5, 0.045
 #: The bound of the labelled sample that is learnt from, least hash of doc_id first; so its labels can be broadcast.
 TRAIN_ROWS = 50_000
 THRESHOLD = 0.3
@@ -48,13 +51,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def features(chunk: str) -> list[int]:
     """Hashed features of the words in a space-delimited chunk."""
-    found = set()
+    found = []
     for word in _WORD.findall(chunk.lower()):
-        found.add(zlib.crc32(word.encode()) % BUCKETS)
-        for n in STEMS:
-            if len(word) > n:
-                found.add(zlib.crc32(b"^" + word[:n].encode()) % BUCKETS)
-    return sorted(found)
+        found.append(zlib.crc32(word.encode()) % BUCKETS)
+        stem = "^" + word
+        found += [zlib.crc32(stem[: n + 1].encode()) % BUCKETS for n in STEMS if n < len(word)]
+    return found
 
 
 def _chunks(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -66,7 +68,7 @@ def _chunks(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
 
 
 def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most_bytes, "right")))
@@ -75,57 +77,67 @@ def _slices(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> It
 
 
 def count_features(labelled: DataFrame) -> pd.DataFrame:
-    """``bucket, toxic, other``: documents with a feature, by label. BUCKETS rows at most.
+    """``bucket, toxic, other, toxic_docs, other_docs``: words and documents with a feature, by label.
 
-    Each task sums its own documents, so the shuffle carries bucket counts.
+    At most BUCKETS rows and one more, of number BUCKETS, that counts every word. Each
+    task sums its own documents, so the shuffle carries bucket counts.
     """
+    size = BUCKETS + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS), np.int64)
+        counts = np.zeros((4, size), np.int64)
         for batch in batches:
             for part in _slices(batch, 0):
                 codes, chunks, per_text = _chunks(part.column(0))
-                found = [features(x) for x in chunks]
-                size = np.fromiter(map(len, found), np.int64, len(found))
-                pool = np.fromiter((x for f in found for x in f), np.int64, int(size.sum()))
-                start, spread = np.cumsum(size) - size, size[codes]
+                found = [[*own, BUCKETS] if own else own for own in map(features, chunks)]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                pool = np.fromiter((x for own in found for x in own), np.int64, int(lengths.sum()))
+                start, spread = np.cumsum(lengths) - lengths, lengths[codes]
                 bucket = pool[np.repeat(start[codes] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))]
                 owner = np.repeat(np.repeat(np.arange(len(per_text)), per_text), spread)
-                pairs = np.unique(owner * BUCKETS + bucket)
-                label = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[pairs // BUCKETS]
+                pairs = np.unique(owner * size + bucket)
+                label = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 for k in (0, 1):
-                    counts[k] += np.bincount(pairs[label == k] % BUCKETS, minlength=BUCKETS)
-        kept = np.flatnonzero(counts.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(counts[1][kept]), pa.array(counts[0][kept])], names=["bucket", "toxic", "other"])
+                    counts[k] += np.bincount(bucket[label[owner] == k], minlength=size)
+                    counts[k + 2] += np.bincount(pairs[label[pairs // size] == k] % size, minlength=size)
+        kept = np.flatnonzero(counts[2] + counts[3])
+        yield pa.RecordBatch.from_arrays([pa.array(kept), *(pa.array(c[kept]) for c in counts)], names=["bucket", *fields])
 
-    counted = labelled.select("text", "label").mapInArrow(run, "bucket long, toxic long, other long")
-    return counted.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).toPandas()
+    fields = ("other", "toxic", "other_docs", "toxic_docs")
+    counted = labelled.select("text", "label").mapInArrow(run, "bucket long, " + ", ".join(f"{x} long" for x in fields))
+    return counted.groupBy("bucket").agg(*(F.sum(x).alias(x) for x in fields)).toPandas()
 
 
 def log_odds(counts: pd.DataFrame, toxic: int, other: int) -> np.ndarray:
-    """Log-odds of each bucket under a Dirichlet prior in proportion to its overall rate, shrunk towards 0."""
+    """Log-odds of each bucket's rate among words, under a Dirichlet prior in proportion to its overall rate.
+
+    ``toxic`` and ``other`` documents were counted. Scores are shrunk towards 0 by
+    SHRINK standard errors, which count documents, as one text may repeat a word.
+    """
     scores = np.zeros(BUCKETS)
-    if not toxic or not other:
+    words = counts[counts["bucket"] == BUCKETS]
+    if not toxic or not other or not len(words) or not words["toxic"].iloc[0] or not words["other"].iloc[0]:
         return scores
+    one_all, two_all = float(words["toxic"].iloc[0]), float(words["other"].iloc[0])
+    counts = counts[counts["bucket"] < BUCKETS]
     y, n = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
+    mass = PRIOR * (one_all + two_all) / (toxic + other)
+    prior = mass * (y + n) / (one_all + two_all)
+    delta = np.log((y + prior) / (one_all + mass)) - np.log((n + prior) / (two_all + mass))
+    y, n = counts["toxic_docs"].to_numpy(float), counts["other_docs"].to_numpy(float)
     prior = PRIOR * (y + n + 0.5) / (toxic + other + 1)
-    rest = PRIOR - prior
-    one = np.log(y + prior) - np.log(toxic - y + np.maximum(rest, 0.5))
-    two = np.log(n + prior) - np.log(other - n + np.maximum(rest, 0.5))
     error = np.sqrt(1 / (y + prior) + 1 / (n + prior))
-    delta = one - two
     scores[counts["bucket"].to_numpy()] = np.sign(delta) * np.maximum(np.abs(delta) - SHRINK * error, 0)
     return scores
 
 
-def chunk_score(chunk: str, scores: np.ndarray) -> float:
+def chunk_score(chunk: str, scores: list[float]) -> float:
     """The best feature's log-odds less the drift; a chunk of no word costs nothing."""
-    found = features(chunk)
-    if not found:
+    values = [scores[k] for k in features(chunk)]
+    if not values:
         return 0.0
-    values = scores[found]
-    best = float(values.max())
-    return (best if best > 0 else max(float(values.mean()), -1.0)) - DRIFT
+    best = max(values)
+    return (best if best > 0 else max(sum(values) / len(values), -1.0)) - DRIFT
 
 
 def maximal_segments(positive: list[int], score: list[float], total: list[float]) -> list[tuple[int, int, float]]:
@@ -151,39 +163,38 @@ def maximal_segments(positive: list[int], score: list[float], total: list[float]
 
 
 def scan(docs: DataFrame, scores: np.ndarray, least: float = 1.0) -> DataFrame:
-    """``doc_id, n_tokens, best, passages``: the segments of every text that score ``least`` or more.
+    """``docs`` with ``n_tokens, best, passages`` for ``text``: the segments of every text that score ``least`` or more.
 
     A passage is its first token, the token after its last, and its score; tokens
-    are the chunks between single spaces.
+    are the chunks between single spaces. Other columns pass through a task as they are.
     """
     table_of = docs.sparkSession.sparkContext.broadcast(scores.astype(np.float64))
-    known: Memo[float] = Memo(500_000)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = table_of.value
+        weights = table_of.value.tolist()
+        known: Memo[float] = Memo()
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            for part in _slices(batch, 1):
-                codes, chunks, per_text = _chunks(part.column(1))
+            for part in _slices(batch, at):
+                codes, chunks, per_text = _chunks(pc.fill_null(part.column(at), ""))
                 values = known.all(chunks, lambda new: [chunk_score(x, weights) for x in new])
                 flat = np.array(values, float)[codes]
-                sums, first = np.cumsum(flat), np.cumsum(per_text) - per_text
-                places = np.flatnonzero(flat > 0)
-                owner = np.searchsorted(first, places, "right") - 1
-                bounds = np.searchsorted(owner, np.arange(len(per_text) + 1))
+                ends = np.cumsum(per_text)
                 best, passages = np.zeros(len(per_text)), []
-                for row in range(len(per_text)):
-                    own = places[bounds[row] : bounds[row + 1]]
+                for row, (a, b) in enumerate(zip((ends - per_text).tolist(), ends.tolist(), strict=True)):
+                    own = flat[a:b]
+                    places = np.flatnonzero(own > 0)
                     found = []
-                    if len(own):
-                        found = maximal_segments((own - first[row]).tolist(), flat[own].tolist(), sums[own].tolist())
+                    if len(places):
+                        found = maximal_segments(places.tolist(), own[places].tolist(), np.cumsum(own)[places].tolist())
                         best[row] = max(s for _, _, s in found)
-                    passages.append([{"start": a, "end": b, "score": s} for a, b, s in found if s >= least])
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(per_text), pa.array(best), pa.array(passages, kind)], names=["doc_id", "n_tokens", "best", "passages"])
+                    passages.append([{"start": i, "end": j, "score": s} for i, j, s in found if s >= least])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(per_text), pa.array(best), pa.array(passages, kind)], names=names)
 
-    narrow = docs.select("doc_id", whole_text().alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_tokens long, best double, passages array<struct<start:long,end:long,score:double>>")
+    names = [*docs.columns, "n_tokens", "best", "passages"]
+    added = T.StructType.fromDDL("n_tokens long, best double, passages array<struct<start:long,end:long,score:double>>")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -201,15 +212,8 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return a, b
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, held_out, score, predicted, best, n_tokens, passages`` of every row of ``docs``.
-
-    ``passages`` are the significant ones: ``start, end, score, p_value``. At most TRAIN_ROWS labels
-    are used, none of held-out rows and no null ones; of several labels of a document
-    the greatest counts. Null texts are empty; empty texts get the score of a text
-    without any toxic word. Without labels of both kinds the score is the share of
-    label 1. Repeated rows are scored once each; an empty table gives an empty table.
-    """
+def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with held_out, score, predicted, best, n_tokens and passages."""
     toxic = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     toxic = F.broadcast(materialise(least_hashed(toxic.where(~held_out()), "doc_id", TRAIN_ROWS), "toxic-labels"))
     known = docs.select("doc_id", whole_text().alias("text")).where(~held_out()).join(toxic, "doc_id")
@@ -236,15 +240,35 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     tail = lambda s: -F.expm1(-F.exp(-F.least(F.greatest(variate(s), F.lit(-20.0)), F.lit(700.0))))
     tested = F.transform("passages", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), tail(x["score"]).alias("p_value")))
     kept = F.filter(tested, lambda x: x["p_value"] < SIGNIFICANT)
-    return scanned.select("doc_id", held_out().alias("held_out"), score.cast("double").alias("score"), "best", "n_tokens", kept.alias("passages")).select(
-        "doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "best", "n_tokens", "passages"
-    )
+    rated = scanned.withColumns({"held_out": held_out(), "score": score.cast("double"), "passages": kept})
+    return rated.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, held_out, score, predicted, best, n_tokens, passages`` of every row of ``docs``.
+
+    ``passages`` are the significant ones: ``start, end, score, p_value``. At most TRAIN_ROWS labels
+    are used, none of held-out rows and no null ones; of several labels of a document
+    the greatest counts. Null texts are empty; empty texts get the score of a text
+    without any toxic word. Without labels of both kinds the score is the share of
+    label 1. Repeated rows and rows without doc_id are scored once each; an empty table
+    gives an empty table. Other columns are not read.
+    """
+    found = _scored(docs.select("doc_id", "text"), labels)
+    return found.select("doc_id", "held_out", "score", "predicted", "best", "n_tokens", "passages")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; all columns stay."""
-    toxic = score_documents(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("__toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["__toxic"]), "left_anti")
+    """``docs`` without the rows that are predicted toxic; all columns stay, whatever their names.
+
+    Each row is judged by its own text: rows that share a doc_id, or have none, may
+    part. Rows travel through the scan whole, so nothing is joined or shuffled. An
+    empty table gives an empty table.
+    """
+    own = {"doc_id": "doc_id", "text": "text"}
+    apart = docs.toDF(*(own.get(c, f"__{k}") for k, c in enumerate(docs.columns)))
+    kept = _scored(apart, labels).where("predicted = 0").select(*apart.columns)
+    return kept.toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
