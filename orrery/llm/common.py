@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the session is local, as in tests, a temporary folder takes its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orrery-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -45,21 +47,20 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, buckets: int = 128) -> DataFrame:
+def numbered(df: DataFrame, group: str, row: str, out: str, buckets: int) -> DataFrame:
     """Gapless numbers from 0 within each ``group``, without a group in one task.
 
-    Rows of a group are dealt to ``buckets`` by a hash of ``order`` and numbered
-    inside each bucket; a table of at most groups x buckets counts gives where
-    each bucket starts. The numbers are the same on every run when ``order``
-    is unique within a group; rows equal in ``order`` are interchangeable.
+    Rows of a group are dealt to ``buckets`` by a hash of ``row``, which differs for
+    every row, and numbered inside each bucket; a table of at most groups x buckets
+    counts gives where each bucket starts. The numbers are the same on every run.
     """
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*group, "__bucket").orderBy(*order)
+    df = df.withColumn("__bucket", F.pmod(F.xxhash64(row), F.lit(buckets)).cast("int"))
+    counts = df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(group, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(group, "__bucket").orderBy(row)
     ranked = df.withColumn("__place", F.row_number().over(inside) - 1)
-    joined = ranked.join(starts, [*group, "__bucket"])
+    joined = ranked.join(starts, [group, "__bucket"])
     return joined.withColumn(out, (F.col("__start") + F.col("__place")).cast("long")).drop("__bucket", "__start", "__place")
 
 

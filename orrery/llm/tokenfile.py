@@ -36,6 +36,9 @@ NO_ID = -(1 << 63)
 
 
 def serialise(ids: np.ndarray, width: int) -> bytes:
+    """Ids as little-endian integers of ``width`` bytes; one that does not fit is an error."""
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"an id does not fit in {width} bytes")
     return ids.astype(f"<u{width}").tobytes()
 
 

@@ -2,33 +2,32 @@
 
 A text's ids are the ids of its space-delimited chunks, one after the other, as
 these tokenizers never merge across a space. So each batch of texts is split and
-dictionary-encoded by Arrow, every distinct chunk is encoded once by the
-tokenizers library (and remembered, up to a limit; a chunk of letters and marks is
-put together from its pieces, so "word," costs nothing after "word"), and the ids
-are gathered by numpy. Where a byte-level tokenizer looks around white space (a space at either
-end of the text, or next to other white space) the text is encoded in one piece.
+dictionary-encoded by Arrow, distinct chunks are looked up by Arrow among those
+known from before, and only new ones reach the tokenizers library: many in one
+string, whose ids are told apart by the vocabulary's mark of a word's begin or end.
+The ids are gathered by numpy. Where a byte-level tokenizer looks around white space
+(a space at either end of the text, or next to other white space) the text is
+encoded in one piece.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
 #: Fixed value: white space of Unicode and of ASCII's separators.
 _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Beyond these characters a chunk is not cut into pieces here.
-_RARE = re.compile(r"[^\x21-\x7e\xa1-\u024f \n\t]")
 _UNEVEN = rf"(^ )|( $)|({_SPACE} )|( {_SPACE})"
-#: What the two kinds of tokenizer cut a text into before they merge.
-_BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Chunks that are encoded on their own: empty, with white space at an end, or with characters beyond these.
+_ALONE = r"^$|^\s|\s$|[^\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{24f} \n\t]"
+#: What a tokenizer without spaces cuts a text into, and the marks of a word's end and begin in the vocabularies.
+_WORDS = r"(?i)'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_WORD_END, _SPACE_BEGIN = "</w>", "\u0120"
 END_ID = 2
 _CACHE: dict[tuple[str, bool], ChunkEncoder] = {}
 
@@ -69,6 +68,41 @@ class Memo[V]:
         return found
 
 
+class Known:
+    """Chunks whose ids are known: at most ``limit`` chunks (and a batch) of ``most_bytes``; full, it keeps the latest batch's.
+
+    Chunks of more than ``longest`` bytes, such as texts without spaces, are not kept.
+    """
+
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64) -> None:
+        self.encode, self.limit, self.most_bytes, self.longest = encode, limit, most_bytes, longest
+        self.chunks = pa.array([], pa.string())
+        self.pool, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(pool, start, length)``: each chunk's ids are a stretch of the pool."""
+        at = pc.fill_null(pc.index_in(distinct, value_set=self.chunks), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        at[fresh] = len(self.length) + np.arange(len(fresh))
+        new = distinct.take(pa.array(fresh))
+        ids, length = self.encode(new)
+        pool, length = np.concatenate([self.pool, ids]), np.concatenate([self.length, length])
+        start = np.cumsum(length) - length
+        keep = np.flatnonzero(pc.binary_length(distinct).to_numpy(zero_copy_only=False) <= self.longest)
+        if len(self.chunks) + len(fresh) > self.limit or self.chunks.nbytes + new.nbytes > self.most_bytes:
+            chunks, kept = distinct.take(pa.array(keep)), at[keep]
+        else:
+            keep = np.intersect1d(keep, fresh, assume_unique=True)
+            chunks, kept = pa.concat_arrays([self.chunks, distinct.take(pa.array(keep))]), np.concatenate([np.arange(len(self.length)), at[keep]])
+        self.chunks, self.length, self.pool = chunks, length[kept], gathered(pool, start[kept], length[kept])
+        return pool, start[at], length[at]
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` from each start, of each length, in a row."""
+    return pool[np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+
+
 class ChunkEncoder:
     """Encodes batches of texts with a tokenizer file.
 
@@ -76,35 +110,62 @@ class ChunkEncoder:
     tokenizers do; otherwise the tokenizer drops white space.
     """
 
-    def __init__(self, path: str, keeps_space: bool, limit: int = 600_000) -> None:
+    def __init__(self, path: str, keeps_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space = keeps_space
-        self.known: Memo[bytes] = Memo(limit)
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        out = []
+        vocabulary = self.tokenizer.get_vocab()
+        self.marked = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        for token, number in vocabulary.items():
+            self.marked[number] = token.startswith(_SPACE_BEGIN) if keeps_space else token.endswith(_WORD_END)
+        self.inner, self.heads = Known(self._inner), Known(self._alone)
+
+    def _alone(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text by itself, in a row, and how many."""
+        length, parts = [], []
         for at in range(0, len(texts), 4096):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)
-            out += [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-        return out
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        cut = [self._pieces(x) for x in chunks]
-        names = list(dict.fromkeys(p for x in cut for p in (x if type(x) is list else (x,))))
-        ids = dict(zip(names, self.known.all(names, self._whole), strict=True))
-        return [b"".join([ids[p] for p in x]) if type(x) is list else ids[x] for x in cut]
-
-    def _pieces(self, chunk: str) -> str | list[str]:
-        """What the tokenizer would cut the chunk into, or the chunk itself."""
-        if (chunk[1:] if chunk[:1] == " " else chunk).isalpha():
-            return chunk.lower() if not self.keeps_space and not _RARE.search(chunk) else chunk
-        if _RARE.search(chunk):
-            return chunk
-        return _BYTE_PIECES.findall(chunk) if self.keeps_space else _WORD_PIECES.findall(chunk.lower())
+            for found in self.tokenizer.encode_batch_fast(texts.slice(at, 4096).to_pylist(), add_special_tokens=False):
+                length.append(len(own := found.ids))
+                parts.append(np.array(own, np.uint32))
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array(length, np.int64)
+
+    def _spaced(self, chunks: pa.Array) -> pa.Array:
+        return pc.binary_join_element_wise("", chunks, " ") if self.keeps_space else chunks
+
+    def _inner(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that follow a space."""
+        alone = pc.match_substring_regex(chunks, _ALONE).to_numpy(zero_copy_only=False)
+        plain, others = np.flatnonzero(~alone), np.flatnonzero(alone)
+        if not len(plain):
+            return self._alone(self._spaced(chunks))
+        own = chunks.take(pa.array(plain))
+        ids, count = self._joined(own.to_pylist()), None
+        marks = np.flatnonzero(self.marked[ids])
+        if self.keeps_space:
+            if len(marks) == len(own):
+                count = np.diff(marks, append=len(ids))
+        else:
+            words = pc.count_substring_regex(own, _WORDS).to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(marks) == int(words.sum()):
+                count = np.diff(np.append(-1, marks)[np.cumsum(words)], prepend=-1)
+        if count is None:
+            return self._alone(self._spaced(chunks))
+        more, more_count = self._alone(self._spaced(chunks.take(pa.array(others))))
+        length = np.empty(len(chunks), np.int64)
+        length[plain], length[others] = count, more_count
+        start = np.empty(len(chunks), np.int64)
+        start[plain], start[others] = np.cumsum(count) - count, len(ids) + np.cumsum(more_count) - more_count
+        return gathered(np.concatenate([ids, more]), start, length), length
+
+    def _joined(self, chunks: list[str], step: int = 256) -> np.ndarray:
+        """Ids of many chunks in one go."""
+        lead = " " if self.keeps_space else ""
+        texts = [lead + " ".join(chunks[at : at + step]) for at in range(0, len(chunks), step)]
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the count of each text."""
@@ -116,18 +177,16 @@ class ChunkEncoder:
         first = np.cumsum(per_text) - per_text
         coded = flat.dictionary_encode()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        chunks = coded.dictionary.to_pylist()
+        pool, start, length = self.inner.ids(coded.dictionary)
         if self.keeps_space:
-            heads = pc.take(flat, pa.array(first)).to_pylist()
+            heads = flat.take(pa.array(first)).dictionary_encode()
+            more, head_start, head_length = self.heads.ids(heads.dictionary)
             index = index.copy()
-            index[first] = len(chunks) + np.arange(len(heads))
-            chunks = [" " + x for x in chunks] + heads
-        values = self._chunks(chunks)
-        length = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool, start = np.frombuffer(b"".join(values), dtype="<u4"), np.cumsum(length) - length
+            index[first] = len(start) + heads.indices.to_numpy(zero_copy_only=False)
+            start, length = np.concatenate([start, head_start + len(pool)]), np.concatenate([length, head_length])
+            pool = np.concatenate([pool, more])
         spread = length[index]
-        ids = pool[np.repeat(start[index] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))]
-        counts = np.add.reduceat(spread, first)
+        ids, counts = gathered(pool, start[index], spread), np.add.reduceat(spread, first)
         if self.keeps_space:
             uneven = np.flatnonzero(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False))
             if len(uneven):
@@ -135,12 +194,12 @@ class ChunkEncoder:
         return ids, counts
 
     def _replaced(self, texts: pa.Array, ids: np.ndarray, counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        whole = dict(zip(rows.tolist(), self._whole(pc.take(texts, pa.array(rows)).to_pylist()), strict=True))
-        parts, counts, at = [], counts.copy(), 0
-        for row, n in enumerate(counts.tolist()):
-            parts.append(np.frombuffer(whole[row], dtype="<u4") if row in whole else ids[at : at + n])
-            counts[row], at = len(parts[-1]), at + n
-        return np.concatenate(parts), counts
+        whole, length = self._alone(texts.take(pa.array(rows)))
+        start = np.cumsum(counts) - counts
+        start[rows] = len(ids) + np.cumsum(length) - length
+        counts = counts.copy()
+        counts[rows] = length
+        return gathered(np.concatenate([ids, whole]), start, counts), counts
 
 
 def encoder(path: str, keeps_space: bool) -> ChunkEncoder:

@@ -79,14 +79,27 @@ def test_sharding_of_nothing(empty):
 def test_plan_places_each_length_once_without_overlap():
     rng = random.Random(3)
     histogram = Counter(min(1024, int(rng.lognormvariate(5.5, 1)) + 1) for _ in range(5000))
-    runs = packing.plan(dict(histogram), groups=24)
+    runs = packing.plan(dict(histogram))
+    del histogram[1024]  # full pieces need no plan
     fill, placed = np.zeros(max(f + n for _, _, n, f, _ in runs), int), Counter()
     for length, _, n, first, offset in sorted(runs, key=lambda r: r[4]):
         assert (fill[first : first + n] == offset).all()
         fill[first : first + n] += length
         placed[length] += n
     assert placed == histogram and fill.max() <= 1024
-    assert len(fill) <= 1.03 * math.ceil(fill.sum() / 1024)
+    assert len(fill) <= best_fit_decreasing(histogram) + 3
+
+
+def best_fit_decreasing(histogram, room=1024):
+    free, n = [0] * (room + 1), 0
+    for length in sorted(histogram.elements(), reverse=True):
+        fit = next((r for r in range(length, room) if free[r]), None)
+        if fit is None:
+            n, fit = n + 1, room
+        else:
+            free[fit] -= 1
+        free[fit - length] += 1
+    return n
 
 
 def test_packing_matches_the_tokenizer(spark, docs):
@@ -111,6 +124,16 @@ def test_packing_matches_the_tokenizer(spark, docs):
     assert max(map(len, whole.values())) <= 64 and sum(map(len, whole.values())) == sum(r["length"] for r in rows)
 
 
+def test_full_pieces_get_sequences_of_their_own(spark):
+    pieces = spark.createDataFrame([(i, i << 40, 0, 0, n, 0) for i, n in enumerate([8, 8, 8, 3, 5, 4, 4, 8])], "doc_id long, row long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(pieces, capacity=8).collect()
+    fill = Counter()
+    for r in got:
+        assert r["length"] < 8 or r["offset"] == 0
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 8 and list(fill.values()) == [8] * 6
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack_documents(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
@@ -455,6 +478,32 @@ def test_token_file_round_trip(spark, docs, empty, name, keeps_space):
     assert tokenfile.read_token_file(nothing, dictionary).count() == 0
 
 
+def test_ids_that_do_not_fit_their_width_are_an_error():
+    assert tokenfile.serialise(np.array([1, 65535], np.uint32), 2) == b"\x01\x00\xff\xff"
+    with pytest.raises(ValueError, match="does not fit"):
+        tokenfile.serialise(np.array([65536], np.uint32), 2)
+
+
+@pytest.mark.parametrize(("name", "keeps_space"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_chunks_known_from_before_or_forgotten_keep_their_ids(name, keeps_space, monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(41)
+    marks = ["", ",", "'s", "'LL", "-x", "é", "\n", "\t", "漢字", "İ", "12", "🙂", "!?", "\u00a0", "ß", "</w>", "Ġ", "_"]
+    texts = [" ".join(rng.choice(WORDS) + rng.choice(marks) + rng.choice(marks) for _ in range(60)) for _ in range(300)] + [t or "" for t in TEXTS] + ["漢" * 90, "   ", "a"]
+    path = public_tokenizers.path(name)
+    plain = Tokenizer.from_file(path)
+    code = tokens.ChunkEncoder(path, keeps_space)
+    for known in (code.inner, code.heads):
+        known.limit, known.longest = 150, 12
+    for at in range(0, len(texts), 40):
+        ids, counts = code.encode(pa.array(texts[at : at + 40]))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 40]]
+        assert ids.tolist() == [i for own in want for i in own] and counts.tolist() == [len(own) for own in want]
+    assert len(code.inner.chunks) <= 150 + 40 * 60 and max(map(len, code.inner.chunks.to_pylist())) <= 12
+
+
 def test_the_driver_gets_a_bounded_share_of_long_documents(spark, monkeypatch):
     got = []
     monkeypatch.setattr(tokenfile, "TRAIN_BYTES", 1000)
