@@ -8,6 +8,9 @@ and only as many as needed. All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,11 @@ from orrery.llm.common import shared_dir, table, whole_text
 
 SLOTS = 4096
 SHARDS = 16
+#: How far over the mean a shard may be before slots leave it, when documents are sharded.
+SLACK = 0.001
+#: Repetitions of a row that are dealt out together.
+COPIES = 1 << 16
+MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long"
 
 
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -37,20 +45,27 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"))
 
 
+def even_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame:
+    """Version 1 of a map, made before any bytes are known: slots in turn."""
+    slot = F.col("id").cast("int")
+    return spark.range(slots).select(F.lit(1).alias("version"), slot.alias("virtual_slot"), (slot % shards).alias("shard"), F.lit(0).cast("long").alias("bytes"))
+
+
 def slot_map(bytes_by_slot: DataFrame, shards: int, version: int = 1, old: DataFrame | None = None, slack: float = 0.01) -> DataFrame:
     """``version, virtual_slot, shard, bytes``: the map that puts slots on shards.
 
     Slots go, largest first, to the shard with the fewest bytes so far. With an
     ``old`` map, a slot stays where it is as long as its shard stays within
     (1 + slack) times the mean; so growing by a shard moves slots into that shard,
-    and little else. The fold runs over one row of at most ``slots`` entries,
+    and little else; its slots without bytes stay in the map. The fold runs over one row of at most ``slots`` entries,
     which is a fixed number however many records there are.
     """
     known = bytes_by_slot.select("virtual_slot", "bytes")
     if old is None:
         known = known.withColumn("was", F.lit(-1))
     else:
-        known = known.join(F.broadcast(old.select("virtual_slot", F.col("shard").alias("was"))), "virtual_slot", "left")
+        was = old.select("virtual_slot", F.col("shard").alias("was"))
+        known = known.join(was, "virtual_slot", "full").withColumn("bytes", F.coalesce("bytes", F.lit(0).cast("long")))
     entry = F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes", F.coalesce("was", F.lit(-1)).alias("was"))
     row = known.agg(F.array_sort(F.collect_list(entry)).alias("slots"), F.sum("bytes").alias("total"))
     limit = F.col("total") / F.lit(shards) * F.lit(1 + slack)
@@ -75,12 +90,21 @@ def save_map(found: DataFrame, path: str) -> None:
     found.coalesce(1).write.mode("append").parquet(path)
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The latest version of the map at ``path``; 0 if there is none."""
+    try:
+        every = spark.read.schema(MAP_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return every.agg(F.max("version")).first()[0] or 0
+
+
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """A version of the map at ``path``; the latest if none is named."""
-    every = spark.read.parquet(path)
-    if version is None:
-        return every.join(F.broadcast(every.agg(F.max("version").alias("version"))), "version")
-    return every.where(F.col("version") == version)
+    """One version of the map at ``path``; the latest if none is named."""
+    wanted = latest_version(spark, path) if version is None else version
+    return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == wanted)
 
 
 def place(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -100,26 +124,34 @@ def place(rows: DataFrame, found: DataFrame) -> DataFrame:
     inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     ranked = distinct.withColumn("ahead", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     joined = ranked.join(F.broadcast(starts), "virtual_slot")
-    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
-    return joined.select("*", copy.alias("copy")).withColumn("slot", (F.col("start") + F.col("ahead") + F.col("copy")).cast("long"))
+    # what is repeated very often is spread by strips of COPIES before it is dealt out
+    few = joined.where(F.col("copies") <= COPIES).withColumn("strip", F.lit(0).cast("long"))
+    many = joined.where(F.col("copies") > COPIES).withColumn("strip", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES))))
+    dealt = few.unionByName(many.repartition("virtual_slot", "doc_id", "strip"))
+    copy = F.explode(F.sequence(F.col("strip") * COPIES, F.least(F.col("copies"), (F.col("strip") + 1) * COPIES) - 1))
+    return dealt.select("*", copy.alias("copy")).withColumn("slot", (F.col("start") + F.col("ahead") + F.col("copy")).cast("long"))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Every row of ``docs`` with its shard and place, under the law ``bytes``.
 
-    Makes the map's next version at ``map_path`` (in the shared folder by default)
-    and reads it back from there. A null text has size 1 and the CRC of the empty
+    Makes the next version of the map at ``map_path`` (a new one in the shared folder
+    by default, which begins as an even map) by moving slots of the version before it,
+    and reads that version back. A null text has size 1 and the CRC of the empty
     text; a null doc_id is a value like any other; repeated rows are all placed; an
     empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     rows = sized(docs, slots)
     if map_path is None:
-        import uuid
-
         map_path = f"{shared_dir(spark).rstrip('/')}/orrery/slot-map-{uuid.uuid4().hex}"
-    save_map(slot_map(slot_bytes(rows), shards), map_path)
-    return place(rows, load_map(spark, map_path))
+    version = latest_version(spark, map_path)
+    if not version:
+        save_map(even_map(spark, shards, slots), map_path)
+        version = 1
+    old = load_map(spark, map_path, version)
+    save_map(slot_map(slot_bytes(rows), shards, version + 1, old, SLACK), map_path)
+    return place(rows, load_map(spark, map_path, version + 1))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
