@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table
+from orrery.llm.common import let, running, stretch, strips, table
 
 #: Role, mark before its text, mark after it.
 MARKS = (("system", "<<SYS>>", "<</SYS>>"), ("user", "[INST]", "[/INST]"), ("assistant", "<s>", "</s>"))
@@ -45,11 +45,11 @@ def _mark(role: Column, which: int) -> Column:
 
 def merged(turns: Column) -> Column:
     """``[{role, texts}]`` of sorted turns: each run of one role is one element."""
-    role = lambda i: F.get(turns["role"], i)
+    role = lambda i: F.get(turns, i)["role"]
     places = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (role(i) != role(F.greatest(i - 1, F.lit(0)))))
     bounds = F.concat(places, F.array(F.size(turns)))
     runs = F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("a"), F.slice(bounds, 2, F.size(bounds) - 1).alias("b"))
-    return F.transform(runs, lambda x: F.struct(role(x["a"]).alias("role"), F.slice(turns["text"], x["a"] + 1, x["b"] - x["a"]).alias("texts")))
+    return F.transform(runs, lambda x: F.struct(role(x["a"]).alias("role"), F.slice(turns, x["a"] + 1, x["b"] - x["a"])["text"].alias("texts")))
 
 
 def format_conversations(rows: DataFrame, block: int = 1024) -> DataFrame:
@@ -79,19 +79,18 @@ def format_conversations(rows: DataFrame, block: int = 1024) -> DataFrame:
             ),
         )
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["before"])
-        end = begin + F.length(x["body"])
-        own = F.when(x["loss"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(none)
-        return F.struct((end + F.length(x["after"])).alias("at"), F.concat(state["spans"], own).alias("spans"))
+    def spans(parts: Column) -> Column:
+        lengths = F.transform(parts, lambda x: (F.length(x["before"]) + F.length(x["body"]) + F.length(x["after"])).cast("bigint"))
+        begin = lambda x, at: (at + F.length(x["before"])).cast("int")
+        span = lambda x, at: F.struct(x["loss"].alias("loss"), begin(x, at).alias("start"), (begin(x, at) + F.length(x["body"])).alias("end"))
+        kept = F.filter(F.zip_with(parts, running(lengths), span), lambda x: x["loss"])
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
     parts = runs.select("conv_id", F.flatten(F.transform("runs", pieces)).alias("parts"))
     return parts.select(
         "conv_id",
         F.array_join(F.transform("parts", lambda x: F.concat(x["before"], x["body"], x["after"])), "").alias("formatted"),
-        F.aggregate("parts", start, step, lambda state: state["spans"]).alias("loss_spans"),
+        let(F.col("parts"), spans).alias("loss_spans"),
     )
 
 
@@ -113,8 +112,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped."""
-    part = lambda x: unescape(F.substring(formatted, x["start"] + 1, x["end"] - x["start"]))
-    return F.array_join(F.transform(spans, part), "")
+    return let(strips(formatted), lambda cut: F.array_join(F.transform(spans, lambda x: unescape(stretch(cut, x["start"], x["end"]))), ""))
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,60 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """For each element of an array of longs, what comes before it combined (from 0): running sums by default.
+
+    Built in blocks of the square root of the length, as appending to an array copies it.
+    """
+    empty = F.array().cast("array<bigint>")
+    zero = F.lit(0).cast("bigint")
+
+    def block(part: Column) -> Column:
+        step = lambda state, x: F.struct(combine(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+        return F.aggregate(part, F.struct(zero.alias("at"), empty.alias("out")), step)
+
+    def joined(blocks: Column) -> Column:
+        before = block(blocks["at"])["out"]
+        return F.flatten(F.zip_with(blocks, before, lambda own, base: F.transform(own["out"], lambda x: combine(base, x))))
+
+    def whole(array: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(array).cast("double"))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(array), width), lambda at: block(F.slice(array, at, width)))
+        return F.when(F.size(array) > 0, let(blocks, joined)).otherwise(empty)
+
+    return let(values, whole)
+
+
+#: Characters of a text's strips.
+STRIP = 1024
+
+
+def strips(text: Column) -> Column:
+    """A text cut into strips of STRIP characters, for ``stretch``."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{STRIP}}}"), F.lit(0))
+
+
+def stretch(cut: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` (exclusive); its cost does not grow with the text around it."""
+    first = F.floor(start / STRIP).cast("int")
+    few = F.slice(cut, first + 1, F.floor((end - 1) / STRIP).cast("int") - first + 1)
+    own = F.substring(F.array_join(few, ""), (start % STRIP + 1).cast("int"), (end - start).cast("int"))
+    return F.when(end > start, own).otherwise(F.lit(""))
+
+
 def numbered(df: DataFrame, group: str, row: str, out: str, buckets: int) -> DataFrame:
     """Gapless numbers from 0 within each ``group``, without a group in one task.
 

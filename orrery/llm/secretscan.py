@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import table, whole_text
+from orrery.llm.common import let, running, stretch, strips, table, unused, whole_text
 
 #: Kind, pattern, group that must be long, its least length.
 PATTERNS = (
@@ -46,46 +46,49 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), values.alias("value")), lambda x: x["hit"].isNotNull())
-    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
-
-    def step(state: Column, x: Column) -> Column:
-        begin = (state["at"] + F.length(x["gap"])).cast("long")
-        end = (begin + F.length(x["hit"])).cast("long")
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    found = F.aggregate(rows, start, step, lambda state: state["out"])
-    return F.when(text.rlike(pattern), found).otherwise(empty)
+    def span(x: Column, before: Column) -> Column:
+        begin = before + F.length(x["gap"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["hit"])).alias("end"), x["value"].alias("value"))
 
+    def placed(found: Column) -> Column:
+        return F.zip_with(found, running(F.transform(found, lambda x: (F.length(x["gap"]) + F.length(x["hit"])).cast("bigint"))), span)
 
-def _term(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,end:bigint,value:string>>")
+    return F.when(text.rlike(pattern), let(rows, placed)).otherwise(empty)
 
 
 def high_entropy(value: Column, limit: Column, window: int = WINDOW) -> Column:
-    """``{lo, hi}`` from the first to the last window of at least ``limit`` bits a character; lo is -1 if there is none."""
+    """``{lo, hi}`` from the first to the last window of at least ``limit`` bits a character; lo is -1 if there is none.
+
+    The sum of n log n over the counts n in the window changes with the counts of the
+    character that enters and of the one that leaves alone. ``value`` and ``limit`` should be
+    fields of a lambda's argument, as every step uses the limit.
+    """
     codes = F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    begin = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"), codes.alias("codes"))
-
-    def step(state: Column, i: Column) -> Column:
-        counts, enters = state["counts"], F.get(state["codes"], i)
-        leaves = F.when(i >= window, F.get(state["codes"], F.greatest(i - window, F.lit(0)))).otherwise(F.lit(-1))
-        before = F.get(counts, enters)
-        added = state["sum"] + _term(before + 1) - _term(before)
-        gone = F.get(counts, F.greatest(leaves, F.lit(0))) + F.when(leaves == enters, 1).otherwise(0)
-        total = F.when(leaves >= 0, added + _term(gone - 1) - _term(gone)).otherwise(added)
-        fresh = F.transform(counts, lambda n, k: n + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        high = (i >= window - 1) & (F.lit(math.log2(window)) - total / window >= limit)
-        return F.struct(
-            fresh.alias("counts"),
-            total.alias("sum"),
-            F.when(high & (state["lo"] < 0), i - window + 1).otherwise(state["lo"]).alias("lo"),
-            F.when(high, i + 1).otherwise(state["hi"]).alias("hi"),
-            state["codes"].alias("codes"),
+    term = [n * math.log2(n) if n else 0.0 for n in range(window + 2)]
+    rise = F.array(*(F.lit(b - a) for a, b in zip(term, term[1:], strict=False)))  # from n to n + 1
+    begin = F.struct(F.array().cast("array<int>").alias("last"), F.lit(0).alias("at"), F.lit(0.0).alias("sum"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi"))
+    count = lambda last, code: F.size(last) - F.size(F.array_remove(last, code))
+
+    def step(state: Column, enters: Column) -> Column:
+        last, at = state["last"], state["at"]
+        leaves, full = F.get(last, F.lit(0)), F.size(last) == window
+        left = count(last, leaves) - 1 + F.when(leaves == enters, 1).otherwise(0)
+        total = state["sum"] + F.get(rise, count(last, enters)) - F.when(full, F.get(rise, left)).otherwise(0.0)
+        high = lambda total: (at >= window - 1) & (F.lit(math.log2(window)) - total / window >= limit)
+        return let(
+            total,
+            lambda total: F.struct(
+                F.concat(F.slice(last, F.when(full, 2).otherwise(1), F.lit(window)), F.array(enters)).alias("last"),
+                (at + 1).alias("at"),
+                total.alias("sum"),
+                F.when(high(total) & (state["lo"] < 0), at - window + 1).otherwise(state["lo"]).alias("lo"),
+                F.when(high(total), at + 1).otherwise(state["hi"]).alias("hi"),
+            ),
         )
 
-    places = F.sequence(F.lit(0), F.length(value) - 1)
-    return F.aggregate(places, begin, step, lambda state: F.struct(state["lo"].alias("lo"), state["hi"].alias("hi")))
+    return F.aggregate(codes, begin, step, lambda state: F.struct(state["lo"].alias("lo"), state["hi"].alias("hi")))
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -98,10 +101,11 @@ def _entropy_spans(text: Column) -> Column:
     def span(x: Column) -> Column:
         letters = ~x["value"].rlike("[0-9]")
         limit = F.when(x["value"].rlike("^[0-9a-fA-F]+$"), LIMITS["hex"]).when(letters, LIMITS["letters"]).otherwise(LIMITS["mixed"])
-        return F.struct(x["start"].alias("start"), high_entropy(x["value"], limit).alias("high"))
+        return F.struct(x["start"].alias("start"), x["value"].alias("value"), limit.alias("limit"))
 
-    runs = F.filter(_matches(text, CANDIDATE, 0), unexplained)
-    high = F.filter(F.transform(runs, span), lambda x: x["high"]["lo"] >= 0)
+    runs = F.transform(F.filter(_matches(text, CANDIDATE, 0), unexplained), span)
+    scanned = F.transform(runs, lambda x: F.struct(x["start"].alias("start"), high_entropy(x["value"], x["limit"]).alias("high")))
+    high = F.filter(scanned, lambda x: x["high"]["lo"] >= 0)
     return F.transform(high, lambda x: _span(x["start"] + x["high"]["lo"], x["start"] + x["high"]["hi"], 3))
 
 
@@ -132,19 +136,18 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping secrets become one mark. Texts without secrets, null ones too, stay
     as they are. Columns keep their names and order.
     """
-    text = F.col("text")
+    text, name = F.col("text"), unused(docs, "secrets")
+    found = F.col(name)
 
-    def step(state: Column, x: Column) -> Column:
-        between = F.substring(text, (state["at"] + 1).cast("int"), F.greatest(x["start"] - state["at"], F.lit(0)).cast("int"))
-        own = F.when(x["start"] >= state["at"], F.concat(between, F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], own).alias("out"))
+    def cleaned(cut: Column) -> Column:
+        reach = running(F.transform(found, lambda x: x["end"]), F.greatest)
+        own = lambda x, before: F.when(x["start"] >= before, F.concat(stretch(cut, before, x["start"]), F.lit(mark))).otherwise(F.lit(""))
+        rest = stretch(cut, F.array_max(F.transform(found, lambda x: x["end"])), F.length(text).cast("bigint"))
+        return F.concat(F.array_join(F.zip_with(found, reach, own), ""), rest)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = lambda state: F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("__secrets") > 0, F.aggregate("__secrets", start, step, rest)).otherwise(text)
-    done = scan(docs, "__secrets").withColumn("text", clean)
+    done = scan(docs, name).withColumn("text", F.when(F.size(name) > 0, let(strips(text), cleaned)).otherwise(text))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("__secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.size(name) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
