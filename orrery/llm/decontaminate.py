@@ -31,7 +31,7 @@ from orrery.llm.common import materialise, table, whole_text
 from orrery.llm.tokens import Memo
 
 SIMILARITY = 0.8
-#: Items of fewer words are no passages and are not searched.
+#: Items of fewer words may have no edit at this similarity; their windows are looked up whole.
 LEAST_WORDS = 5
 LADDER = 1.1
 #: Independent walks, samples of each, and words in a sample.
@@ -91,6 +91,14 @@ def sample_keys(embedded: np.ndarray, size: int, walk: int) -> np.ndarray:
     return keys
 
 
+def phrases(flat: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the stretches of ``size`` words from each start."""
+    found = np.zeros(len(starts), np.uint64)
+    for k in range(size):
+        found = _mix(found * np.uint64(3) + flat[starts + k])
+    return found
+
+
 def fit_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     """``(distance, start, end)``: the least edit distance of the item to a stretch of the region."""
     m = len(region)
@@ -120,13 +128,22 @@ class ItemIndex:
         self.pairs = np.zeros(_PAIRS // 8, np.uint8)
         self.own_pairs = [pair_slots(own) for _, own in items]
         ladder: dict[int, list[int]] = defaultdict(list)
+        short: dict[int, list[int]] = defaultdict(list)
         for k, (_, own) in enumerate(items):
-            size = LEAST_WORDS
+            if len(own) < LEAST_WORDS and not edits(len(own), similarity):
+                short[len(own)].append(k)
+                continue
+            size = min(LEAST_WORDS, len(own))
             while max(size + 1, int(size * LADDER)) <= len(own):
                 size = max(size + 1, int(size * LADDER))
             ladder[size].append(k)
             slots = self.own_pairs[k]
             np.bitwise_or.at(self.pairs, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+        self.short = []
+        for size, members in sorted(short.items()):
+            keys = np.concatenate([phrases(items[k][1], np.zeros(1, np.int64), size) for k in members])
+            order = np.argsort(keys, kind="stable")
+            self.short.append((size, keys[order], np.array(members)[order]))
         self.classes = []
         for size, members in sorted(ladder.items()):
             # the longest item of a class may lose most pairs
@@ -175,8 +192,27 @@ class ItemIndex:
                             pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                             yield np.repeat(inside, n), owner[pick]
 
+    def short_hits(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each document."""
+        row = np.repeat(np.arange(len(count)), count)
+        left = first[row] + count[row] - np.arange(len(flat))
+        for size, keys, owner in self.short:
+            starts = np.flatnonzero(left >= size)
+            found = phrases(flat, starts, size)
+            lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+            some = np.flatnonzero(hi > lo)
+            n = (hi - lo)[some]
+            item = owner[np.repeat(lo[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            start = np.repeat(starts[some], n)
+            _, at = np.unique(item.astype(np.int64) * max(1, len(count)) + row[start], return_index=True)
+            for k, place in zip(item[at].tolist(), start[at].tolist(), strict=True):
+                if (flat[place : place + size] == self.items[k][1]).all():
+                    begin = place - int(first[row[place]])
+                    yield int(row[place]), k, begin, begin + size, 0
+
     def search(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """``(row, item, start, end, distance)``: the best stretch of each document for each item within the similarity."""
+        yield from self.short_hits(flat, first, count)
         met = [np.unique(item.astype(np.int64) * len(flat) + start) for start, item in self.candidates(flat, first, count)]
         if not met:
             return
@@ -223,10 +259,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     For each document and item the stretch of words (end exclusive) nearest to the
     item, where 1 - edits / words of the item reaches ``similarity``. Items are
-    compared word by word, without case and punctuation. Null texts hold nothing;
-    null items and those of fewer than LEAST_WORDS words are not searched; items of
-    equal text are one, under the least item_id; repeated rows each report. The
-    documents are read once for each block of items, whole and in place.
+    compared word by word, without case and punctuation. Null texts hold nothing, nor
+    are null items and those without words held; items of equal text are one, under
+    the least item_id; repeated rows and rows without doc_id each report; an empty
+    table gives an empty table. The documents are read once for each block of items,
+    whole and in place.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -234,32 +271,38 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     schema = f"doc_id {kind}, item_id long, start long, end long, distance long, n_words long"
     found = None
     for block in _blocks(benchmark):
-        items = [(i, own) for i, own in ((i, np.array(words(t), np.uint64)) for i, t in block) if len(own) >= LEAST_WORDS]
-        shared = spark.sparkContext.broadcast(items)
-        part = narrow.mapInArrow(_searcher(shared, similarity), schema) if items else spark.createDataFrame([], schema)
+        shared = spark.sparkContext.broadcast(_searchable(block))
+        part = narrow.mapInArrow(_reporter(shared, similarity), schema)
         found = part if found is None else found.unionByName(part)
     return found.withColumn("similarity", 1 - F.col("distance") / F.col("n_words")).drop("n_words")
 
 
-def _searcher(shared, similarity: float, most_bytes: int = 8 << 20):
-    known: Memo[bytes] = Memo(500_000)
+def _searchable(block: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
+    return [(i, own) for i, own in ((i, np.array(words(t), np.uint64)) for i, t in block) if len(own)]
+
+
+def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, np.ndarray]], similarity: float, at: int, most_bytes: int = 8 << 20):
+    """Parts of the batches, each with what ``ItemIndex.search`` finds in its column ``at``."""
+    index, known = ItemIndex(items, similarity), Memo()
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        row = 0
+        while row < batch.num_rows:
+            to = max(row + 1, int(np.searchsorted(ends, (int(ends[row - 1]) if row else 0) + most_bytes, "right")))
+            part, row = batch.slice(row, to - row), to
+            flat, count = _word_hashes(pc.fill_null(part.column(at), ""), known)
+            yield part, list(index.search(flat, np.cumsum(count) - count, count))
+
 
+def _reporter(shared, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        index = ItemIndex(items, similarity)
-        for batch in batches:
-            ends = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + most_bytes, "right")))
-                part, at = batch.slice(at, to - at), to
-                flat, count = _word_hashes(part.column(1), known)
-                rows = list(index.search(flat, np.cumsum(count) - count, count))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(columns[0], pa.int64())), pa.array([items[k][0] for k in columns[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[2:]), pa.array([len(items[k][1]) for k in columns[1]], pa.int64())],
-                    names=["doc_id", "item_id", "start", "end", "distance", "n_words"],
-                )
+        for part, rows in _searched(batches, items, similarity, 1):
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(columns[0], pa.int64())), pa.array([items[k][0] for k in columns[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[2:]), pa.array([len(items[k][1]) for k in columns[1]], pa.int64())],
+                names=["doc_id", "item_id", "start", "end", "distance", "n_words"],
+            )
 
     return run
 
@@ -280,9 +323,27 @@ def _word_hashes(texts: pa.Array, known: Memo[bytes]) -> tuple[np.ndarray, np.nd
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns stay."""
-    held = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, docs["doc_id"].eqNullSafe(held["__held"]), "left_anti")
+    """``docs`` without the rows whose text holds a benchmark item; all columns stay, whatever their names.
+
+    Each row is judged by its own text: rows that share a doc_id, or have none, may
+    part. Rows pass through a task for each block of items, so nothing is joined or
+    shuffled. An empty table gives an empty table.
+    """
+    at = docs.columns.index("text")
+
+    def keeper(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, rows in _searched(batches, shared.value, similarity, at):
+                clean = np.ones(part.num_rows, bool)
+                clean[[r for r, *_ in rows]] = False
+                yield part.filter(pa.array(clean))
+
+        return run
+
+    kept = docs
+    for block in _blocks(benchmark):
+        kept = kept.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(_searchable(block))), docs.schema)
+    return kept
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
