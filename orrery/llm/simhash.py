@@ -174,7 +174,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -
     roots = components(links(distinct, max_bits), "a", "b")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(rooted.select("fp", "root"), "fp", "left").join(named, "root", "left").select("doc_id", "fp", "component_id")
+    # settled on distinct fingerprints, so that the documents are joined once
+    classes = rooted.join(named, "root").select("fp", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, width: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
