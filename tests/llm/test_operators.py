@@ -589,6 +589,57 @@ def test_edited_copies_meet_and_others_do_not(spark):
     assert len({got[i * 10] for i in range(16)}) == 16
 
 
+def seen_from(image, degrees, scale):
+    """The image turned and scaled about its middle, between pixels where they fall so; grey around it."""
+    h, w = image.shape
+    side = int(math.ceil(math.hypot(h, w) * scale)) if degrees else round(h * scale)
+    y, x = np.mgrid[0:side, 0 : side if degrees else round(w * scale)].astype(float)
+    y, x, c, s = y - (y.shape[0] - 1) / 2, x - (x.shape[1] - 1) / 2, math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    u, v = (x * c + y * s) / scale + (w - 1) / 2, (y * c - x * s) / scale + (h - 1) / 2
+    u0, v0 = np.clip(np.floor(u).astype(int), 0, w - 2), np.clip(np.floor(v).astype(int), 0, h - 2)
+    fu, fv = np.clip(u - u0, 0, 1), np.clip(v - v0, 0, 1)
+    out = (image[v0, u0] * (1 - fu) + image[v0, u0 + 1] * fu) * (1 - fv) + (image[v0 + 1, u0] * (1 - fu) + image[v0 + 1, u0 + 1] * fu) * fv
+    return np.where((u < -0.5) | (u > w - 0.5) | (v < -0.5) | (v > h - 0.5), 128, out)
+
+
+def test_scaled_turned_noisy_and_cropped_copies_are_found_among_other_images(spark):
+    rng, rows, kind_of = np.random.default_rng(27), [], {}
+    noise = lambda im: np.clip(im + rng.normal(0, 6, im.shape), 0, 255)
+    kinds = {f"scale {k}": (lambda im, k=k: seen_from(im, 0, k)) for k in (0.8, 1.25)} | {f"turn {k}": (lambda im, k=k: seen_from(im, k, 1)) for k in (15, 40)}
+    kinds |= {"noise": noise, "crop": lambda im: im[6:92, 8:94], "grey steps": lambda im: im // 16 * 16, "turn 90": np.rot90}
+    for i in range(10 * len(kinds)):
+        image = np.rint(media.render(rng.normal(0, 0.12, 64)))
+        name = list(kinds)[i % len(kinds)]
+        for k, shown in enumerate([image, kinds[name](image)]):
+            pixels = np.rint(shown).astype(np.uint8)
+            rows.append((2 * i + k, pixels.shape[1], pixels.shape[0], pixels.tobytes()))
+        kind_of[2 * i + 1] = name
+    got = {r["image_id"]: r for r in media.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()}
+    found = Counter(name for i, name in kind_of.items() if got[i]["class_id"] == i - 1 and got[i]["links"] >= 1)
+    assert all(found[name] >= 9 for name in kinds), found
+    assert all(r["class_id"] // 2 == i // 2 for i, r in got.items())
+
+
+def test_links_that_stars_miss_are_found_in_the_rest(spark, monkeypatch):
+    rng, rows = np.random.default_rng(28), []
+    for i in range(6):
+        image = np.rint(media.render(rng.normal(0, 0.12, 64)))
+        for k in range(4):
+            pixels = np.rint(image[k : 92 + k // 2, 2 * k : 90 + k]).astype(np.uint8)
+            rows.append((i * 10 + k, pixels.shape[1], pixels.shape[0], pixels.tobytes()))
+    images = spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")
+    monkeypatch.setattr(media, "star_links", lambda described: described.sparkSession.createDataFrame([], "a long, b long"))
+    got = media.copies(images).collect()
+    assert all(r["class_id"] == r["image_id"] // 10 * 10 and r["links"] == 3 for r in got)
+
+
+def test_images_without_an_id_keep_their_own_class(spark):
+    pixels = np.rint(media.render(np.random.default_rng(3).normal(0, 0.12, 64))).astype(np.uint8)
+    rows = [(None, 96, 96, pixels.tobytes()), (7, 96, 96, pixels.tobytes()), (None, 96, 96, pixels[::-1].tobytes()), (8, 2, 2, b"ab")]
+    got = media.copies(spark.createDataFrame(rows, "image_id long, width int, height int, pixels binary")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(["(None, 7, 0)", "(7, 7, 0)", "(None, None, 0)", "(8, 8, 0)"])
+
+
 def test_media_of_nothing(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, width int, height int, pixels binary")).count() == 0
 
