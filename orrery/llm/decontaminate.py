@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm.common import materialise, table, whole_text
-from orrery.llm.tokens import Memo
+from orrery.llm.tokens import Known, gathered
 
 SIMILARITY = 0.8
 #: Items of fewer words may have no edit at this similarity; their windows are looked up whole.
@@ -39,6 +39,8 @@ WALKS, SAMPLES, WIDTH = 4, 24, 3
 #: Bytes of item texts that go to the executors at once; more are searched in blocks.
 BLOCK_BYTES = 16 << 20
 _PAIRS = 1 << 24
+#: Slots by which most keys are told to be of no item.
+_SEEN = 1 << 18
 _WORD = re.compile(r"\w+")
 _PAD = np.uint64(0)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -153,7 +155,9 @@ class ItemIndex:
             keys = np.concatenate([sample_keys(embed(flat, np.arange(len(members)) * size, np.zeros(len(members), np.int64), np.full(len(members), size), size, w), size, w) for w in range(WALKS)])
             owner = np.broadcast_to(np.array(members), keys.shape).ravel()
             order = np.argsort(keys.ravel(), kind="stable")
-            self.classes.append((size, slack, need, keys.ravel()[order], owner[order]))
+            seen = np.zeros(_SEEN, bool)
+            seen[(keys.ravel() & np.uint64(_SEEN - 1)).astype(np.int64)] = True
+            self.classes.append((size, slack, need, keys.ravel()[order], owner[order], seen))
 
     def candidates(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Starts of windows, and items whose keys they share."""
@@ -161,7 +165,7 @@ class ItemIndex:
             return
         slots = pair_slots(flat)
         hits = np.flatnonzero((self.pairs[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1)
-        for size, slack, need, keys, owner in self.classes:
+        for size, slack, need, keys, owner, seen in self.classes:
             # a window holds enough pairs if its need-th hit from some hit on is still inside
             span = hits[need - 1 :] - hits[: max(0, len(hits) - need + 1)]
             dense = np.flatnonzero(span <= size - 2)
@@ -185,12 +189,13 @@ class ItemIndex:
                 cut = slice(at, at + 65536)
                 inside = starts[cut] + lack[cut]
                 for walk in range(WALKS):
-                    for found in sample_keys(embed(flat, starts[cut], lack[cut], room[cut], size, walk), size, walk):
-                        lo, hi = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
-                        n = hi - lo
-                        if n.any():
-                            pick = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                            yield np.repeat(inside, n), owner[pick]
+                    found = sample_keys(embed(flat, starts[cut], lack[cut], room[cut], size, walk), size, walk).ravel()
+                    maybe = np.flatnonzero(seen[(found & np.uint64(_SEEN - 1)).astype(np.int64)])
+                    found = found[maybe]
+                    lo = np.searchsorted(keys, found, "left")
+                    n = np.searchsorted(keys, found, "right") - lo
+                    if n.any():
+                        yield np.repeat(inside[maybe % len(inside)], n), gathered(owner, lo, n)
 
     def short_hits(self, flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """The first place of each short item in each document."""
@@ -231,7 +236,8 @@ class ItemIndex:
             lo, hi = max(int(first[r]), int(start[a]) - slack), min(int(first[r] + count[r]), int(start[b - 1]) + len(own) + slack)
             region = flat[lo:hi]
             # the q-gram lemma again, for this item: most of its pairs must be there
-            if np.isin(self.own_pairs[k], pair_slots(region)).sum() < len(own) - 1 - 2 * slack:
+            there = set(pair_slots(region).tolist())
+            if sum(pair in there for pair in self.own_pairs[k].tolist()) < len(own) - 1 - 2 * slack:
                 continue
             distance, at, end = fit_distance(own, region)
             if distance <= slack:
@@ -283,7 +289,7 @@ def _searchable(block: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
 
 def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, np.ndarray]], similarity: float, at: int, most_bytes: int = 8 << 20):
     """Parts of the batches, each with what ``ItemIndex.search`` finds in its column ``at``."""
-    index, known = ItemIndex(items, similarity), Memo()
+    index, known = ItemIndex(items, similarity), Known(_hashed, np.uint64)
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         row = 0
@@ -307,19 +313,26 @@ def _reporter(shared, similarity: float):
     return run
 
 
-def _word_hashes(texts: pa.Array, known: Memo[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of chunks in a row, and their number in each."""
+    flat, length = [], []
+    for chunk in chunks.to_pylist():
+        own = words(chunk)
+        flat += own
+        length.append(len(own))
+    return np.array(flat, np.uint64), np.array(length, np.int64)
+
+
+def _word_hashes(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row and their number in each text."""
     split = pc.split_pattern(texts, " ")
     coded = pc.list_flatten(split).dictionary_encode()
     per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    values = known.all(chunks, lambda new: [np.array(words(x), np.uint64).tobytes() for x in new])
-    size = np.fromiter(map(len, values), np.int64, len(values)) // 8
-    pool = np.frombuffer(b"".join(values), np.uint64)
-    start, spread = np.cumsum(size) - size, size[codes]
-    flat = pool[np.repeat(start[codes] - (np.cumsum(spread) - spread), spread) + np.arange(int(spread.sum()))]
+    pool, start, length = known.ids(coded.dictionary)
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    spread = length[codes]
     count = np.add.reduceat(spread, np.cumsum(per_text) - per_text) if len(per_text) else np.zeros(0, np.int64)
-    return flat, count
+    return gathered(pool, start[codes], spread), count
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

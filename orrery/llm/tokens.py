@@ -72,12 +72,13 @@ class Known:
     """Chunks whose ids are known: at most ``limit`` chunks (and a batch) of ``most_bytes``; full, it keeps the latest batch's.
 
     Chunks of more than ``longest`` bytes, such as texts without spaces, are not kept.
+    ``encode`` gives the ids of chunks in a row, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], limit: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64) -> None:
+    def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], kind: type = np.uint32, limit: int = 400_000, most_bytes: int = 32 << 20, longest: int = 64) -> None:
         self.encode, self.limit, self.most_bytes, self.longest = encode, limit, most_bytes, longest
         self.chunks = pa.array([], pa.string())
-        self.pool, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.pool, self.length = np.zeros(0, kind), np.zeros(0, np.int64)
 
     def ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(pool, start, length)``: each chunk's ids are a stretch of the pool."""
