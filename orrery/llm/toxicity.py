@@ -87,7 +87,7 @@ def count_features(labelled: DataFrame) -> pd.DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((4, size), np.int64)
         for batch in batches:
-            for part in _slices(batch, 0):
+            for part in _slices(batch, 0, 1 << 20):
                 codes, chunks, per_text = _chunks(part.column(0))
                 found = [[*own, BUCKETS] if own else own for own in map(features, chunks)]
                 lengths = np.fromiter(map(len, found), np.int64, len(found))
@@ -162,21 +162,23 @@ def maximal_segments(positive: list[int], score: list[float], total: list[float]
     return [(a, b, right - left) for a, b, left, right in stack]
 
 
-def scan(docs: DataFrame, scores: np.ndarray, least: float = 1.0) -> DataFrame:
-    """``docs`` with ``n_tokens, best, passages`` for ``text``: the segments of every text that score ``least`` or more.
+def scan(docs: DataFrame, scores: np.ndarray, keep: list[str] | None = None, least: float = 1.0) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all by default) with ``n_tokens, best, passages`` for ``text``.
 
-    A passage is its first token, the token after its last, and its score; tokens
-    are the chunks between single spaces. Other columns pass through a task as they are.
+    Passages are the segments that score ``least`` or more: the first token, the token after
+    the last, and the score; tokens are the chunks between single spaces. Other columns
+    pass through a task as they are.
     """
+    keep = docs.columns if keep is None else keep
     table_of = docs.sparkSession.sparkContext.broadcast(scores.astype(np.float64))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = table_of.value.tolist()
-        known: Memo[float] = Memo()
+        known: Memo[float] = Memo(200_000)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            for part in _slices(batch, at):
+            for part in _slices(batch, at, 2 << 20):
                 codes, chunks, per_text = _chunks(pc.fill_null(part.column(at), ""))
                 values = known.all(chunks, lambda new: [chunk_score(x, weights) for x in new])
                 flat = np.array(values, float)[codes]
@@ -190,11 +192,12 @@ def scan(docs: DataFrame, scores: np.ndarray, least: float = 1.0) -> DataFrame:
                         found = maximal_segments(places.tolist(), own[places].tolist(), np.cumsum(own)[places].tolist())
                         best[row] = max(s for _, _, s in found)
                     passages.append([{"start": i, "end": j, "score": s} for i, j, s in found if s >= least])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(per_text), pa.array(best), pa.array(passages, kind)], names=names)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(per_text), pa.array(best), pa.array(passages, kind)], names=names)
 
-    names = [*docs.columns, "n_tokens", "best", "passages"]
+    kept = [docs.columns.index(c) for c in keep]
+    names = [*keep, "n_tokens", "best", "passages"]
     added = T.StructType.fromDDL("n_tokens long, best double, passages array<struct<start:long,end:long,score:double>>")
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[k] for k in kept), *added.fields]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
@@ -212,15 +215,15 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]
     return a, b
 
 
-def _scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with held_out, score, predicted, best, n_tokens and passages."""
+def _scored(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns ``keep`` (with doc_id) of ``docs`` with held_out, score, predicted, best, n_tokens and passages."""
     toxic = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
     toxic = F.broadcast(materialise(least_hashed(toxic.where(~held_out()), "doc_id", TRAIN_ROWS), "toxic-labels"))
     known = docs.select("doc_id", whole_text().alias("text")).where(~held_out()).join(toxic, "doc_id")
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     one, zero = sizes.get(1, 0), sizes.get(0, 0)
     scores = log_odds(count_features(known), one, zero)
-    scanned = materialise(scan(docs, scores), "toxic-segments")
+    scanned = materialise(scan(docs, scores, keep), "toxic-segments")
     length = F.log(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))
     rated = scanned.select("doc_id", "best", length.alias("ln")).where(~held_out()).join(toxic, "doc_id")
     m = rated.where("label = 0").agg(F.avg("best").alias("m"), F.stddev_pop("best").alias("s"), F.avg("ln").alias("ln"), F.covar_pop("best", "ln").alias("c"), F.var_pop("ln").alias("v")).first()
@@ -254,7 +257,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     label 1. Repeated rows and rows without doc_id are scored once each; an empty table
     gives an empty table. Other columns are not read.
     """
-    found = _scored(docs.select("doc_id", "text"), labels)
+    found = _scored(docs.select("doc_id", "text"), labels, ["doc_id"])
     return found.select("doc_id", "held_out", "score", "predicted", "best", "n_tokens", "passages")
 
 
@@ -267,7 +270,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     own = {"doc_id": "doc_id", "text": "text"}
     apart = docs.toDF(*(own.get(c, f"__{k}") for k, c in enumerate(docs.columns)))
-    kept = _scored(apart, labels).where("predicted = 0").select(*apart.columns)
+    kept = _scored(apart, labels, apart.columns).where("predicted = 0").select(*apart.columns)
     return kept.toDF(*docs.columns)
 
 
