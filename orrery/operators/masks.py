@@ -112,19 +112,79 @@ def bank(masks: DataFrame, proposals: DataFrame, most: float = 0.95) -> DataFram
     return free.unionByName(nodes.groupBy("scene_id").applyInPandas(greedy, "scene_id long, p long"))
 
 
-def greedy_matches(pairs: DataFrame, least: float = 0.3) -> DataFrame:
-    """``scene_id, p, q, iou``: one-to-one matches, best IoU first (then lower p, q), per scene."""
+def greedy_matches(pairs: DataFrame, least: float = 0.3, by: str = "iou") -> DataFrame:
+    """``scene_id, p, q, iou, shared``: one-to-one matches, greatest ``by`` first (then lower p, q), per scene.
+
+    Only pairs that overlap reach the per-scene loop, not vertices.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, left, right = [], set(), set()
-        for row in pdf.sort_values(["iou", "p", "q"], ascending=[False, True, True]).itertuples():
+        for row in pdf.sort_values([by, "p", "q"], ascending=[False, True, True]).itertuples():
             if row.p not in left and row.q not in right:
                 left.add(row.p)
                 right.add(row.q)
-                rows.append((row.scene_id, row.p, row.q, row.iou))
-        return pd.DataFrame(rows, columns=["scene_id", "p", "q", "iou"])
+                rows.append((row.scene_id, row.p, row.q, row.iou, row.shared))
+        return pd.DataFrame(rows, columns=["scene_id", "p", "q", "iou", "shared"])
+
+    kept = pairs.where(F.col("iou") >= least).select("scene_id", "p", "q", "iou", "shared")
+    return kept.groupBy("scene_id").applyInPandas(run, "scene_id long, p long, q long, iou double, shared long")
+
+
+def vertex_membership(faces: DataFrame) -> DataFrame:
+    """``scene_id, v, o``: the object of most faces at a vertex; ties go to the smallest object.
+
+    faces: scene_id, corners (array of vertices), o.
+    """
+    ends = faces.select("scene_id", F.explode("corners").alias("v"), "o")
+    counted = ends.groupBy("scene_id", "v", "o").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("scene_id", "v").agg(F.min(F.struct((-F.col("n")).alias("n"), "o")).alias("best")).select("scene_id", "v", "best.o")
+
+
+def lifted(views: DataFrame, visible: DataFrame) -> DataFrame:
+    """``scene_id, view, mask, v``: a view's mask on the mesh, that is, the vertices it holds that the view sees."""
+    return views.join(visible.select("scene_id", "view", "v").distinct(), ["scene_id", "view", "v"], "left_semi").select("scene_id", "view", "mask", "v").distinct()
+
 
-    return pairs.where(F.col("iou") >= least).select("scene_id", "p", "q", "iou").groupBy("scene_id").applyInPandas(run, "scene_id long, p long, q long, iou double")
+def mesh_edges(faces: DataFrame) -> DataFrame:
+    """``scene_id, a, b`` (a < b): the distinct edges of triangles (scene_id, corners)."""
+    corner = lambda k: F.get("corners", F.lit(k))
+    sides = F.array(*(F.struct(F.least(corner(i), corner(j)).alias("a"), F.greatest(corner(i), corner(j)).alias("b")) for i, j in ((0, 1), (1, 2), (2, 0))))
+    return faces.select("scene_id", F.explode(sides).alias("e")).select("scene_id", "e.a", "e.b").where("a <> b").distinct()
+
+
+def coverage(pairs: DataFrame, truths: DataFrame, matches: DataFrame) -> DataFrame:
+    """``scene_id, q, size, top, covered, match, match_iou`` of every true object.
+
+    top is the prediction with most of its vertices (then the lower id), covered the
+    share it has; match is its one-to-one partner.
+    """
+    first = pairs.groupBy("scene_id", "q").agg(F.min(F.struct((-F.col("shared")).alias("n"), "p")).alias("t")).select("scene_id", "q", F.col("t.p").alias("top"), (-F.col("t.n")).alias("most"))
+    own = matches.select("scene_id", "q", F.col("p").alias("match"), "iou")
+    every = sizes(truths).withColumnRenamed("p", "q").join(first, ["scene_id", "q"], "left").join(own, ["scene_id", "q"], "left")
+    covered = F.round(F.coalesce(F.col("most") / F.col("size"), F.lit(0.0)), 4)
+    return every.select("scene_id", "q", "size", "top", covered.alias("covered"), "match", F.round(F.coalesce("iou", F.lit(0.0)), 4).alias("match_iou"))
+
+
+def split_and_merged(pairs: DataFrame, least: float = 0.10) -> DataFrame:
+    """``scene_id, split, merging``: objects with two or more predictions of ``least`` of them, predictions over two or more such objects."""
+    strong = pairs.where(F.col("shared") >= least * F.col("size_q")).select("scene_id", "p", "q")
+    split = strong.groupBy("scene_id", "q").count().where("count > 1").groupBy("scene_id").agg(F.count(F.lit(1)).alias("split"))
+    merging = strong.groupBy("scene_id", "p").count().where("count > 1").groupBy("scene_id").agg(F.count(F.lit(1)).alias("merging"))
+    return pairs.select("scene_id").distinct().join(split, "scene_id", "left").join(merging, "scene_id", "left").fillna(0, ["split", "merging"])
+
+
+def failures(cover: DataFrame, matches: DataFrame, best_raw: DataFrame) -> DataFrame:
+    """``scene_id, q, class``: recovered, merged, lost_by_resolver or no_raw_proposal, in this order.
+
+    An object is merged if one prediction holds half of it and is matched to another
+    object; best_raw has the best IoU of any raw mask (scene_id, q, raw_iou).
+    """
+    owner = matches.select("scene_id", F.col("p").alias("top"), F.col("q").alias("owner"))
+    known = cover.join(owner, ["scene_id", "top"], "left").join(best_raw, ["scene_id", "q"], "left")
+    swallowed = (F.col("covered") >= 0.5) & F.col("owner").isNotNull() & (F.col("owner") != F.col("q"))
+    kind = F.when(F.col("match_iou") >= 0.5, "recovered").when(swallowed, "merged").when(F.coalesce("raw_iou", F.lit(0.0)) >= 0.5, "lost_by_resolver").otherwise("no_raw_proposal")
+    return known.select("scene_id", "q", kind.alias("class"))
 
 
 def mesh_components(edges: DataFrame, confident: float = 0.5) -> DataFrame:

@@ -83,13 +83,35 @@ def anchors(entities: DataFrame, surfaces: DataFrame) -> DataFrame:
     return named.select("scene_id", "k.anchor_kind", "k.anchor", "ref").unionByName(kinds)
 
 
-def answer(compiled: DataFrame, entities: DataFrame, surfaces: DataFrame, edges: DataFrame, recall: float = 1.0, threshold: float = 0.95, tau: float = 0.0, aggregate: str = "min") -> DataFrame:
+def ceilings(asked: DataFrame, entities: DataFrame, surfaces: DataFrame, rejections: DataFrame) -> DataFrame:
+    """``scene_id, question, ceiling, n_scoped, n_measured``: 1 less the best confidence of a rejection in a question's scope.
+
+    In scope is a rejection of the relation that is consulted, with an end among the
+    question's anchors: an edge that was nearly there. What carries things is read off
+    ON_SURFACE for a surface, ON_ENTITY_SURFACE for a class. rejections: scene_id, type,
+    src, dst, margin (null where none was measured). Questions without any are left out.
+    """
+    consulted = F.when(F.col("edge_type") != "SUPPORTS", F.col("edge_type")).when(F.col("anchor_kind") == "surface", "ON_SURFACE").otherwise("ON_ENTITY_SURFACE")
+    scope = asked.select("scene_id", "question", "anchor_kind", "anchor", consulted.alias("type")).join(anchors(entities, surfaces), ["scene_id", "anchor_kind", "anchor"]).select("scene_id", "question", "type", "ref").distinct()
+    held = rejections.withColumn("confidence", g.margin_confidence(F.col("margin")))
+    ends = held.select("scene_id", "type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("ref"), "src", "dst", "confidence")
+    met = scope.join(ends, ["scene_id", "type", "ref"]).select("scene_id", "question", "src", "dst", "confidence").distinct()
+    worst = F.greatest(F.lit(0.0), 1 - F.max("confidence"))
+    return met.groupBy("scene_id", "question").agg(F.coalesce(worst, F.lit(1.0)).alias("ceiling"), F.count(F.lit(1)).alias("n_scoped"), F.count("confidence").alias("n_measured"))
+
+
+def answer(
+    compiled: DataFrame, entities: DataFrame, surfaces: DataFrame, edges: DataFrame, recall: float = 1.0, threshold: float = 0.95,
+    tau: float = 0.0, aggregate: str = "min", rejections: DataFrame | None = None,
+) -> DataFrame:
     """Every question of every scene: ``scene_id, question, outcome, n, answers, cited, confidence, text``.
 
     compiled: compiled questions with ``scene_id``. An answer is bound once however many anchors or
     edges give it (the edge of least id is cited). Without bindings the outcome is
     ``empty`` if the extractors' recall reaches the threshold, else ``unknown``. Scores
     below ``tau`` turn bindings and empties into ``unknown``. aggregate: min, mean or product.
+    With ``rejections`` no score is above its question's ceiling (see ``ceilings``); an
+    empty answer scores the ceiling itself.
     """
     asked = compiled.where("compiled = 'compiled'")
     seen = edges.withColumn("confidence", g.margin_confidence(F.col("margin")))
@@ -103,10 +125,13 @@ def answer(compiled: DataFrame, entities: DataFrame, surfaces: DataFrame, edges:
     score = {"min": F.min("edge.confidence"), "mean": F.avg("edge.confidence"), "product": F.product("edge.confidence")}[aggregate]
     row = F.array_sort(F.collect_list(F.struct("ord", "answer", "cls", "edge.edge_id")))
     found = labelled.groupBy("scene_id", "question").agg(row.alias("rows"), score.alias("score"))
-    joined = compiled.join(found, ["scene_id", "question"], "left")
+    joined = compiled.join(found, ["scene_id", "question"], "left").withColumn("ceiling", F.lit(1.0))
+    if rejections is not None:
+        limits = ceilings(asked, entities, surfaces, rejections).select("scene_id", "question", F.col("ceiling").alias("limit"))
+        joined = joined.join(limits, ["scene_id", "question"], "left").withColumn("ceiling", F.coalesce("limit", F.lit(1.0)))
     n = F.coalesce(F.size("rows"), F.lit(0))
     first = F.when(F.col("compiled") == "parser_failure", "parser_failure").when(F.col("compiled") == "out_of_schema", "abstain").when(n > 0, "bindings").when(F.lit(recall >= threshold), "empty").otherwise("unknown")
-    base = F.when(first == "bindings", F.col("score")).when(first == "empty", 1.0).otherwise(0.0)
+    base = F.when(first == "bindings", F.least("score", "ceiling")).when(first == "empty", F.col("ceiling")).otherwise(0.0)
     out = joined.select("scene_id", "question", first.alias("outcome"), base.alias("score"), "rows")
     gated = F.when(F.col("outcome").isin("bindings", "empty") & (F.col("score") < tau), "unknown").otherwise(F.col("outcome"))
     kept = out.withColumn("outcome", gated)

@@ -175,9 +175,22 @@ def on_entity_surface_v2(entities: DataFrame, surfaces: DataFrame, classes: tupl
 
 
 def sampled_rejections(tests: DataFrame, cap: int = 64) -> DataFrame:
-    """The ``cap`` rejections of each scene and relation nearest to acceptance (largest margin, then names)."""
-    order = Window.partitionBy("scene_id", "type").orderBy(F.desc("margin"), "src", "dst")
-    return tests.where("not ok").withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).drop("n")
+    """At most ``cap`` rejections of each scene and relation: the nearest to acceptance, and some by policy.
+
+    A rejection without a margin is one by policy. Those have a quarter of the cap in
+    reserve, of which margins get what is unused, and the other way round. Margins go
+    largest first; ties and policies in order of src, then dst. ``place`` is that order among the kept.
+    """
+    group = Window.partitionBy("scene_id", "type")
+    policy = F.col("margin").isNull()
+    ranked = tests.where("not ok").withColumns({
+        "_policies": F.count_if(policy).over(group),
+        "_measured": F.count_if(~policy).over(group),
+        "_n": F.row_number().over(Window.partitionBy("scene_id", "type", policy).orderBy(F.desc("margin"), "src", "dst")),
+    })
+    measured = F.least(F.col("_measured"), cap - F.least(F.col("_policies"), F.lit(cap // 4)))
+    kept = ranked.where(F.col("_n") <= F.when(policy, F.least(F.col("_policies"), cap - measured)).otherwise(measured))
+    return kept.withColumn("place", F.row_number().over(group.orderBy("src", "dst"))).drop("_policies", "_measured", "_n")
 
 
 def with_edge_id(edges: DataFrame, extractor: str, version: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import masks as m
+from orrery.sources.tables import settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,31 +137,141 @@ def ar_at_k(spark: SparkSession, sf: str) -> DataFrame:
     return m.recall_at(pairs, proposals(spark, sf), truths(spark, sf), (10, 25, 50, 100, 200))
 
 
-@_query(f"""WITH {PRELUDE}, {_TRUE}, {_resolved('0.2')}, fin AS (SELECT b.* FROM best b SEMI JOIN inst i ON i.scene_id = b.scene_id AND i.p = b.p), fs AS (SELECT scene_id, p, count(*) AS size FROM fin GROUP BY ALL),
-fi AS (SELECT f.scene_id, t.p AS q, count(*) / (any_value(s.size) + any_value(ts.size) - count(*)) AS iou, count(*) / any_value(ts.size) AS cover FROM fin f JOIN truth t USING (scene_id, v) JOIN fs s ON s.scene_id = f.scene_id AND s.p = f.p JOIN ts ON ts.scene_id = f.scene_id AND ts.p = t.p GROUP BY f.scene_id, f.p, t.p),
-b AS (SELECT scene_id, q, max(iou) AS final_iou, max(cover) AS cover FROM fi GROUP BY ALL), w AS (SELECT scene_id, q, max(iou) AS raw_iou FROM ti GROUP BY ALL)
-SELECT ts.scene_id, ts.p AS q, CASE WHEN coalesce(final_iou, 0) >= 0.5 THEN 'recovered' WHEN coalesce(raw_iou, 0) >= 0.5 THEN 'lost_by_resolver' WHEN coalesce(cover, 0) >= 0.5 THEN 'merged' ELSE 'no_raw_proposal' END AS class FROM ts LEFT JOIN b ON b.scene_id = ts.scene_id AND b.q = ts.p LEFT JOIN w ON w.scene_id = ts.scene_id AND w.q = ts.p""")
+
+
+def _fold(name: str, ranked: str) -> str:
+    """A greedy one-to-one choice in SQL: ``ranked`` has scene_id, p, q, n (1, 2, ... in the order of choice)."""
+    return f"""{name}_fold AS (
+  SELECT scene_id, 0::BIGINT AS n, NULL::BIGINT AS p, NULL::BIGINT AS q, []::BIGINT[] AS ps, []::BIGINT[] AS qs FROM (SELECT DISTINCT scene_id FROM {ranked})
+  UNION ALL SELECT f.scene_id, r.n, CASE WHEN free THEN r.p END, CASE WHEN free THEN r.q END, CASE WHEN free THEN list_append(ps, r.p) ELSE ps END, CASE WHEN free THEN list_append(qs, r.q) ELSE qs END
+  FROM {name}_fold f JOIN {ranked} r ON r.scene_id = f.scene_id AND r.n = f.n + 1, LATERAL (SELECT NOT list_contains(ps, r.p) AND NOT list_contains(qs, r.q) AS free)
+), {name} AS (SELECT scene_id, p, q FROM {name}_fold WHERE p IS NOT NULL)"""
+
+
+#: What is left after resolution, its overlaps with the true objects, and their one-to-one matches by overlap.
+_FINAL = f"""{PRELUDE}, {_TRUE}, {_resolved('0.2')}, fin AS (SELECT b.* FROM best b SEMI JOIN inst i ON i.scene_id = b.scene_id AND i.p = b.p), fs AS (SELECT scene_id, p, count(*) AS size FROM fin GROUP BY ALL
+), fp AS (SELECT scene_id, f.p, t.p AS q, count(*) AS shared FROM fin f JOIN truth t USING (scene_id, v) GROUP BY ALL
+), fi AS (SELECT p.*, s.size AS size_p, t.size AS size_q, shared / (s.size + t.size - shared) AS iou FROM fp p JOIN fs s ON s.scene_id = p.scene_id AND s.p = p.p JOIN ts t ON t.scene_id = p.scene_id AND t.p = p.q
+), fr AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY shared DESC, p, q) AS n FROM fi
+), {_fold('chosen', 'fr')}, match AS (SELECT c.*, i.shared, i.iou FROM chosen c JOIN fi i USING (scene_id, p, q))"""
+#: Classes of true objects, by number; walls and floors are no entities.
+_CLASSES = ("table", "desk", "chair", "cup", "lamp", "wall", "book", "sofa", "floor", "rug")
+_STRUCTURAL = ("wall", "floor")
+_OWNERS = ("table", "desk", "chair", "sofa")
+_CLASS_SQL = f"([{', '.join(repr(c) for c in _CLASSES)}])[q % {len(_CLASSES)} + 1]"
+
+
+def _class(q: str = "q"):
+    return F.element_at(F.array(*map(F.lit, _CLASSES)), (F.col(q) % len(_CLASSES) + 1).cast("int"))
+
+
+def _final(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Overlaps of the resolved masks with the true objects, and their matches, settled."""
+    pairs = settled(m.overlaps(m.resolve(masks(spark, sf), proposals(spark, sf)), truths(spark, sf)), "overlaps")
+    return pairs, settled(m.greedy_matches(pairs, 0.0, "shared"), "matches")
+
+
+@_query(f"WITH RECURSIVE {_FINAL} SELECT scene_id, p, q, shared, round(iou, 6) AS iou FROM match")
+def overlap_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """One-to-one matches of predictions and true objects, most shared vertices first."""
+    return _final(spark, sf)[1].select("scene_id", "p", "q", "shared", F.round("iou", 6).alias("iou"))
+
+
+@_query(f"""WITH RECURSIVE {_FINAL}, o AS (SELECT scene_id, p AS q, {_CLASS_SQL.replace('q %', 'p %')} AS cls FROM ts), j AS (SELECT o.*, coalesce(iou, 0) AS iou FROM o LEFT JOIN match k ON k.scene_id = o.scene_id AND k.q = o.q WHERE cls NOT IN ('wall', 'floor')),
+g AS (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS least)
+SELECT scene_id, least, count(*) AS entities, count(*) FILTER (iou >= least) AS matched, round(avg((iou >= least)::INT), 6) AS recall, round(avg((iou >= least)::INT) FILTER (cls IN ('table', 'desk', 'chair', 'sofa')), 6) AS owner_recall FROM j, g GROUP BY ALL""")
+def exact_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of true entities, and of furniture that carries things, at three IoUs; null where there are none."""
+    _, matches = _final(spark, sf)
+    known = m.sizes(truths(spark, sf)).withColumnRenamed("p", "q").withColumn("cls", _class()).where(~F.col("cls").isin(*_STRUCTURAL)).join(matches.select("scene_id", "q", "iou"), ["scene_id", "q"], "left")
+    grid = known.select("*", F.explode(F.expr("array(0.25D, 0.5D, 0.75D)")).alias("least"))
+    hit = F.coalesce("iou", F.lit(0.0)) >= F.col("least")
+    share = lambda only: F.round(F.avg(F.when(only, hit.cast("int"))), 6)
+    return grid.groupBy("scene_id", "least").agg(F.count(F.lit(1)).alias("entities"), F.count_if(hit).alias("matched"), share(F.lit(True)).alias("recall"), share(F.col("cls").isin(*_OWNERS)).alias("owner_recall"))
+
+
+@_query(f"""WITH RECURSIVE {_FINAL}, s AS (SELECT * FROM fi WHERE shared >= 0.1e0 * size_q)
+SELECT scene_id, (SELECT count(*) FROM (SELECT q FROM s WHERE s.scene_id = x.scene_id GROUP BY q HAVING count(*) > 1)) AS split, (SELECT count(*) FROM (SELECT p FROM s WHERE s.scene_id = x.scene_id GROUP BY p HAVING count(*) > 1)) AS merging FROM (SELECT DISTINCT scene_id FROM fi) x""")
+def over_segmentation(spark: SparkSession, sf: str) -> DataFrame:
+    """True objects that are split and predictions that merge, at a tenth of the object."""
+    return m.split_and_merged(_final(spark, sf)[0])
+
+
+_COVER = """top AS (SELECT scene_id, q, p AS top, shared AS most FROM fi QUALIFY row_number() OVER (PARTITION BY scene_id, q ORDER BY shared DESC, p) = 1
+), cover AS (SELECT t.scene_id, t.p AS q, t.size, x.top, round(coalesce(most / t.size, 0), 4) AS covered, k.p AS match, round(coalesce(k.iou, 0), 4) AS match_iou FROM ts t LEFT JOIN top x ON x.scene_id = t.scene_id AND x.q = t.p LEFT JOIN match k ON k.scene_id = t.scene_id AND k.q = t.p)"""
+
+
+@_query(f"WITH RECURSIVE {_FINAL}, {_COVER} SELECT * FROM cover")
+def oracle_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """For each true object, the prediction that has most of it, matched or not."""
+    pairs, matches = _final(spark, sf)
+    return m.coverage(pairs, truths(spark, sf), matches)
+
+
+@_query(f"""WITH RECURSIVE {_FINAL}, {_COVER}, w AS (SELECT scene_id, q, max(iou) AS raw FROM ti GROUP BY ALL)
+SELECT c.scene_id, c.q, CASE WHEN match_iou >= 0.5 THEN 'recovered' WHEN covered >= 0.5 AND o.q IS NOT NULL AND o.q <> c.q THEN 'merged' WHEN coalesce(raw, 0) >= 0.5 THEN 'lost_by_resolver' ELSE 'no_raw_proposal' END AS class
+FROM cover c LEFT JOIN match o ON o.scene_id = c.scene_id AND o.p = c.top LEFT JOIN w ON w.scene_id = c.scene_id AND w.q = c.q WHERE {_CLASS_SQL.replace('q %', 'c.q %')} NOT IN ('wall', 'floor')""")
 def failure_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Why each true entity is or is not found: after resolution, before it, or swallowed by another."""
-    raw, true = masks(spark, sf), truths(spark, sf)
-    final = m.overlaps(m.resolve(raw, proposals(spark, sf)), true).groupBy("scene_id", "q").agg(F.max("iou").alias("final_iou"), F.max(F.col("shared") / F.col("size_q")).alias("cover"))
-    before = m.overlaps(raw, true).groupBy("scene_id", "q").agg(F.max("iou").alias("raw_iou"))
-    every = m.sizes(true).select("scene_id", F.col("p").alias("q")).join(final, ["scene_id", "q"], "left").join(before, ["scene_id", "q"], "left")
-    over = lambda c: F.coalesce(c, F.lit(0.0)) >= 0.5
-    return every.select("scene_id", "q", F.when(over("final_iou"), "recovered").when(over("raw_iou"), "lost_by_resolver").when(over("cover"), "merged").otherwise("no_raw_proposal").alias("class"))
+    """Why each true entity is or is not found: matched, swallowed by another's prediction, lost in resolution, or never proposed."""
+    pairs, matches = _final(spark, sf)
+    best_raw = m.overlaps(masks(spark, sf), truths(spark, sf)).groupBy("scene_id", "q").agg(F.max("iou").alias("raw_iou"))
+    return m.failures(m.coverage(pairs, truths(spark, sf), matches), matches, best_raw).where(~_class().isin(*_STRUCTURAL))
+
+
+def faces(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles of consecutive vertices; a face's object is that of its first vertex, or of the next block for every seventh."""
+    v = F.col("v")
+    first = masks(spark, sf).select("scene_id", "v").distinct()
+    return first.select("scene_id", F.array(v, v + 1, v + 2).alias("corners"), F.floor((v + F.when(v % 7 == 0, 60).otherwise(0)) / 60).cast("long").alias("o"))
+
+
+_FACES = "face AS (SELECT scene_id, [v, v + 1, v + 2] AS corners, (v + CASE WHEN v % 7 = 0 THEN 60 ELSE 0 END) // 60 AS o FROM (SELECT DISTINCT scene_id, v FROM mask))"
+
+
+@_query(f"""WITH {PRELUDE}, {_FACES}, e AS (SELECT scene_id, unnest(corners) AS v, o FROM face), c AS (SELECT scene_id, v, o, count(*) AS n FROM e GROUP BY ALL)
+SELECT scene_id, v, o FROM c QUALIFY row_number() OVER (PARTITION BY scene_id, v ORDER BY n DESC, o) = 1""")
+def vertex_membership(spark: SparkSession, sf: str) -> DataFrame:
+    return m.vertex_membership(faces(spark, sf))
 
 
-@_query()
+@_query(f"""WITH {PRELUDE}, {_FACES}, e AS (SELECT scene_id, unnest([[corners[1], corners[2]], [corners[2], corners[3]], [corners[3], corners[1]]]) AS s FROM face)
+SELECT DISTINCT scene_id, least(s[1], s[2]) AS a, greatest(s[1], s[2]) AS b FROM e WHERE s[1] <> s[2]""")
+def mesh_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return m.mesh_edges(faces(spark, sf))
+
+
+@_query(f"WITH {PRELUDE} SELECT scene_id, view, p AS mask, count(DISTINCT v) AS vertices FROM (SELECT m.scene_id, p % 8 AS view, p, m.v FROM mask m) x SEMI JOIN seen s ON s.scene_id = x.scene_id AND s.view = x.view AND s.v = x.v GROUP BY ALL")
+def lifted_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertices of each view's mask once it is lifted to what the view sees."""
+    whole = masks(spark, sf).select("scene_id", (F.col("p") % 8).alias("view"), F.col("p").alias("mask"), "v")
+    return m.lifted(whole, visible(spark, sf)).groupBy("scene_id", "view", "mask").agg(F.count(F.lit(1)).alias("vertices"))
+
+
+@_query(f"""WITH RECURSIVE {PRELUDE}, clash AS (SELECT scene_id, p, q FROM over WHERE iou >= 0.8 UNION ALL SELECT scene_id, q, p FROM over WHERE iou >= 0.8), rival AS (SELECT scene_id, p, list(q) AS qs FROM clash GROUP BY ALL),
+r AS (SELECT x.scene_id, x.p, coalesce(qs, []::BIGINT[]) AS qs, row_number() OVER (PARTITION BY x.scene_id ORDER BY score DESC, size DESC, x.p) AS n FROM prop x JOIN size USING (scene_id, p) LEFT JOIN rival USING (scene_id, p)),
+f AS (SELECT scene_id, 0::BIGINT AS n, NULL::BIGINT AS p, []::BIGINT[] AS ps FROM (SELECT DISTINCT scene_id FROM r)
+  UNION ALL SELECT f.scene_id, r.n, CASE WHEN NOT list_has_any(ps, qs) THEN r.p END, CASE WHEN NOT list_has_any(ps, qs) THEN list_append(ps, r.p) ELSE ps END FROM f JOIN r ON r.scene_id = f.scene_id AND r.n = f.n + 1)
+SELECT scene_id, p FROM f WHERE p IS NOT NULL""")
 def bank_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     return m.bank(masks(spark, sf), proposals(spark, sf), 0.8)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {PRELUDE}, {_TRUE}, r AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY iou DESC, p, q) AS n FROM ti WHERE iou >= 0.3), {_fold('chosen', 'r')}
+SELECT scene_id, p, q, round(iou, 6) AS iou FROM chosen JOIN ti USING (scene_id, p, q)""")
 def iou_match(spark: SparkSession, sf: str) -> DataFrame:
-    return m.greedy_matches(m.overlaps(masks(spark, sf), truths(spark, sf)))
+    return m.greedy_matches(m.overlaps(masks(spark, sf), truths(spark, sf))).select("scene_id", "p", "q", F.round("iou", 6).alias("iou"))
+
+
+_CHAIN = f"""WITH {PRELUDE}, v AS (SELECT DISTINCT scene_id, v FROM mask), e AS (SELECT a.scene_id, a.v AS a, b.v AS b FROM v a JOIN v b ON a.scene_id = b.scene_id AND b.v = a.v + 1)
+, c AS (SELECT e.scene_id, a, b, count(DISTINCT s.view) AS seen FROM e JOIN seen s ON s.scene_id = e.scene_id AND s.v = a JOIN seen t ON t.scene_id = e.scene_id AND t.v = b AND t.view = s.view GROUP BY ALL)
+, h AS (SELECT e.scene_id, a, b, count(DISTINCT s.view) AS held FROM e JOIN views s ON s.scene_id = e.scene_id AND s.v = a JOIN views t ON t.scene_id = e.scene_id AND t.v = b AND t.view = s.view AND t.mask = s.mask GROUP BY ALL)
+, k AS (SELECT scene_id, a, b FROM c LEFT JOIN h USING (scene_id, a, b) WHERE coalesce(held, 0) / seen >= 0.5)
+, i AS (SELECT scene_id, a, b, sum((gap)::INT) OVER (PARTITION BY scene_id ORDER BY a) AS island FROM (SELECT *, coalesce(a <> lag(b) OVER (PARTITION BY scene_id ORDER BY a), TRUE) AS gap FROM k))
+, n AS (SELECT scene_id, island, a AS v FROM i UNION SELECT scene_id, island, b FROM i)"""
 
 
-@_query()
+#: The edges are between consecutive vertices, so SQL reads components off as islands.
+@_query(f"{_CHAIN} SELECT scene_id, v, min(v) OVER (PARTITION BY scene_id, island) AS root FROM n")
 def components(spark: SparkSession, sf: str) -> DataFrame:
     v = masks(spark, sf).select("scene_id", "v").distinct()
     edges = v.select("scene_id", F.col("v").alias("a"), (F.col("v") + 1).alias("b")).join(v.select("scene_id", F.col("v").alias("b")), ["scene_id", "b"])

@@ -178,6 +178,32 @@ def rejection_sample(spark: SparkSession, sf: str) -> DataFrame:
     return r.sampled_rejections(tests).select("scene_id", "src", "dst", F.round("margin", 6).alias("margin"))
 
 
+#: Rejections of three relations: measured ones, and CONTACTS_SURFACE's by policy, of surfaces that are no walls.
+REJECTED = f"""rejected AS (
+  SELECT scene_id, 'ON_SURFACE' AS type, uid AS src, surface AS dst, {_REST} AS margin FROM tests WHERE NOT ({_REST_OK})
+  UNION ALL SELECT scene_id, 'CONTACTS_SURFACE', uid, surface, CASE WHEN surface_type = 'wall' THEN {_WALL} END FROM tests WHERE NOT ({_WALL_OK})
+  UNION ALL SELECT scene_id, 'ON_ENTITY_SURFACE', uid, owner, {_contact_margin('1e0', 0.02, 0.03)} FROM et_ok WHERE NOT ok
+), told AS (SELECT *, count(*) FILTER (margin IS NULL) OVER g AS policies, count(margin) OVER g AS measured, row_number() OVER (PARTITION BY scene_id, type, margin IS NULL ORDER BY margin DESC, src, dst) AS n FROM rejected WINDOW g AS (PARTITION BY scene_id, type)
+), taken AS (SELECT *, least(measured, 64 - least(policies, 16)) AS take FROM told
+), sampled AS (SELECT scene_id, type, src, dst, margin, row_number() OVER (PARTITION BY scene_id, type ORDER BY src, dst) AS place FROM taken WHERE n <= CASE WHEN margin IS NULL THEN least(policies, 64 - take) ELSE take END)"""
+
+
+def rejections(e: DataFrame, s: DataFrame) -> DataFrame:
+    """The sampled rejections of three relations."""
+    rest, held = r.on_surface_tests(e, s), r.on_entity_surface_tests(e, SUPPORT)
+    other = r.with_surfaces(e, s).where("s.surface_type <> 'wall'").select("scene_id", F.col("e.uid").alias("src"), F.lit("CONTACTS_SURFACE").alias("type"), F.col("s.surface").alias("dst"), F.lit(None).cast("double").alias("margin"), F.lit(False).alias("ok"))
+    columns = other.columns
+    every = rest.select(columns).unionByName(r.contacts_surface_tests(e, s).select(columns)).unionByName(held.select(columns)).unionByName(other)
+    return r.sampled_rejections(every)
+
+
+@_query(f"WITH {TOPS}, {REJECTED} SELECT scene_id, type, src, dst, round(margin, 6) AS margin, place FROM sampled")
+def rejection_reserve(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampled rejections, near-misses and those by policy, in the order they were met."""
+    found = rejections(settled(entities(spark, sf), "entities"), surfaces(spark, sf))
+    return found.select("scene_id", "type", "src", "dst", F.round("margin", 6).alias("margin"), F.col("place").cast("long"))
+
+
 def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
     """The graph's edges: seven extractors, each edge with its id. Entities are derived once and settled."""
     return edges_between(settled(entities(spark, sf), "entities"), surfaces(spark, sf))
