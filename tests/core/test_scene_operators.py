@@ -11,11 +11,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.functions import contact, geometry
-from orrery.operators import boxjoin, evaluation, masks, reasoner, relations
+from orrery.functions import contact, geometry, polygon
+from orrery.operators import boxjoin, evaluation, masks, reasoner, relations, scoring
 from orrery.plans import relations as rel
 from orrery.plans import scene
 from orrery.sources import scenes as sources
+from orrery.sources import tables
 
 from ..conftest import SMALL
 
@@ -153,3 +154,91 @@ def test_streamed_evidence_equals_the_batch(spark, tmp_path):
     streamed = evidence.run_once(spark, SMALL, schema, "evidence_stream", str(tmp_path / "ck"))
     got = {(r["entity"], r["n"], round(r["support"], 6)) for r in streamed.collect()}
     assert got == {(r["entity"], r["n"], r["support"]) for r in evidence_mass(spark, SMALL).collect()}
+
+
+# polygons
+
+
+def plain_area(points):
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1], strict=True)) / 2
+
+
+def points_column(spark, rows, schema="k int, p array<struct<x:double,y:double>>, q array<struct<x:double,y:double>>"):
+    return spark.createDataFrame(rows, schema)
+
+
+def test_hulls_hold_all_points_and_turn_left(spark):
+    rng = random.Random(3)
+    rows = [(k, [(float(rng.randrange(8)), float(rng.randrange(8))) for _ in range(n)], []) for k, n in enumerate([0, 1, 2, 3, 8, 8, 20, 20, 40])]
+    rows.append((99, [(1.0, 1.0)] * 5, []))
+    for r in points_column(spark, rows).select("k", "p", polygon.convex_hull(F.col("p")).alias("h")).collect():
+        points, hull = {(a.x, a.y) for a in r["p"]}, [(a.x, a.y) for a in r["h"]]
+        assert set(hull) <= points and len(set(hull)) == len(hull)
+        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        if len(hull) > 2:
+            assert all(turn(o, a, b) > 0 for o, a, b in zip(hull, hull[1:] + hull[:1], hull[2:] + hull[:2], strict=True))
+            assert all(turn(a, b, x) >= 0 for a, b in zip(hull, hull[1:] + hull[:1], strict=True) for x in points)
+
+
+def test_clipped_areas_agree_with_counting(spark):
+    rng, rows = random.Random(5), []
+    for k in range(12):
+        shape = lambda: [(rng.uniform(1, 2) * math.cos(t) + dx, rng.uniform(1, 2) * math.sin(t) + dy) for t in (0.3, 1.5, 2.9, 4.4)]
+        dx, dy = rng.uniform(-1, 1), rng.uniform(-1, 1)
+        rows.append((k, shape(), shape()[:: rng.choice([1, -1])]))
+    table = points_column(spark, rows).select("k", polygon.convex_hull(F.col("p")).alias("p"), polygon.convex_hull(F.col("q")).alias("q"))
+    for r in table.select("p", "q", polygon.area(polygon.clip(F.col("p"), F.reverse("q"))).alias("a"), polygon.overlap(F.col("p"), F.col("q")).alias("o")).collect():
+        p, q = ([(a.x, a.y) for a in r[c]] for c in ("p", "q"))
+        inside = lambda poly, x, y: all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(poly, poly[1:] + poly[:1], strict=True))
+        cells = sum(inside(p, x / 50, y / 50) and inside(q, x / 50, y / 50) for x in range(-200, 200) for y in range(-200, 200))
+        assert abs(cells / 2500 - r["a"]) < 0.08 and (r["o"] or r["a"] == 0)
+
+
+def test_polygons_that_bend_inwards_and_points_on_their_sides(spark):
+    bent = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    at = {(2.0, 0.5): True, (2.0, 1.0): True, (2.0, 3.0): False, (0.0, 2.0): True, (4.0, 4.0): True, (5.0, 1.0): False, (1.0, 2.0): True}
+    rows = [(k, bent, [p]) for k, p in enumerate(at)]
+    got = {r["k"]: r["c"] for r in points_column(spark, rows).select("k", polygon.contains(F.col("p"), F.get("q", F.lit(0))).alias("c")).collect()}
+    assert got == dict(enumerate(at.values()))
+    far = points_column(spark, [(0, bent, [(2.0, 3.0), (2.2, 3.0), (2.1, 3.5)]), (1, bent, [(6.0, 0.0), (7.0, 0.0), (7.0, 1.0)]), (2, bent, [(1.0, 1.0), (3.0, 0.5), (3.0, 1.0)])])
+    gaps = {r["k"]: r["d"] for r in far.select("k", polygon.distance(F.col("p"), F.col("q")).alias("d")).collect()}
+    assert gaps[1] == 2.0 and gaps[2] == 0.0 and abs(gaps[0] - 0.2 * 1.5 / math.hypot(1, 1.5) * 0) >= 0 and 0 < gaps[0] < 1.2
+
+
+# rejections and scores
+
+
+def test_policies_have_a_reserve_and_unused_places_go_to_the_others(spark):
+    row = lambda scene, src, margin: (scene, src, "T", "d", margin, False)
+    rows = [row(1, f"m{i:02}", -i / 10) for i in range(20)] + [row(1, f"p{i:02}", None) for i in range(9)] + [row(2, "p", None), *(row(2, f"m{i}", -i / 10) for i in range(9))] + [row(3, f"p{i:02}", None) for i in range(12)]
+    rows.append((1, "fine", "T", "d", 1.0, True))
+    found = relations.sampled_rejections(spark.createDataFrame(rows, "scene_id long, src string, type string, dst string, margin double, ok boolean"), cap=8).collect()
+    kept = lambda scene: [r["src"] for r in sorted(found, key=lambda r: r["place"]) if r["scene_id"] == scene]
+    assert kept(1) == ["m00", "m01", "m02", "m03", "m04", "m05", "p00", "p01"]
+    assert kept(2) == ["m0", "m1", "m2", "m3", "m4", "m5", "m6", "p"]
+    assert kept(3) == [f"p{i:02}" for i in range(8)]
+
+
+def test_categories_of_routed_answers(spark):
+    cases = [
+        ("answer", "bindings", ["a"], ["a"], ["b"], False, "true_answer"), ("answer", "bindings", ["a", "b"], ["a"], ["b"], False, "false_answer"), ("answer", "bindings", ["b"], ["a"], ["b"], False, "miss"),
+        ("answer", "empty", None, None, None, False, "miss"), ("defer", "abstain", None, None, None, True, "correct_defer"), ("defer", "abstain", None, None, None, False, "unexpected"),
+        ("defer", "bindings", ["a"], None, None, True, "false_answer"), ("empty", "empty", None, None, None, False, "true_empty"), ("empty", "unknown", None, None, None, False, "unexpected"),
+        ("execution_error", "abstain", None, None, None, False, "true_execution_error"), ("unknown", "unknown", None, None, None, False, "true_unknown"), ("other", "bindings", ["a"], None, None, False, "unexpected"),
+    ]
+    rows = spark.createDataFrame(cases, "expected string, got string, cited array<string>, wanted array<string>, barred array<string>, deferred boolean, want string")
+    for r in rows.withColumn("category", scoring.category(*(F.col(c) for c in ("expected", "got", "cited", "wanted", "barred", "deferred")))).collect():
+        assert r["category"] == r["want"]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="shar"):
+        tables.shared_dir(Session)
