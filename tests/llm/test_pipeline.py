@@ -73,3 +73,32 @@ def test_packing_covers_every_document_left(stages):
         assert r["offset"] == fill.get(r["sequence_id"], 0)
         fill[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(fill.values()) <= 1024
+
+
+def test_toxicity_keeps_the_rows_that_are_not_predicted_toxic(spark, stages):
+    from orrery.llm.toxicity import score_documents
+
+    _, docs, kept = stages[0]
+    scores = score_documents(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+    assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in scores if not r["predicted"]}
+    assert len(scores) == docs.count()
+
+
+def test_stages_bear_nulls_repeats_clashing_columns_and_nothing(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    rows = [(None, None), (None, "no id at all here"), (None, "no id at all here"), (5, "one two three four"), (5, "one two three four"), (5, f"other words {item}"), (6, "one two three four"), (7, ""), (8, "x" * 30_000), (9, "secret = abcdefghijklmnop0")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", "p") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, secrets string, best string")
+    for table in (docs, docs.limit(0)):
+        left = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            left = stage(spark, left, SMALL)
+            assert left.columns == docs.columns
+        texts = [(r["doc_id"], r["text"]) for r in left.collect()]
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, SMALL).collect()
+        assert len({r["piece"] for r in packed if r["doc_id"] == 8}) == len([r for r in packed if r["doc_id"] == 8])
+    everything = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        everything = stage(spark, everything, SMALL)
+    texts = sorted(((r["doc_id"], r["text"]) for r in everything.collect()), key=str)
+    assert (5, "one two three four") in texts and not any(i == 6 for i, _ in texts)
+    assert not any(item in (t or "") for _, t in texts) and not any("abcdefghijklmnop0" in (t or "") for _, t in texts)
