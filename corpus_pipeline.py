@@ -57,7 +57,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each is written and read again."""
+    """Apply the stages to ``documents``; each is written and read again.
+
+    Rows are judged one by one: those that share a doc_id, or have none, may part in
+    toxicity and decontamination. A null text is an empty one throughout and stays
+    null until packing, where it is the end id alone. Near-duplicates keep the least doc_id of
+    a group, with every row that has it; rows without doc_id stay only where their
+    group has no doc_id at all. Repeated rows that stay are packed once each; an empty table gives
+    an empty table; other columns of documents pass through to the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
