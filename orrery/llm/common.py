@@ -48,6 +48,22 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_hash(column: str = "text") -> Column:
+    """With doc_id it tells rows apart that share or lack one: equal rows are judged alike."""
+    return F.xxhash64(whole_text(column))
+
+
+def without(docs: DataFrame, gone: DataFrame, tag: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id and text are in ``gone`` (doc_id, row_hash); all columns stay.
+
+    ``gone`` is written first, so that Spark knows its size: it is broadcast where it is small, and
+    both sides are shuffled where it is not.
+    """
+    gone = materialise(gone.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct(), tag)
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_hash"])
+    return docs.join(gone, same, "left_anti")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

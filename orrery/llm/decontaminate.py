@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import materialise, table, whole_text
+from orrery.llm.common import materialise, table, text_hash, whole_text, without
 from orrery.llm.tokens import Known, gathered
 
 SIMILARITY = 0.8
@@ -271,10 +271,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     table gives an empty table. The documents are read once for each block of items,
     whole and in place.
     """
+    return _contaminated(docs, benchmark, similarity).drop("row_hash")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    narrow = docs.select("doc_id", whole_text().alias("text"))
-    schema = f"doc_id {kind}, item_id long, start long, end long, distance long, n_words long"
+    narrow = docs.select("doc_id", text_hash().alias("row_hash"), whole_text().alias("text"))
+    schema = f"doc_id {kind}, row_hash long, item_id long, start long, end long, distance long, n_words long"
     found = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(_searchable(block))
@@ -303,11 +307,11 @@ def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, np.ndarr
 def _reporter(shared, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
-        for part, rows in _searched(batches, items, similarity, 1):
+        for part, rows in _searched(batches, items, similarity, 2):
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(columns[0], pa.int64())), pa.array([items[k][0] for k in columns[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[2:]), pa.array([len(items[k][1]) for k in columns[1]], pa.int64())],
-                names=["doc_id", "item_id", "start", "end", "distance", "n_words"],
+                [*(part.column(c).take(pa.array(columns[0], pa.int64())) for c in (0, 1)), pa.array([items[k][0] for k in columns[1]], pa.int64()), *(pa.array(c, pa.int64()) for c in columns[2:]), pa.array([len(items[k][1]) for k in columns[1]], pa.int64())],
+                names=["doc_id", "row_hash", "item_id", "start", "end", "distance", "n_words"],
             )
 
     return run
@@ -339,24 +343,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     """``docs`` without the rows whose text holds a benchmark item; all columns stay, whatever their names.
 
     Each row is judged by its own text: rows that share a doc_id, or have none, may
-    part. Rows pass through a task for each block of items, so nothing is joined or
-    shuffled. An empty table gives an empty table.
+    part. An empty table gives an empty table.
     """
-    at = docs.columns.index("text")
-
-    def keeper(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, rows in _searched(batches, shared.value, similarity, at):
-                clean = np.ones(part.num_rows, bool)
-                clean[[r for r, *_ in rows]] = False
-                yield part.filter(pa.array(clean))
-
-        return run
-
-    kept = docs
-    for block in _blocks(benchmark):
-        kept = kept.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(_searchable(block))), docs.schema)
-    return kept
+    return without(docs, _contaminated(docs, benchmark, similarity), "contaminated-rows")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

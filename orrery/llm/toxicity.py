@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import least_hashed, materialise, table, whole_text
+from orrery.llm.common import least_hashed, materialise, table, text_hash, whole_text, without
 from orrery.llm.tokens import Memo
 
 BUCKETS = 1 << 18
@@ -265,13 +265,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted toxic; all columns stay, whatever their names.
 
     Each row is judged by its own text: rows that share a doc_id, or have none, may
-    part. Rows travel through the scan whole, so nothing is joined or shuffled. An
-    empty table gives an empty table.
+    part. An empty table gives an empty table.
     """
-    own = {"doc_id": "doc_id", "text": "text"}
-    apart = docs.toDF(*(own.get(c, f"__{k}") for k, c in enumerate(docs.columns)))
-    kept = _scored(apart, labels, apart.columns).where("predicted = 0").select(*apart.columns)
-    return kept.toDF(*docs.columns)
+    keyed = docs.select("doc_id", "text", text_hash().alias("row_hash"))
+    return without(docs, _scored(keyed, labels, ["doc_id", "row_hash"]).where("predicted = 1"), "toxic-rows")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
