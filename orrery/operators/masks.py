@@ -141,9 +141,58 @@ def vertex_membership(faces: DataFrame) -> DataFrame:
     return counted.groupBy("scene_id", "v").agg(F.min(F.struct((-F.col("n")).alias("n"), "o")).alias("best")).select("scene_id", "v", "best.o")
 
 
-def lifted(views: DataFrame, visible: DataFrame) -> DataFrame:
-    """``scene_id, view, mask, v``: a view's mask on the mesh, that is, the vertices it holds that the view sees."""
-    return views.join(visible.select("scene_id", "view", "v").distinct(), ["scene_id", "view", "v"], "left_semi").select("scene_id", "view", "mask", "v").distinct()
+def lifted(views: DataFrame, visible: DataFrame, least: int = 20) -> DataFrame:
+    """``scene_id, view, mask, v``: a view's mask on the mesh, that is, the vertices it holds that the view sees, if there are ``least``."""
+    held = views.join(visible.select("scene_id", "view", "v").distinct(), ["scene_id", "view", "v"], "left_semi").select("scene_id", "view", "mask", "v").distinct()
+    large = held.groupBy("scene_id", "view", "mask").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return held.join(large, ["scene_id", "view", "mask"], "left_semi")
+
+
+def policy_view(masks: DataFrame, proposals: DataFrame, accepted: float = 0.2, provisional: float = 0.05, least_size: int = 20) -> DataFrame:
+    """``scene_id, p, score, state, raw, hard, assigned, inclusive, association, positive, negative, candidate, raw_candidate`` of every proposal.
+
+    hard, assigned and inclusive count the vertices it wins when accepted proposals
+    compete, when provisional ones do too, and when all do; association is the share of
+    its vertices that it keeps among the second. A candidate for activation is provisional
+    and wins something; a raw one is not discarded and wins nothing among the accepted.
+    positive and negative are the mass of evidence that one score is.
+    """
+    won = lambda least, name: sizes(resolve(masks, proposals, least, least_size)).withColumnRenamed("size", name)
+    every = proposals.select("scene_id", "p", "score").join(sizes(masks).withColumnRenamed("size", "raw"), ["scene_id", "p"], "left")
+    for least, name in ((accepted, "hard"), (provisional, "assigned"), (float("-inf"), "inclusive")):
+        every = every.join(won(least, name), ["scene_id", "p"], "left")
+    every = every.fillna(0, ["raw", "hard", "assigned", "inclusive"])
+    state = F.when(F.col("score") >= accepted, "accepted").when(F.col("score") >= provisional, "provisional").otherwise("discarded")
+    share = F.when(F.col("raw") > 0, F.col("assigned") / F.col("raw")).otherwise(0.0)
+    every = every.withColumns({"state": state, "association": share, "positive": F.col("score"), "negative": 1 - F.col("score")})
+    return every.withColumns({
+        "candidate": (F.col("state") == "provisional") & (F.col("assigned") > 0),
+        "raw_candidate": (F.col("state") != "discarded") & (F.col("raw") > 0) & (F.col("hard") == 0),
+    })
+
+
+def activated(assignment: DataFrame, view: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``assignment`` (scene_id, v, p among provisional proposals) of the accepted proposals and of ``chosen`` candidates alone."""
+    allowed = view.where("state = 'accepted' and assigned > 0").select("scene_id", "p").unionByName(view.where("candidate").join(chosen, ["scene_id", "p"], "left_semi").select("scene_id", "p"))
+    return assignment.join(allowed, ["scene_id", "p"], "left_semi")
+
+
+def fused_bank(edges: DataFrame, vertices: DataFrame, cuts: tuple[float, ...] = (0.25, 0.50, 0.75), least: int = 20, most_share: float = 0.40, same: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """The pool of components of edges (with confidence) at three cuts, ``scene_id, p, score, size, digest``, and their vertices.
+
+    A component has ``least`` to ``most_share`` of the scene's vertices (scene_id, n). p is its
+    place in the order in which duplicates are judged: higher cut, larger, lesser digest. The score is the cut.
+    """
+    found = None
+    for cut in cuts:
+        own = mesh_components(edges, cut).withColumn("cut", F.lit(cut))
+        found = own if found is None else found.unionByName(own)
+    sized = found.groupBy("scene_id", "cut", "root").agg(F.array_sort(F.collect_list("v")).alias("vs")).join(vertices, "scene_id")
+    bounded = sized.where((F.size("vs") >= least) & (F.size("vs") <= F.floor(F.col("n") * most_share)))
+    digest = F.sha2(F.array_join("vs", ","), 256)
+    order = Window.partitionBy("scene_id").orderBy(F.desc("cut"), F.desc(F.size("vs")), digest)
+    pool = bounded.withColumn("p", F.row_number().over(order).cast("long"))
+    return pool.select("scene_id", "p", F.col("cut").alias("score"), F.size("vs").cast("long").alias("size"), digest.alias("digest")), pool.select("scene_id", "p", F.explode("vs").alias("v"))
 
 
 def mesh_edges(faces: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ def mesh_edges(spark: SparkSession, sf: str) -> DataFrame:
     return m.mesh_edges(faces(spark, sf))
 
 
-@_query(f"WITH {PRELUDE} SELECT scene_id, view, p AS mask, count(DISTINCT v) AS vertices FROM (SELECT m.scene_id, p % 8 AS view, p, m.v FROM mask m) x SEMI JOIN seen s ON s.scene_id = x.scene_id AND s.view = x.view AND s.v = x.v GROUP BY ALL")
+@_query(f"WITH {PRELUDE} SELECT scene_id, view, p AS mask, count(DISTINCT v) AS vertices FROM (SELECT m.scene_id, p % 8 AS view, p, m.v FROM mask m) x SEMI JOIN seen s ON s.scene_id = x.scene_id AND s.view = x.view AND s.v = x.v GROUP BY ALL HAVING count(DISTINCT v) >= 20")
 def lifted_masks(spark: SparkSession, sf: str) -> DataFrame:
     """Vertices of each view's mask once it is lifted to what the view sees."""
     whole = masks(spark, sf).select("scene_id", (F.col("p") % 8).alias("view"), F.col("p").alias("mask"), "v")
@@ -276,3 +276,43 @@ def components(spark: SparkSession, sf: str) -> DataFrame:
     v = masks(spark, sf).select("scene_id", "v").distinct()
     edges = v.select("scene_id", F.col("v").alias("a"), (F.col("v") + 1).alias("b")).join(v.select("scene_id", F.col("v").alias("b")), ["scene_id", "b"])
     return m.mesh_components(m.edge_confidence(edges, visible(spark, sf), view_masks(spark, sf)))
+
+
+_POLICY = f"""{", ".join(f"{n}_best AS (SELECT scene_id, v, p FROM mask JOIN prop USING (scene_id, p) WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY scene_id, v ORDER BY score DESC, p) = 1), {n} AS (SELECT scene_id, p, count(*) AS n FROM {n}_best GROUP BY ALL HAVING count(*) >= 20)" for n, least in (('hard', '0.48e0'), ('unsure', '0.45e0'), ('wide', '0e0')))}, view AS (
+  SELECT x.scene_id, x.p, score, CASE WHEN score >= 0.48e0 THEN 'accepted' WHEN score >= 0.45e0 THEN 'provisional' ELSE 'discarded' END AS state, size AS raw, coalesce(h.n, 0) AS hard, coalesce(u.n, 0) AS assigned, coalesce(w.n, 0) AS inclusive
+  FROM prop x JOIN size USING (scene_id, p) LEFT JOIN hard h USING (scene_id, p) LEFT JOIN unsure u USING (scene_id, p) LEFT JOIN wide w USING (scene_id, p))"""
+
+
+@_query(f"""WITH {PRELUDE}, {_POLICY} SELECT scene_id, p, score, state, raw, hard, assigned, inclusive, round(assigned / raw, 6) AS association, round(1 - score, 4) AS negative, state = 'provisional' AND assigned > 0 AS candidate, state <> 'discarded' AND hard = 0 AS raw_candidate FROM view""")
+def policy_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Each proposal's state, what it wins among the accepted, the provisional and all, and whether it may be activated."""
+    view = m.policy_view(masks(spark, sf), proposals(spark, sf), 0.48, 0.45)
+    return view.select("scene_id", "p", "score", "state", "raw", "hard", "assigned", "inclusive", F.round("association", 6).alias("association"), F.round("negative", 4).alias("negative"), "candidate", "raw_candidate")
+
+
+@_query(f"""WITH {PRELUDE}, {_POLICY} SELECT b.scene_id, b.v, b.p FROM unsure_best b JOIN unsure u USING (scene_id, p) JOIN view w USING (scene_id, p) WHERE state = 'accepted' OR (state = 'provisional' AND p % 2 = 0)""")
+def policy_activation(spark: SparkSession, sf: str) -> DataFrame:
+    """The assignment with the candidates of even number activated."""
+    raw, scored = masks(spark, sf), proposals(spark, sf)
+    return m.activated(m.resolve(raw, scored, 0.45), m.policy_view(raw, scored, 0.48, 0.45), scored.where("p % 2 = 0").select("scene_id", "p"))
+
+
+_CUT_CHAIN = _CHAIN.replace(", k AS (SELECT scene_id, a, b FROM c LEFT JOIN h USING (scene_id, a, b) WHERE coalesce(held, 0) / seen >= 0.5)", ", k AS (SELECT scene_id, cut, a, b FROM c LEFT JOIN h USING (scene_id, a, b), (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS cut) WHERE coalesce(held, 0) / seen >= cut)").replace("PARTITION BY scene_id ORDER BY a", "PARTITION BY scene_id, cut ORDER BY a").replace("SELECT scene_id, a, b, sum(", "SELECT scene_id, cut, a, b, sum(").replace("SELECT scene_id, island, a AS v FROM i UNION SELECT scene_id, island, b FROM i", "SELECT scene_id, cut, island, a AS v FROM i UNION SELECT scene_id, cut, island, b FROM i").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@_query(f"""{_CUT_CHAIN}, g AS (SELECT scene_id, cut, island, count(*) AS size, sha256(string_agg(v::VARCHAR, ',' ORDER BY v)) AS digest, list(v) AS vs FROM n GROUP BY ALL
+), pool AS (SELECT scene_id, cut, size, vs, row_number() OVER (PARTITION BY scene_id ORDER BY cut DESC, size DESC, digest) AS p FROM g JOIN (SELECT scene_id, count(*) AS all_ FROM v GROUP BY 1) USING (scene_id) WHERE size >= 20 AND size <= floor(all_ * 0.4e0)
+), rival AS (SELECT a.scene_id, a.p, list(b.p) AS qs FROM pool a JOIN pool b ON a.scene_id = b.scene_id AND a.p <> b.p AND len(list_intersect(a.vs, b.vs)) / (a.size + b.size - len(list_intersect(a.vs, b.vs))) >= 0.95e0 GROUP BY ALL
+), r AS (SELECT x.*, coalesce(qs, []::BIGINT[]) AS qs FROM pool x LEFT JOIN rival USING (scene_id, p)
+), f AS (SELECT scene_id, 0::BIGINT AS at, NULL::BIGINT AS p, []::BIGINT[] AS ps FROM (SELECT DISTINCT scene_id FROM r)
+  UNION ALL SELECT f.scene_id, r.p, CASE WHEN NOT list_has_any(ps, qs) THEN r.p END, CASE WHEN NOT list_has_any(ps, qs) THEN list_append(ps, r.p) ELSE ps END FROM f JOIN r ON r.scene_id = f.scene_id AND r.p = f.at + 1)
+SELECT scene_id, f.p, cut, size FROM f JOIN r USING (scene_id, p) WHERE f.p IS NOT NULL""")
+def fused_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """The bank of components at three cuts without duplicates."""
+    v = masks(spark, sf).select("scene_id", "v").distinct()
+    edges = v.select("scene_id", F.col("v").alias("a"), (F.col("v") + 1).alias("b")).join(v.select("scene_id", F.col("v").alias("b")), ["scene_id", "b"])
+    confident = settled(m.edge_confidence(edges, visible(spark, sf), view_masks(spark, sf)), "edge-confidence")
+    pool, held = m.fused_bank(confident, v.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n")))
+    pool, held = settled(pool, "pool"), settled(held, "pool-vertices")
+    kept = m.bank(held, pool.select("scene_id", "p", "score"))
+    return pool.join(kept, ["scene_id", "p"], "left_semi").select("scene_id", "p", F.col("score").alias("cut"), "size")

@@ -183,6 +183,12 @@ def router_summary(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.scorecard(routed(spark, sf), ["scene_id"])
 
 
+@_query(f"WITH {_ROUTER} SELECT expected, got, count(*) AS n FROM routed GROUP BY ALL")
+def outcome_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected outcomes against the outcomes that came."""
+    return routed(spark, sf).groupBy("expected", "got").agg(F.count(F.lit(1)).alias("n"))
+
+
 _TYPES, _POLICIES = ("entity_list", "count", "yes_no", "entity", "location"), ("none", "abstain_ok", "one_of", "any_of_subset", "all_of")
 _BENCH_TEXTS = q.BATTERY + DIRECTIONAL[:16] + ODD
 _BENCH = f"""{answers_sql(_BENCH_TEXTS, recall=0.9)}, given AS (
