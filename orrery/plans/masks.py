@@ -33,13 +33,13 @@ def masks(spark: SparkSession, sf: str) -> DataFrame:
     return proposals(spark, sf).select("scene_id", "p", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("v"))
 
 
-def visible(spark: SparkSession, sf: str) -> DataFrame:
-    every = masks(spark, sf).select("scene_id", "v").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("view"))
+def visible(spark: SparkSession, sf: str, raw: DataFrame | None = None) -> DataFrame:
+    every = (masks(spark, sf) if raw is None else raw).select("scene_id", "v").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("view"))
     return every.where((F.col("v") + F.col("view") * 29) % 10 < 7)
 
 
-def view_masks(spark: SparkSession, sf: str) -> DataFrame:
-    own = masks(spark, sf).select("scene_id", (F.col("p") % 8).alias("view"), F.col("p").alias("mask"), "v")
+def view_masks(spark: SparkSession, sf: str, raw: DataFrame | None = None) -> DataFrame:
+    own = (masks(spark, sf) if raw is None else raw).select("scene_id", (F.col("p") % 8).alias("view"), F.col("p").alias("mask"), "v")
     return own.where((F.col("v") + F.col("view") * 29) % 10 < 7)
 
 
@@ -94,14 +94,17 @@ _AGREE = """part AS (SELECT scene_id, p, view, count(*) AS seen FROM mask JOIN s
   WHERE round(b.agreement, 9) > round(a.agreement, 9) OR (round(b.agreement, 9) = round(a.agreement, 9) AND x.o < x.p) GROUP BY ALL)"""
 
 
-def _signal(spark: SparkSession, sf: str) -> DataFrame:
-    return m.agreement(masks(spark, sf), visible(spark, sf), view_masks(spark, sf)).withColumn("agreement", F.round("agreement", 9))
+def _signal(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The masks, and how far views agree with them; both are settled, as several joins use them."""
+    raw = settled(masks(spark, sf), "masks")
+    found = m.agreement(raw, visible(spark, sf, raw), view_masks(spark, sf, raw)).withColumn("agreement", F.round("agreement", 9))
+    return raw, settled(found, "agreement")
 
 
 @_query(f"WITH {PRELUDE}, {_AGREE} SELECT scene_id, p, round(agreement, 4) AS agreement, round(support, 4) AS support, coalesce(nested, 0) AS nested FROM signal LEFT JOIN nest USING (scene_id, p)")
 def mask_nesting(spark: SparkSession, sf: str) -> DataFrame:
-    signal = _signal(spark, sf)
-    nested = m.nesting(m.overlaps(masks(spark, sf)), signal)
+    raw, signal = _signal(spark, sf)
+    nested = m.nesting(m.overlaps(raw), signal)
     return signal.join(nested, ["scene_id", "p"], "left").select("scene_id", "p", F.round("agreement", 4).alias("agreement"), F.round("support", 4).alias("support"), F.coalesce("nested", F.lit(0)).cast("long").alias("nested"))
 
 
@@ -110,9 +113,9 @@ _PRIOR = "CASE WHEN size / 100 <= 0.03 OR size / 100 >= 2.6 THEN 0 WHEN size / 1
 
 @_query(f"WITH {PRELUDE}, {_AGREE} SELECT scene_id, p, round(agreement * (0.3e0 + 0.7e0 * ({_PRIOR})) * (0.3e0 + 0.7e0 * exp(-0.5e0 * coalesce(nested, 0))), 4) AS score FROM signal JOIN size USING (scene_id, p) LEFT JOIN nest USING (scene_id, p)")
 def proposal_scores(spark: SparkSession, sf: str) -> DataFrame:
-    signal = _signal(spark, sf)
-    nested = m.nesting(m.overlaps(masks(spark, sf)), signal)
-    rows = signal.join(m.sizes(masks(spark, sf)), ["scene_id", "p"]).join(nested, ["scene_id", "p"], "left")
+    raw, signal = _signal(spark, sf)
+    nested = m.nesting(m.overlaps(raw), signal)
+    rows = signal.join(m.sizes(raw), ["scene_id", "p"]).join(nested, ["scene_id", "p"], "left")
     score = F.col("agreement") * m.gate(m.size_prior(F.col("size") / 100)) * m.gate(F.exp(-0.5 * F.coalesce("nested", F.lit(0))))
     return rows.select("scene_id", "p", F.round(score, 4).alias("score"))
 

@@ -17,11 +17,14 @@ DIRECTIONAL = tuple(f"What is {w} the {c}?" for c in CLASSES for w in ("to the l
 ODD = ("Where is it?", "what is on the ceiling?", "what is attached to the lamp", "What's   NEAR the wall", "what is against the door?")
 
 
-def asked(spark: SparkSession, sf: str, texts: tuple[str, ...]) -> DataFrame:
+def compiled_once(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
+    return settled(q.compile_questions(spark.createDataFrame([(t,) for t in texts], "question string")), "questions")
+
+
+def asked(spark: SparkSession, sf: str, texts: tuple[str, ...], compiled: DataFrame | None = None) -> DataFrame:
     """Every question, compiled once, in every scene; the texts are literals and broadcast."""
     scenes = surfaces(spark, sf).select("scene_id").distinct()
-    compiled = settled(q.compile_questions(spark.createDataFrame([(t,) for t in texts], "question string")), "questions")
-    return scenes.crossJoin(F.broadcast(compiled))
+    return scenes.crossJoin(F.broadcast(compiled_once(spark, texts) if compiled is None else compiled))
 
 
 def _values(texts: tuple[str, ...]) -> str:
@@ -92,9 +95,15 @@ def answers_sql(texts: tuple[str, ...], recall: float = 1.0, tau: float = 0.0, s
     CASE outcome {words} ELSE 'The ' || {_list('labels')} || '.' END AS text FROM gated)"""
 
 
+def _graph(e: DataFrame, s: DataFrame, compiled: DataFrame) -> DataFrame:
+    """The edges that the questions consult; the relations they name are few."""
+    named = {row["edge_type"] for row in compiled.where("edge_type is not null").select("edge_type").distinct().collect()}
+    return settled(rel.edges_between(e, s, named or {"SUPPORTS"}), "edges")
+
+
 def answers(spark: SparkSession, sf: str, texts: tuple[str, ...], **options) -> DataFrame:
-    e, s = settled(entities(spark, sf), "entities"), surfaces(spark, sf)
-    return q.answer(asked(spark, sf, texts), e, s, settled(rel.edges_between(e, s), "edges"), **options)
+    e, s, compiled = settled(entities(spark, sf), "entities"), surfaces(spark, sf), compiled_once(spark, texts)
+    return q.answer(asked(spark, sf, texts, compiled), e, s, _graph(e, s, compiled), **options)
 
 
 def _query(sql: str | None = None):
@@ -129,9 +138,9 @@ def qa_tau_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 def limited(spark: SparkSession, sf: str, texts: tuple[str, ...], **options) -> DataFrame:
     """Answers with the rejections' ceiling."""
-    e, s = settled(entities(spark, sf), "entities"), surfaces(spark, sf)
+    e, s, compiled = settled(entities(spark, sf), "entities"), surfaces(spark, sf), compiled_once(spark, texts)
     near = settled(rel.rejections(e, s), "rejections")
-    return q.answer(asked(spark, sf, texts), e, s, settled(rel.edges_between(e, s), "edges"), rejections=near, **options)
+    return q.answer(asked(spark, sf, texts, compiled), e, s, _graph(e, s, compiled), rejections=near, **options)
 
 
 @_query(f"WITH {answers_sql(q.BATTERY, limits=_CEILING)} SELECT * FROM limits")

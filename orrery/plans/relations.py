@@ -209,20 +209,29 @@ def stored_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges_between(settled(entities(spark, sf), "entities"), surfaces(spark, sf))
 
 
-def edges_between(e: DataFrame, s: DataFrame) -> DataFrame:
+#: The relations that a question may consult, by extractor.
+_CONSULTED = {
+    "directional": ("LEFT_OF", "RIGHT_OF", "BEHIND", "IN_FRONT_OF", "ABOVE", "BELOW"), "proximity": ("NEAR",), "near_surface": ("NEAR_SURFACE",), "on_surface": ("SUPPORTS", "ON_SURFACE"),
+    "contacts_surface": ("CONTACTS_SURFACE",), "on_entity_surface": ("SUPPORTS", "ON_ENTITY_SURFACE"), "attached_to": ("ATTACHED_TO",),
+}
+
+
+def edges_between(e: DataFrame, s: DataFrame, consulted: set[str] | None = None) -> DataFrame:
+    """The edges of all extractors, or of those that can say something on the relations ``consulted``."""
     parts = {
-        "directional": r.directional_sparse(e),
-        "proximity": r.near(e, boxes=True),
-        "near_surface": r.near_surface(e, s, polygons=True),
-        "on_surface": r.edges_of(r.on_surface_tests(e, s)),
-        "contacts_surface": r.edges_of(r.contacts_surface_tests(e, s)),
-        "on_entity_surface": r.edges_of(r.on_entity_surface_tests(e, SUPPORT)),
-        "attached_to": r.attached_to(e, s),
+        "directional": lambda: r.directional_sparse(e),
+        "proximity": lambda: r.near(e, boxes=True),
+        "near_surface": lambda: r.near_surface(e, s, polygons=True),
+        "on_surface": lambda: r.edges_of(r.on_surface_tests(e, s)),
+        "contacts_surface": lambda: r.edges_of(r.contacts_surface_tests(e, s)),
+        "on_entity_surface": lambda: r.edges_of(r.on_entity_surface_tests(e, SUPPORT)),
+        "attached_to": lambda: r.attached_to(e, s),
     }
     found = None
     for name, edges in parts.items():
-        own = r.with_edge_id(edges, name, "1").withColumn("extractor", F.lit(name))
-        found = own if found is None else found.unionByName(own)
+        if consulted is None or consulted.intersection(_CONSULTED[name]):
+            own = r.with_edge_id(edges(), name, "1").withColumn("extractor", F.lit(name))
+            found = own if found is None else found.unionByName(own)
     return found
 
 
