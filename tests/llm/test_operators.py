@@ -281,6 +281,26 @@ def test_ordinal_fit_orders_grades():
     assert np.corrcoef(expected, grades)[0, 1] > 0.85
 
 
+def test_quality_scores_agree_with_a_plain_sum(spark, docs):
+    rng = np.random.default_rng(6)
+    model = quality.OrdinalModel(rng.normal(0, 1, quality.SIZE), np.array([-0.4, 0.9]), [0, 1, 3])
+
+    def plain(text):
+        chunks = text.split(" ")
+        place = sum(model.weights[k] for c in chunks for k in quality.chunk_features(c)[:2]) / len(chunks)
+        same = sum(a == b for a, b in zip(chunks, chunks[1:], strict=False)) / len(chunks)
+        form = [same, len(set(chunks)) / len(chunks), min(sum(map(len, chunks)) / len(chunks), 40) / 10, math.log1p(len(chunks)) / 10]
+        place += sum(w * x for w, x in zip(model.weights[quality.BUCKETS :], form, strict=True))
+        return [1 / (1 + math.exp(cut - place)) for cut in model.thresholds]
+
+    found = quality.score(docs.coalesce(1), model).collect()
+    texts = [r["text"] or "" for r in docs.coalesce(1).collect()]
+    assert len(found) == len(texts)
+    for r, text in zip(found, texts, strict=True):
+        want = plain(text)
+        assert np.allclose(r["tails"], want, atol=1e-9) and math.isclose(r["expected_grade"], want[0] + 2 * want[1], abs_tol=1e-9)
+
+
 def test_quality_of_awkward_rows(spark, docs, empty):
     ratings = spark.createDataFrame([(i, i % 3) for i in range(12)] + [(1, None)], "doc_id long, grade int")
     got = quality.rate_documents(docs, ratings).collect()
