@@ -291,7 +291,7 @@ def _searchable(block: list[tuple[int, str]]) -> list[tuple[int, np.ndarray]]:
     return [(i, own) for i, own in ((i, np.array(words(t), np.uint64)) for i, t in block) if len(own)]
 
 
-def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, np.ndarray]], similarity: float, at: int, most_bytes: int = 8 << 20):
+def _searched(batches: Iterator[pa.RecordBatch], items: list[tuple[int, np.ndarray]], similarity: float, at: int, most_bytes: int = 2 << 20):
     """Parts of the batches, each with what ``ItemIndex.search`` finds in its column ``at``."""
     index, known = ItemIndex(items, similarity), Known(_hashed, np.uint64)
     for batch in batches:

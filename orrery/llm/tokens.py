@@ -211,7 +211,7 @@ def encoder(path: str, keeps_space: bool) -> ChunkEncoder:
     return _CACHE[key]
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def pieces_of(batches: Iterator[pa.RecordBatch], path: str, keeps_space: bool, most_bytes: int = 3 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Batches of bounded size, each with the ids of its column ``text`` (END_ID after each text) and their counts."""
     code = encoder(path, keeps_space)
     for batch in batches:

@@ -178,7 +178,7 @@ def scan(docs: DataFrame, scores: np.ndarray, keep: list[str] | None = None, lea
         known: Memo[float] = Memo(200_000)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            for part in _slices(batch, at, 2 << 20):
+            for part in _slices(batch, at, 1 << 20):
                 codes, chunks, per_text = _chunks(pc.fill_null(part.column(at), ""))
                 values = known.all(chunks, lambda new: [chunk_score(x, weights) for x in new])
                 flat = np.array(values, float)[codes]
