@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from orrery.llm.chat import OP6_SQL, op6_chat_formatting
+from orrery.llm.clusters import OP11_SQL, op11_centroid_clustering
 from orrery.llm.decontaminate import op3_decontamination
 from orrery.llm.media import op9_media_columns
 from orrery.llm.packing import op2_best_fit_packing
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL,
+    "op11_centroid_clustering": OP11_SQL,
 }
