@@ -41,7 +41,7 @@ def seeds(kept: DataFrame, k: int = CENTROIDS, salt: str = "3:", scale: int = SC
     """
     hashed = kept.where("vec_id is not null").select(F.sha2(F.concat(F.lit(salt), F.col("vec_id").cast("string")), 256).alias("hash"), "embedding")
     first = hashed.orderBy("hash", "embedding").limit(k).collect()
-    return _whole(np.array([r["embedding"] for r in first], np.float64).reshape(len(first), -1), scale)
+    return _whole(np.array([r["embedding"] for r in first], np.float64), scale)
 
 
 def _whole(x: np.ndarray, scale: int) -> np.ndarray:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from orrery.llm.chat import OP6_SQL, op6_chat_formatting
 from orrery.llm.clusters import OP11_SQL, op11_centroid_clustering
 from orrery.llm.decontaminate import op3_decontamination
+from orrery.llm.linestore import OP13_SQL, op13_line_dedup
 from orrery.llm.media import op9_media_columns
 from orrery.llm.packing import op2_best_fit_packing
+from orrery.llm.periodic import op12_periodic_runs
 from orrery.llm.quality import op4_quality_classifier
 from orrery.llm.secretscan import op7_secret_scans
 from orrery.llm.sharding import op1_sharding
@@ -26,9 +28,12 @@ QUERIES = {
     "op9_media_columns": op9_media_columns,
     "op10_token_output": op10_token_output,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op6_chat_formatting": OP6_SQL,
     "op11_centroid_clustering": OP11_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
