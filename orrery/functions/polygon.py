@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from orrery.functions.geometry import col
 
+#: Slack of a half-plane, and the machine's epsilon, under which sides are parallel and areas nothing.
 _EPS = 1e-12
+EPSILON = 2.220446049250313e-16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -105,6 +107,25 @@ def area(polygon: Column) -> Column:
     return F.abs(signed_area(polygon))
 
 
+def centroid(polygon: Column) -> Column:
+    """The centroid of the area; the mean of the points where there is no area; null without points."""
+
+    def weighed(signed: Column) -> Column:
+        zero = point(F.lit(0.0), F.lit(0.0))
+
+        def add(sum_: Column, s: Column) -> Column:
+            w = s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
+            return point(sum_["x"] + (s["a"]["x"] + s["b"]["x"]) * w, sum_["y"] + (s["a"]["y"] + s["b"]["y"]) * w)
+
+        moments = F.aggregate(sides(polygon), zero, add)
+        mean = F.aggregate(polygon, zero, lambda sum_, q: point(sum_["x"] + q["x"], sum_["y"] + q["y"]))
+        flat = let(mean, lambda m: point(m["x"] / F.size(polygon), m["y"] / F.size(polygon)))
+        full = let(moments, lambda m: point(m["x"] / (6 * signed), m["y"] / (6 * signed)))
+        return F.when(F.size(polygon) == 0, None).when(F.abs(signed) > EPSILON, full).otherwise(flat)
+
+    return let(signed_area(polygon), weighed)
+
+
 def counter_clockwise(polygon: Column) -> Column:
     return F.when(signed_area(polygon) < 0, F.reverse(polygon)).otherwise(polygon)
 
@@ -118,7 +139,7 @@ def clip(subject: Column, window: Column) -> Column:
         sx, sy = cut["b"]["x"] - cut["a"]["x"], cut["b"]["y"] - cut["a"]["y"]
         across = rx * sy - ry * sx
         t = ((cut["a"]["x"] - p["x"]) * sy - (cut["a"]["y"] - p["y"]) * sx) / F.nullif(across, F.lit(0.0))
-        return F.coalesce(F.when(F.abs(across) > 2.3e-16, point(p["x"] + t * rx, p["y"] + t * ry)), q)
+        return F.coalesce(F.when(F.abs(across) > EPSILON, point(p["x"] + t * rx, p["y"] + t * ry)), q)
 
     def halved(left: Column, cut: Column) -> Column:
         within = lambda p: cross(cut["a"], cut["b"], p) >= -_EPS

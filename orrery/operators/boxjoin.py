@@ -38,3 +38,27 @@ def pairs_within(boxes: DataFrame, reach: float, cell: float | None = None, poin
     met = a.join(b, ["scene_id", "cell0", "cell1", "cell2"])
     first = (F.col("cell0") == F.greatest("m0", "n0")) & (F.col("cell1") == F.greatest("m1", "n1")) & (F.col("cell2") == F.greatest("m2", "n2"))
     return met.where((F.col("a.ord") < F.col("b.ord")) & first).select("scene_id", "a", "b")
+
+
+def footprints_meeting(targets: DataFrame, under: DataFrame, cell: float = 1.0) -> DataFrame:
+    """``scene_id, t, s``: rows of two tables of one scene whose footprints (x0, y0, x1, y1) meet, each pair once.
+
+    Both sides are dealt to the cells of a grid and joined on (scene, cell); a pair that shares
+    several cells is kept in the first of them.
+    """
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        out = df.select("scene_id", *[F.col(c).alias(f"{name}_{c}") for c in df.columns])
+        for k in "xy":
+            first, last = (F.floor(F.col(f"{name}_{k}{n}") / cell) for n in (0, 1))
+            out = out.withColumn(f"{name}_cell_{k}", first).withColumn(f"cell_{k}", F.explode(F.sequence(first, last)))
+        return out
+
+    met = dealt(targets, "t").join(dealt(under, "s"), ["scene_id", "cell_x", "cell_y"])
+    first = [F.col(f"cell_{k}") == F.greatest(f"t_cell_{k}", f"s_cell_{k}") for k in "xy"]
+    touching = [F.col(f"{a}_{k}0") <= F.col(f"{b}_{k}1") for k in "xy" for a, b in ("ts", "st")]
+    for clause in (*first, *touching):
+        met = met.where(clause)
+    # the rows are put together last, so that no field is read through the explosions above
+    whole = lambda df, name: F.struct(*[F.col(f"{name}_{c}").alias(c) for c in df.columns]).alias(name)
+    return met.select("scene_id", whole(targets, "t"), whole(under, "s"))

@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.digests import ids_sha256
+from orrery.operators.components import components
+
 
 def resolve(masks: DataFrame, proposals: DataFrame, least_score: float = 0.2, least_size: int = 20) -> DataFrame:
     """``scene_id, v, p``: each vertex goes to its best proposal (score, then lower p); small winners vanish.
@@ -172,8 +175,13 @@ def policy_view(masks: DataFrame, proposals: DataFrame, accepted: float = 0.2, p
 
 
 def activated(assignment: DataFrame, view: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``assignment`` (scene_id, v, p among provisional proposals) of the accepted proposals and of ``chosen`` candidates alone."""
-    allowed = view.where("state = 'accepted' and assigned > 0").select("scene_id", "p").unionByName(view.where("candidate").join(chosen, ["scene_id", "p"], "left_semi").select("scene_id", "p"))
+    """``assignment`` (scene_id, v, p among provisional proposals) of the accepted proposals and of ``chosen`` candidates alone.
+
+    A chosen id that is no candidate of its scene fails the job.
+    """
+    known = chosen.select("scene_id", "p").distinct().join(view.where("candidate").select("scene_id", "p", F.lit(True).alias("able")), ["scene_id", "p"], "left")
+    able = known.where(F.when(F.col("able").isNull(), F.raise_error(F.format_string("proposal %d of scene %d is no candidate for activation", "p", "scene_id"))).otherwise(True).cast("boolean"))
+    allowed = view.where("state = 'accepted' and assigned > 0").select("scene_id", "p").unionByName(able.select("scene_id", "p"))
     return assignment.join(allowed, ["scene_id", "p"], "left_semi")
 
 
@@ -183,13 +191,11 @@ def fused_bank(edges: DataFrame, vertices: DataFrame, cuts: tuple[float, ...] =
     A component has ``least`` to ``most_share`` of the scene's vertices (scene_id, n). p is its
     place in the order in which duplicates are judged: higher cut, larger, lesser digest. The score is the cut.
     """
-    found = None
-    for cut in cuts:
-        own = mesh_components(edges, cut).withColumn("cut", F.lit(cut))
-        found = own if found is None else found.unionByName(own)
+    held = edges.select("scene_id", "a", "b", F.explode(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col("confidence") >= cut)).alias("cut"))
+    found = components(held, ["scene_id", "cut"], "a", "b").withColumnRenamed("node", "v")
     sized = found.groupBy("scene_id", "cut", "root").agg(F.array_sort(F.collect_list("v")).alias("vs")).join(vertices, "scene_id")
     bounded = sized.where((F.size("vs") >= least) & (F.size("vs") <= F.floor(F.col("n") * most_share)))
-    digest = F.sha2(F.array_join("vs", ","), 256)
+    digest = ids_sha256(F.col("vs"))
     order = Window.partitionBy("scene_id").orderBy(F.desc("cut"), F.desc(F.size("vs")), digest)
     pool = bounded.withColumn("p", F.row_number().over(order).cast("long"))
     return pool.select("scene_id", "p", F.col("cut").alias("score"), F.size("vs").cast("long").alias("size"), digest.alias("digest")), pool.select("scene_id", "p", F.explode("vs").alias("v"))
@@ -238,22 +244,7 @@ def failures(cover: DataFrame, matches: DataFrame, best_raw: DataFrame) -> DataF
 
 def mesh_components(edges: DataFrame, confident: float = 0.5) -> DataFrame:
     """``scene_id, v, root``: components of a mesh's confident edges, per scene, root the least vertex."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(pdf["a"], pdf["b"], strict=True):
-            x, y = top(a), top(b)
-            parent[max(x, y)] = min(x, y)
-        return pd.DataFrame({"scene_id": pdf["scene_id"].iloc[0], "v": list(parent), "root": [top(x) for x in parent]})
-
-    return edges.where(F.col("confidence") >= confident).groupBy("scene_id").applyInPandas(run, "scene_id long, v long, root long")
+    return components(edges.where(F.col("confidence") >= confident), ["scene_id"], "a", "b").select("scene_id", F.col("node").alias("v"), "root")
 
 
 def recall_at(pairs: DataFrame, proposals: DataFrame, truths: DataFrame, ks: Iterator[int], least: float = 0.5) -> DataFrame:

@@ -93,7 +93,8 @@ def ceilings(asked: DataFrame, entities: DataFrame, surfaces: DataFrame, rejecti
     """
     consulted = F.when(F.col("edge_type") != "SUPPORTS", F.col("edge_type")).when(F.col("anchor_kind") == "surface", "ON_SURFACE").otherwise("ON_ENTITY_SURFACE")
     scope = asked.select("scene_id", "question", "anchor_kind", "anchor", consulted.alias("type")).join(anchors(entities, surfaces), ["scene_id", "anchor_kind", "anchor"]).select("scene_id", "question", "type", "ref").distinct()
-    held = rejections.withColumn("confidence", g.margin_confidence(F.col("margin")))
+    # a rejection without a margin is in scope, but nothing was measured
+    held = rejections.withColumn("confidence", F.when(F.col("margin").isNotNull(), g.margin_confidence(F.col("margin"))))
     ends = held.select("scene_id", "type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("ref"), "src", "dst", "confidence")
     met = scope.join(ends, ["scene_id", "type", "ref"]).select("scene_id", "question", "src", "dst", "confidence").distinct()
     worst = F.greatest(F.lit(0.0), 1 - F.max("confidence"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.digests import ids_sha256_sql
 from orrery.operators import masks as m
 from orrery.sources.tables import settled
 
@@ -297,13 +298,14 @@ def policy_view(spark: SparkSession, sf: str) -> DataFrame:
 def policy_activation(spark: SparkSession, sf: str) -> DataFrame:
     """The assignment with the candidates of even number activated."""
     raw, scored = masks(spark, sf), proposals(spark, sf)
-    return m.activated(m.resolve(raw, scored, 0.45), m.policy_view(raw, scored, 0.48, 0.45), scored.where("p % 2 = 0").select("scene_id", "p"))
+    view = settled(m.policy_view(raw, scored, 0.48, 0.45), "policy")
+    return m.activated(m.resolve(raw, scored, 0.45), view, view.where("candidate and p % 2 = 0"))
 
 
 _CUT_CHAIN = _CHAIN.replace(", k AS (SELECT scene_id, a, b FROM c LEFT JOIN h USING (scene_id, a, b) WHERE coalesce(held, 0) / seen >= 0.5)", ", k AS (SELECT scene_id, cut, a, b FROM c LEFT JOIN h USING (scene_id, a, b), (SELECT unnest([0.25e0, 0.5e0, 0.75e0]) AS cut) WHERE coalesce(held, 0) / seen >= cut)").replace("PARTITION BY scene_id ORDER BY a", "PARTITION BY scene_id, cut ORDER BY a").replace("SELECT scene_id, a, b, sum(", "SELECT scene_id, cut, a, b, sum(").replace("SELECT scene_id, island, a AS v FROM i UNION SELECT scene_id, island, b FROM i", "SELECT scene_id, cut, island, a AS v FROM i UNION SELECT scene_id, cut, island, b FROM i").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@_query(f"""{_CUT_CHAIN}, g AS (SELECT scene_id, cut, island, count(*) AS size, sha256(string_agg(v::VARCHAR, ',' ORDER BY v)) AS digest, list(v) AS vs FROM n GROUP BY ALL
+@_query(f"""{_CUT_CHAIN}, g AS (SELECT scene_id, cut, island, count(*) AS size, {ids_sha256_sql("list(v ORDER BY v)")} AS digest, list(v) AS vs FROM n GROUP BY ALL
 ), pool AS (SELECT scene_id, cut, size, vs, row_number() OVER (PARTITION BY scene_id ORDER BY cut DESC, size DESC, digest) AS p FROM g JOIN (SELECT scene_id, count(*) AS all_ FROM v GROUP BY 1) USING (scene_id) WHERE size >= 20 AND size <= floor(all_ * 0.4e0)
 ), rival AS (SELECT a.scene_id, a.p, list(b.p) AS qs FROM pool a JOIN pool b ON a.scene_id = b.scene_id AND a.p <> b.p AND len(list_intersect(a.vs, b.vs)) / (a.size + b.size - len(list_intersect(a.vs, b.vs))) >= 0.95e0 GROUP BY ALL
 ), r AS (SELECT x.*, coalesce(qs, []::BIGINT[]) AS qs FROM pool x LEFT JOIN rival USING (scene_id, p)

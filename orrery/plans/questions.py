@@ -65,7 +65,7 @@ def _list(items: str) -> str:
 _NO_CEILING = "limits AS (SELECT NULL::BIGINT AS scene_id, NULL::VARCHAR AS question, 1e0 AS ceiling, 0 AS n_scoped, 0 AS n_measured)"
 _CEILING = f"""{rel.REJECTED}, scope AS (SELECT DISTINCT r.scene_id, r.question, a.ref, CASE WHEN r.edge_type <> 'SUPPORTS' THEN r.edge_type WHEN r.anchor_kind = 'surface' THEN 'ON_SURFACE' ELSE 'ON_ENTITY_SURFACE' END AS type
   FROM rules r JOIN anc a USING (scene_id, anchor_kind, anchor) WHERE compiled = 'compiled'
-), scoped AS (SELECT DISTINCT c.scene_id, c.question, j.src, j.dst, 1 / (1 + exp(-least(greatest(4 * j.margin, -50e0), 50e0))) AS confidence FROM scope c JOIN sampled j ON j.scene_id = c.scene_id AND j.type = c.type AND c.ref IN (j.src, j.dst)
+), scoped AS (SELECT DISTINCT c.scene_id, c.question, j.src, j.dst, CASE WHEN j.margin IS NOT NULL THEN 1 / (1 + exp(-least(greatest(4 * j.margin, -50e0), 50e0))) END AS confidence FROM scope c JOIN sampled j ON j.scene_id = c.scene_id AND j.type = c.type AND c.ref IN (j.src, j.dst)
 ), limits AS (SELECT scene_id, question, coalesce(greatest(0e0, 1 - max(confidence)), 1e0) AS ceiling, count(*) AS n_scoped, count(confidence) AS n_measured FROM scoped GROUP BY ALL)"""
 
 
@@ -150,6 +150,18 @@ def qa_rejection_ceiling(spark: SparkSession, sf: str) -> DataFrame:
     return q.ceilings(asked(spark, sf, q.BATTERY).where("compiled = 'compiled'"), e, s, rel.rejections(e, s))
 
 
+_UNMEASURED = _CEILING.replace("JOIN sampled j", "JOIN (SELECT * REPLACE (CASE WHEN right(src, 1) IN ('0', '3', '6', '9') THEN NULL ELSE margin END AS margin) FROM sampled) j")
+
+
+@_query(f"WITH {answers_sql(q.BATTERY, limits=_UNMEASURED)} SELECT * FROM limits")
+def qa_unmeasured_ceiling(spark: SparkSession, sf: str) -> DataFrame:
+    """Ceilings where some rejections in scope have no margin: they count as scoped and limit nothing."""
+    e, s = settled(entities(spark, sf), "entities"), surfaces(spark, sf)
+    unmeasured = F.substring("src", -1, 1).isin("0", "3", "6", "9")
+    near = rel.rejections(e, s).withColumn("margin", F.when(~unmeasured, F.col("margin")))
+    return q.ceilings(asked(spark, sf, q.BATTERY).where("compiled = 'compiled'"), e, s, near)
+
+
 @_query(f"WITH {answers_sql(q.BATTERY, tau=0.5, limits=_CEILING)} SELECT * FROM answers")
 def qa_limited(spark: SparkSession, sf: str) -> DataFrame:
     """The battery's answers under the ceiling: doubtful bindings and empties become unknown."""

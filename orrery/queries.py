@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from orrery.plans import evaluation, masks, polygons, questions, relations, reports, retrieval
+from orrery.plans import association, ceilings, evaluation, masks, patches, polygons, questions, relations, repair, reports, retrieval
 
-_MODULES = (relations, questions, masks, evaluation, retrieval, reports, polygons)
+_MODULES = (relations, questions, masks, evaluation, retrieval, reports, polygons, patches, repair, ceilings, association)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
