@@ -27,8 +27,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def claim(spark: SparkSession, path: str) -> bool:
-    """Make an empty file, and say whether it was this call that made it: of several writers one succeeds."""
+    """Make an empty file, and say whether it was this call that made it: of several writers one succeeds.
+
+    Distributed file systems make a file that must not exist in one step; on a
+    local disk Hadoop looks first and makes it then, so Java's own call is used there.
+    """
     fs, found = _at(spark, path)
+    if fs.getUri().getScheme() == "file":
+        fs.mkdirs(found.getParent())
+        return bool(spark.sparkContext._jvm.java.io.File(found.toUri().getPath()).createNewFile())
     try:
         fs.create(found, False).close()
     except Py4JJavaError as error:

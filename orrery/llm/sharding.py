@@ -8,12 +8,13 @@ and only as many as needed. All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.llm import files
 from orrery.llm.common import shared_dir, table, whole_text
 
 SLOTS = 4096
@@ -22,6 +23,8 @@ SHARDS = 16
 SLACK = 0.001
 #: Repetitions of a row that are dealt out together.
 COPIES = 1 << 16
+#: Looks at a map that another writer is just beginning, a fifth of a second apart.
+TRIES = 300
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long"
 
 
@@ -85,26 +88,56 @@ def slot_map(bytes_by_slot: DataFrame, shards: int, version: int = 1, old: DataF
     return picks.select(F.lit(version).alias("version"), "pick.virtual_slot", "pick.shard", "pick.bytes")
 
 
-def save_map(found: DataFrame, path: str) -> None:
-    """Append a version of a map to the table at ``path``; earlier versions stay."""
-    found.coalesce(1).write.mode("append").parquet(path)
+def save_map(found: DataFrame, path: str, version: int) -> bool:
+    """Write a version of the map in a folder of its own, and say whether it is ours to write.
+
+    Of several writers of one version the one that makes its claim first writes it; the others
+    get False and leave the map as it is. Earlier versions stay.
+    """
+    spark = found.sparkSession
+    if not files.claim(spark, f"{path}/claim-{version:08d}"):
+        return False
+    found.coalesce(1).write.parquet(f"{path}/version-{version:08d}")
+    return True
 
 
 def latest_version(spark: SparkSession, path: str) -> int:
-    """The latest version of the map at ``path``; 0 if there is none."""
-    try:
-        every = spark.read.schema(MAP_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
-    return every.agg(F.max("version")).first()[0] or 0
+    """The latest complete version of the map at ``path``; 0 if there is none."""
+    named = [int(name[8:]) for name in files.names(spark, path) if name.startswith("version-")]
+    whole = [v for v in named if files.exists(spark, f"{path}/version-{v:08d}/_SUCCESS")]
+    return max(whole, default=0)
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """One version of the map at ``path``; the latest if none is named."""
+    """One version of the map at ``path``; the latest if none is named. A map that lacks slots or has one twice raises."""
     wanted = latest_version(spark, path) if version is None else version
-    return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == wanted)
+    found = spark.read.schema(MAP_SCHEMA).parquet(f"{path}/version-{wanted:08d}")
+    rows, slots, last = found.agg(F.count(F.lit(1)), F.count_distinct("virtual_slot"), F.max("virtual_slot")).first()
+    if not rows == slots == (last or 0) + 1:
+        raise ValueError(f"version {wanted} of the map at {path} has {rows} rows for {slots} slots up to {last}")
+    return found
+
+
+def next_map(rows: DataFrame, path: str, shards: int, slots: int) -> int:
+    """Edit the latest version of the map at ``path`` by the bytes of ``rows``, and return the new version.
+
+    A writer that comes second edits again from what the first one wrote; the number of a writer that died
+    between its claim and the end of its write is passed over.
+    """
+    spark, by_slot = rows.sparkSession, slot_bytes(rows)
+    if not latest_version(spark, path):
+        save_map(even_map(spark, shards, slots), path, 1)
+    for _ in range(TRIES):
+        old = latest_version(spark, path)
+        if old:
+            break
+        time.sleep(0.2)  # another writer is making version 1
+    else:
+        raise RuntimeError(f"the map at {path} has no complete version")
+    version = old + 1
+    while not save_map(slot_map(by_slot, shards, version, load_map(spark, path, old), SLACK), path, version):
+        old, version = max(old, latest_version(spark, path)), version + 1
+    return version
 
 
 def place(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -145,13 +178,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, m
     rows = sized(docs, slots)
     if map_path is None:
         map_path = f"{shared_dir(spark).rstrip('/')}/orrery/slot-map-{uuid.uuid4().hex}"
-    version = latest_version(spark, map_path)
-    if not version:
-        save_map(even_map(spark, shards, slots), map_path)
-        version = 1
-    old = load_map(spark, map_path, version)
-    save_map(slot_map(slot_bytes(rows), shards, version + 1, old, SLACK), map_path)
-    return place(rows, load_map(spark, map_path, version + 1))
+    return place(rows, load_map(spark, map_path, next_map(rows, map_path, shards, slots)))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

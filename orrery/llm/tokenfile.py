@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.llm import files
 from orrery.llm.common import least_hashed, materialise, table, whole_text
 from orrery.llm.tokens import crc32, pieces_of
 
@@ -33,6 +34,7 @@ BLOCK_IDS = 1 << 18
 TRAIN_DOCS, TRAIN_BYTES, DICTIONARY_BYTES = 1000, 8 << 20, 64 << 10
 #: Stands for a null document id in the index.
 NO_ID = -(1 << 63)
+BLOCKS = "part int, block int, first_doc long, last_doc long, n_ids long, payload binary"
 
 
 def serialise(ids: np.ndarray, width: int) -> bytes:
@@ -86,6 +88,8 @@ def write_block(doc_ids: list[int | None], arrays: list[np.ndarray], before: int
     pack = _compressor(dictionary).compress
     frames = [pack(serialise(x, width)) for x in arrays]
     index = np.zeros(len(frames), dtype=[("doc", "<i8"), ("ids", "<u4"), ("end", "<u8")])
+    if NO_ID in doc_ids:
+        raise ValueError(f"doc_id {NO_ID} stands for a document without id")
     index["doc"] = [NO_ID if x is None else x for x in doc_ids]
     index["ids"] = [len(x) for x in arrays]
     index["end"] = np.cumsum([len(x) for x in frames])
@@ -116,13 +120,17 @@ class Block:
         return self.ids(int(rows[0])) if len(rows) else None
 
 
-def write_token_file(docs: DataFrame, path: str, keeps_space: bool, dictionary: bytes, width: int) -> DataFrame:
-    """Write ``docs`` in ascending doc_id order; returns the written table of blocks.
+def write_token_file(docs: DataFrame, path: str, keeps_space: bool, dictionary: bytes, width: int, folder: str) -> DataFrame:
+    """Write ``docs`` in ascending doc_id order to ``folder``, the dictionary beside the blocks; returns the blocks.
 
     Columns: part (range partition), block (its place there), first_doc, last_doc,
     n_ids, payload. Ties in doc_id are in the order of the texts' hashes.
     """
 
+    spark = docs.sparkSession
+    named = [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))]
+    spark.createDataFrame(named, "sha256 string, payload binary").coalesce(1).write.parquet(f"{folder}/dictionary")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
@@ -149,10 +157,20 @@ def write_token_file(docs: DataFrame, path: str, keeps_space: bool, dictionary:
         if names:
             yield close()
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("h"), whole_text().alias("text"))
-    ranged = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    blocks = ranged.mapInArrow(run, "part int, block int, first_doc long, last_doc long, n_ids long, payload binary")
-    return materialise(blocks, "token-blocks")
+    # the row's number parts equal rows, which may be many, over several ranges
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("h"), F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
+    ranged = narrow.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
+    blocks = ranged.mapInArrow(run, BLOCKS)
+    return files.write(blocks, f"{folder}/blocks")
+
+
+def open_token_file(spark: SparkSession, folder: str) -> tuple[DataFrame, bytes]:
+    """Blocks and dictionary of a token file that any session wrote; a dictionary that is not the named one raises."""
+    row = spark.read.parquet(f"{folder}/dictionary").first()
+    dictionary = bytes(row["payload"])
+    if hashlib.sha256(dictionary).hexdigest() != row["sha256"]:
+        raise ValueError(f"the dictionary in {folder} is damaged")
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"), dictionary
 
 
 def read_token_file(blocks: DataFrame, dictionary: bytes) -> DataFrame:
@@ -187,15 +205,17 @@ def read_token_file(blocks: DataFrame, dictionary: bytes) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_file(docs: DataFrame, path: str, keeps_space: bool, width: int = 2) -> tuple[DataFrame, bytes]:
-    """Train the dictionary, write the file; the blocks and the dictionary.
+def token_file(docs: DataFrame, path: str, keeps_space: bool, width: int = 2, folder: str | None = None) -> tuple[DataFrame, bytes]:
+    """Train the dictionary, write the file to ``folder`` (a new one in the shared folder by default) and open it; the blocks and the dictionary.
 
     Null texts are empty (the end id alone), null doc_ids come first, repeated rows
     are written once each, an empty table gives no block. ``width`` 2 holds ids below
-    65,536, 4 holds any. Columns other than doc_id and text are not read.
+    65,536, 4 holds any. The doc_id -2^63 stands for none in the index and raises. Columns other
+    than doc_id and text are not read.
     """
-    dictionary = train_dictionary(docs, path, keeps_space, width)
-    return write_token_file(docs, path, keeps_space, dictionary, width), dictionary
+    spark, folder = docs.sparkSession, folder or files.fresh(docs.sparkSession, "token-file")
+    write_token_file(docs, path, keeps_space, train_dictionary(docs, path, keeps_space, width), width, folder)
+    return open_token_file(spark, folder)
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

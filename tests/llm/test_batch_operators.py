@@ -8,10 +8,11 @@ import threading
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, files, linestore, periodic
+from orrery.llm import clusters, files, linestore, periodic, sharding, tokenfile
 from orrery.llm.queries import QUERIES
 
 from ..conftest import SMALL
@@ -239,3 +240,74 @@ def test_two_writers_lose_no_batch(spark, tmp_path):
     for t in threads:
         t.join()
     assert linestore.LineStore(spark, path, least=2).decided().count() == 20
+
+
+# sharding and token files by several writers, sessions and very many equal rows
+
+
+def test_two_writers_of_a_map_make_two_versions(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "word " * (i % 17)) for i in range(300)], "doc_id long, text string")
+    found, failed = [], []
+
+    def write():
+        try:
+            found.append(sharding.shard_documents(docs, shards=4, slots=64, map_path=path).collect())
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=write) for _ in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    assert [len(rows) for rows in found] == [300, 300]
+    versions = {r["version"] for rows in found for r in rows}
+    assert len(versions) == 2 and sharding.latest_version(spark, path) == max(versions)
+    for v in (1, *versions):
+        assert sharding.load_map(spark, path, v).count() == 64
+    assert len(sharding.shard_documents(docs, shards=4, slots=64, map_path=path).collect()) == 300
+
+
+def test_a_map_with_a_slot_twice_raises_and_a_dead_claim_is_passed_over(spark, tmp_path):
+    path = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, "w") for i in range(50)], "doc_id long, text string")
+    rows = sharding.sized(docs, 16)
+    assert sharding.next_map(rows, path, 4, 16) == 2
+    assert files.claim(spark, f"{path}/claim-00000003")
+    assert sharding.next_map(rows, path, 4, 16) == 4
+    twice = sharding.load_map(spark, path, 4)
+    assert sharding.save_map(twice.unionByName(twice), path, 5)
+    with pytest.raises(ValueError, match="32 rows for 16 slots"):
+        sharding.load_map(spark, path)
+
+
+def test_a_token_file_is_read_by_what_it_holds_alone(spark, tmp_path):
+    folder, path = str(tmp_path / "tokens"), public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["alpha", "beta", "gamma", "Delta"]) for _ in range(60))) for i in range(400)], "doc_id long, text string")
+    blocks, dictionary = tokenfile.token_file(docs, path, False, folder=folder)
+    want = tokenfile.read_token_file(blocks, dictionary).collect()
+    tokenfile._decompressor.cache_clear()
+    again, stored = tokenfile.open_token_file(spark.newSession(), folder)
+    assert stored == dictionary and len(stored) > 0
+    assert sorted(tokenfile.read_token_file(again, stored).collect()) == sorted(want)
+    with pytest.raises(Exception, match="without id"):
+        tokenfile.token_file(spark.createDataFrame([(tokenfile.NO_ID, "x")], "doc_id long, text string"), path, False)
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_very_many_equal_rows_are_written_by_several_tasks(spark, uncoalesced):
+    equal = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    blocks, dictionary = tokenfile.token_file(equal, public_tokenizers.path("word_bpe_49k.json"), False)
+    parts = [r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(parts) > 1 and max(parts) < 0.6 * sum(parts)
+    read = tokenfile.read_token_file(blocks, dictionary)
+    assert read.count() == read.select("start").distinct().count() == 200_000
