@@ -1,4 +1,4 @@
-"""Contact predicates of a box with a plane rectangle, as columns."""
+"""Contact predicates of a box with a plane rectangle or polygon, as columns."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
+from orrery.functions.polygon import surface_gap
 
 
 @dataclass(frozen=True)
@@ -34,9 +35,20 @@ WALL = Contact(penetration=0.02)
 WALL_LOOSE = Contact(contact=0.12, penetration=0.02)
 
 
+def shaped(pairs: DataFrame, surface: str = "s") -> bool:
+    """Whether surfaces come with polygons; without, a surface is the rectangle of its box."""
+    return "polygon" in pairs.schema[surface].dataType.fieldNames()
+
+
 def measured(pairs: DataFrame, box: str = "e", surface: str = "s") -> DataFrame:
-    """``pairs`` with ``side``, ``gap``, ``plane_gap`` and ``lean``: each measure is worked out once."""
-    return pairs.withColumns({"side": g.centroid_to_plane(box, surface), "gap": g.corner_range(box, surface)[0], "plane_gap": g.in_plane_gap(box, surface), "lean": g.col(surface, "c")})
+    """``pairs`` with ``side``, ``gap``, ``plane_gap`` and ``lean``: each measure is worked out once.
+
+    Surfaces may be polygons; those of a table with polygons that have none take no part in contacts.
+    """
+    plane_gap = g.in_plane_gap(box, surface)
+    if shaped(pairs, surface):
+        pairs, plane_gap = pairs.where(g.col(surface, "polygon").isNotNull()), surface_gap(box, surface)
+    return pairs.withColumns({"side": g.centroid_to_plane(box, surface), "gap": g.corner_range(box, surface)[0], "plane_gap": plane_gap, "lean": g.col(surface, "c")})
 
 
 def verdict(rows: DataFrame, limits: Contact, wall: bool) -> DataFrame:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.geometry import col
+from orrery.functions.geometry import box_to_plane, col
 
 #: Slack of a half-plane, and the machine's epsilon, under which sides are parallel and areas nothing.
 _EPS = 1e-12
 EPSILON = 2.220446049250313e-16
+#: Fixed value: how far a polygon's points may be from its surface's plane, in metres.
+ON_PLANE = 1e-4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -173,3 +175,53 @@ def box_shadow(box: str, basis: tuple[list[Column], list[Column]]) -> Column:
     """The hull of a box's eight corners as they fall on a plane."""
     corners = [[col(box, f"{k}{end}") for k, end in zip("xyz", ends, strict=True)] for ends in ((i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1))]
     return convex_hull(F.array(*(on_plane(c, basis) for c in corners)))
+
+
+#: Columns of the unit vectors that span a surface's plane.
+AXES_OF_PLANE = tuple(f"{side}{k}" for side in "uv" for k in "xyz")
+
+
+def placed(surfaces: DataFrame) -> DataFrame:
+    """Surfaces (a, b, c, d, polygon of points {x, y, z}) with their plane's axes and ``pane``, the polygon in its own plane.
+
+    Worked out once a surface and not once a pair. A polygon point further than ON_PLANE from the plane fails the job.
+    """
+    u, v = plane_basis("")
+    based = surfaces.withColumns(dict(zip(AXES_OF_PLANE, (*u, *v), strict=True)))
+    off = F.exists("polygon", lambda q: F.abs(F.col("a") * q["x"] + F.col("b") * q["y"] + F.col("c") * q["z"] + F.col("d")) > ON_PLANE)
+    at = lambda q, side: F.col(f"{side}x") * q["x"] + F.col(f"{side}y") * q["y"] + F.col(f"{side}z") * q["z"]
+    pane = F.transform("polygon", lambda q: point(at(q, "u"), at(q, "v")))
+    kind = "array<struct<x:double,y:double>>"
+    failed = F.raise_error(F.lit("a polygon does not lie on its surface's plane")).cast(kind)
+    return based.withColumn("pane", F.when(off, failed).otherwise(pane).cast(kind))
+
+
+def surface_gap(box: str, surface: str) -> Column:
+    """Gap of a box's shadow to the pane of a placed surface, in its plane.
+
+    0 where they overlap, infinite for fewer than three points, null without a polygon.
+    """
+    basis = tuple([col(surface, f"{side}{k}") for k in "xyz"] for side in "uv")
+    pane = col(surface, "pane")
+    gap = let(F.struct(box_shadow(box, basis).alias("shadow"), pane.alias("pane")), lambda x: distance(x["shadow"], x["pane"]))
+    return F.when(pane.isNull(), None).when(F.size(pane) < 3, F.lit(float("inf"))).otherwise(gap)
+
+
+def box_to_surface(box: str, surface: str, shaped: bool = True) -> Column:
+    """``{distance, distance_metric, clipped, normal_gap, in_plane_gap, fallback_reason}`` of a box and a surface.
+
+    With a polygon the distance joins the gap along the normal and the gap in the plane; without
+    one (null, or ``shaped`` false: no such column) it is the plane's alone, and fallback_reason says so.
+    """
+    inside = surface_gap(box, surface) if shaped else F.lit(None).cast("double")
+
+    def told(m: Column) -> Column:
+        has = m["inside"].isNotNull()
+        return F.struct(
+            F.when(has, F.hypot(m["normal"], m["inside"])).otherwise(m["normal"]).alias("distance"),
+            F.when(has, "polygon_clipped").otherwise("bbox_to_plane").alias("distance_metric"),
+            has.alias("clipped"), m["normal"].alias("normal_gap"), m["inside"].alias("in_plane_gap"),
+            F.when(~has, "polygon_none").alias("fallback_reason"),
+        )
+
+    return let(F.struct(box_to_plane(box, surface).alias("normal"), inside.alias("inside")), told)

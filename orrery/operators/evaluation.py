@@ -93,3 +93,48 @@ def survival(traces: DataFrame, group: list[str]) -> DataFrame:
     long = traces.select(*group, F.posexplode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("status")) for s in STAGES])).alias("ord", "x"))
     status = F.col("x.status")
     return long.groupBy(*group, "ord", F.col("x.stage").alias("stage")).agg(F.count_if(status != "not_reached").alias("reached"), F.count_if(status == "pass").alias("passed"), F.count_if(status.isin("fail", "abstain")).alias("failed"))
+
+
+def hashed_share(id_: Column, trial: Column, seed: int) -> Column:
+    """A share in [0, 1) that looks random and is the same on every run: three rounds of products modulo the prime 2^31 - 1."""
+    prime = 2147483647
+    x = (id_ % prime * 48271 + trial * 69621 + seed) % prime
+    x = (x.bitwiseXOR(F.shiftright(x, 15)) * 48271) % prime
+    x = (x.bitwiseXOR(F.shiftright(x, 13)) * 69621) % prime
+    return x / F.lit(float(prime))
+
+
+def hashed_share_sql(id_: str, trial: str, seed: int) -> str:
+    prime = 2147483647
+    x = f"(({id_} % {prime} * 48271 + {trial} * 69621 + {seed}) % {prime})"
+    x = f"((xor({x}, {x} >> 15) * 48271) % {prime})"
+    x = f"((xor({x}, {x} >> 13) * 69621) % {prime})"
+    return f"({x} / {prime}e0)"
+
+
+#: Trials of a control, the width of the noise, and the tails that bound it.
+TRIALS, NOISE, LOW, HIGH = 4000, 1e-3, 0.05, 0.95
+
+
+def observed_ranks(items: DataFrame, group: list[str], family: str) -> DataFrame:
+    """``group, family, rank``: each family's own share of right items, the most that a score of families alone could know."""
+    return items.groupBy(*group, family).agg(F.avg(F.col("correct").cast("double")).alias("rank"))
+
+
+def random_control(items: DataFrame, group: list[str], trials: int = TRIALS, seed: int = 0) -> DataFrame:
+    """``group, mean, stdev, p05, p95``: the AURC of scores that know nothing beyond ``rank``.
+
+    items: id, rank, correct, abstained. Every trial orders a group by rank and, within a rank, by hashed noise;
+    trials are rows, so a trial of a group is one window, and what is gathered of a group is one number a trial.
+    """
+    dealt = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("trial"))
+    noisy = dealt.withColumn("confidence", F.col("rank") + hashed_share(F.col("id"), F.col("trial"), seed) * NOISE)
+    curve = risk_coverage(noisy, [*group, "trial"])
+    each = curve.groupBy(*group, "trial").agg(F.avg("risk").alias("aurc"))
+    at = lambda share: F.element_at(F.array_sort(F.collect_list("aurc")), int(share * trials) + 1)
+    return each.groupBy(*group).agg(F.avg("aurc").alias("mean"), F.stddev_pop("aurc").alias("stdev"), at(LOW).alias("p05"), at(HIGH).alias("p95"))
+
+
+def band(value: Column) -> Column:
+    """Where an AURC lies beside its control's p05 and p95."""
+    return F.when(value < F.col("p05"), "better").when(value > F.col("p95"), "worse").otherwise("within")

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from orrery.functions import contact as c
 from orrery.functions import geometry as g
+from orrery.functions.polygon import box_to_surface, placed, surface_gap
 from orrery.operators.boxjoin import pairs_within
+from orrery.sources.tables import settled
 
 EDGE = ["scene_id", "src", "type", "dst", "metric", "margin"]
 #: Near limits by surface type, in metres.
@@ -73,20 +75,26 @@ def directional_compat(entities: DataFrame, least: float = 0.3) -> DataFrame:
 
 
 def with_surfaces(entities: DataFrame, surfaces: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """``scene_id, e, s``: entities with the surfaces of their scene, of some types."""
+    """``scene_id, e, s``: entities with the surfaces of their scene, of some types; polygons are placed in their planes first."""
     kept = surfaces if types is None else surfaces.where(F.col("surface_type").isin(types))
+    if "polygon" in kept.columns and "pane" not in kept.columns:
+        kept = settled(placed(kept), "placed-surfaces")
     e = entities.select("scene_id", F.struct(*entities.columns).alias("e"))
     return e.join(kept.select("scene_id", F.struct(*kept.columns).alias("s")), "scene_id")
 
 
 def near_surface(entities: DataFrame, surfaces: DataFrame, polygons: bool = False) -> DataFrame:
-    """NEAR_SURFACE: distance to the plane, or to the rectangle in it, within the type's limit."""
+    """NEAR_SURFACE: distance to the plane, or to the rectangle or polygon in it, within the type's limit.
+
+    A surface without a polygon, in a table that has them, is its whole plane.
+    """
     limit = F.lit(None).cast("double")
     for kind, value in NEAR_SURFACE.items():
         limit = F.when(F.col("s.surface_type") == kind, value).otherwise(limit)
     distance = g.box_to_plane("e", "s")
     if polygons:
-        distance = g.root_sum(distance, g.in_plane_gap("e", "s"))
+        exact = "polygon" in surfaces.columns
+        distance = box_to_surface("e", "s")["distance"] if exact else g.root_sum(distance, g.in_plane_gap("e", "s"))
     pairs = with_surfaces(entities, surfaces).withColumn("d", distance).withColumn("limit", limit).where(F.col("d") <= F.col("limit"))
     return _edge(pairs, F.col("e.uid"), F.lit("NEAR_SURFACE"), F.col("s.surface"), F.col("d"), g.ratio_margin(F.col("d"), F.col("limit")))
 
@@ -110,9 +118,11 @@ def edges_of(tests: DataFrame) -> DataFrame:
 
 def floor_rest(entities: DataFrame, surfaces: DataFrame, contact: float = 0.02) -> DataFrame:
     """``scene_id, uid, on_floor``: whether a floor carries the entity; the gap has no lower bound here."""
-    upright, side, over = F.col("s.c") >= math.cos(math.radians(30)), g.centroid_to_plane("e", "s") >= 0, g.in_plane_gap("e", "s") <= 0
+    pairs = with_surfaces(entities, surfaces, ["floor"])
+    inside = F.coalesce(surface_gap("e", "s"), F.lit(math.inf)) if c.shaped(pairs) else g.in_plane_gap("e", "s")
+    upright, side, over = F.col("s.c") >= math.cos(math.radians(30)), g.centroid_to_plane("e", "s") >= 0, inside <= 0
     carried = upright & side & over & (g.corner_range("e", "s")[0] <= contact)
-    return with_surfaces(entities, surfaces, ["floor"]).groupBy("scene_id", F.col("e.uid").alias("uid")).agg(F.bool_or(carried).alias("on_floor"))
+    return pairs.groupBy("scene_id", F.col("e.uid").alias("uid")).agg(F.bool_or(carried).alias("on_floor"))
 
 
 def attached_to(entities: DataFrame, surfaces: DataFrame) -> DataFrame:

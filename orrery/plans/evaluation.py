@@ -133,3 +133,30 @@ def evidence_mass(spark: SparkSession, sf: str) -> DataFrame:
 
     seen = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("entity"), F.least(F.greatest(F.col("value") / 100, F.lit(0.0)), F.lit(1.0)).alias("score"))
     return evidence(seen).select("entity", F.round("support", 6).alias("support"), F.round("against", 6).alias("against"), "n", F.round("belief", 4).alias("belief"))
+
+
+#: Trials of the controls here, and their seed.
+TRIALS, SEED = 200, 11
+_CONTROLLED = f"""{CURVE}, own AS (SELECT scene_id, avg(risk) AS aurc FROM curve GROUP BY ALL
+), typed AS (SELECT i.*, e.event_type AS family FROM items i JOIN events e ON e.event_id = i.id
+), known AS (SELECT scene_id, 'none' AS control, id, 0e0 AS rank, correct, abstained FROM typed UNION ALL SELECT scene_id, 'relation', id, avg(correct::INT) OVER (PARTITION BY scene_id, family), correct, abstained FROM typed
+), drawn AS (SELECT k.*, t AS trial, rank + {ev.hashed_share_sql("id", "t", SEED)} * {ev.NOISE} AS confidence FROM known k, range({TRIALS}) r(t)
+), ordered AS (SELECT scene_id, control, trial, sum((NOT correct)::INT) OVER w / row_number() OVER w AS risk FROM drawn WINDOW w AS (PARTITION BY scene_id, control, trial ORDER BY abstained, confidence DESC, correct, id ROWS UNBOUNDED PRECEDING)
+), trials AS (SELECT scene_id, control, trial, avg(risk) AS aurc FROM ordered GROUP BY ALL
+), bands AS (SELECT scene_id, control, avg(aurc) AS mean, stddev_pop(aurc) AS stdev, (list(aurc ORDER BY aurc))[{int(ev.LOW * TRIALS) + 1}] AS p05, (list(aurc ORDER BY aurc))[{int(ev.HIGH * TRIALS) + 1}] AS p95 FROM trials GROUP BY ALL)"""
+
+
+@_query(f"""WITH {_CONTROLLED} SELECT scene_id, control, round(mean, 6) AS mean, round(stdev, 6) AS stdev, round(p05, 6) AS p05, round(p95, 6) AS p95, round(aurc, 6) AS aurc,
+  CASE WHEN aurc < p05 THEN 'better' WHEN aurc > p95 THEN 'worse' ELSE 'within' END AS band FROM bands JOIN own USING (scene_id)""")
+def random_controls(spark: SparkSession, sf: str) -> DataFrame:
+    """The AURC of confidences beside scores that know nothing, and scores that know each event type's accuracy."""
+    every = items(spark, sf)
+    types = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_id").alias("id"), F.col("event_type").alias("family"))
+    typed = every.join(types, "id")
+    ranks = ev.observed_ranks(typed, ["scene_id"], "family")
+    none = every.select("scene_id", F.lit("none").alias("control"), "id", F.lit(0.0).alias("rank"), "correct", "abstained")
+    known = typed.join(ranks, ["scene_id", "family"]).select("scene_id", F.lit("relation").alias("control"), "id", "rank", "correct", "abstained")
+    bands = ev.random_control(none.unionByName(known), ["scene_id", "control"], TRIALS, SEED)
+    own = ev.aurc(ev.risk_coverage(every, ["scene_id"]), ["scene_id"]).select("scene_id", "aurc")
+    told = bands.join(own, "scene_id").withColumn("band", ev.band(F.col("aurc")))
+    return told.select("scene_id", "control", "band", *[F.round(k, 6).alias(k) for k in ("mean", "stdev", "p05", "p95", "aurc")])

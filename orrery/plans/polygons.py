@@ -120,3 +120,88 @@ def box_to_pane(spark: SparkSession, sf: str) -> DataFrame:
     shaped = met.select("scene_id", F.col("e.uid").alias("uid"), F.col("s.surface").alias("surface"), p.box_shadow("e", basis).alias("shadow"), pane.alias("pane"), g.box_to_plane("e", "s").alias("away"))
     gap = shaped.withColumn("gap", p.distance(F.col("shadow"), F.col("pane")))
     return gap.select("scene_id", "uid", "surface", F.round("gap", 6).alias("in_plane_gap"), F.round(F.hypot("gap", "away"), 6).alias("distance"))
+
+
+#: Surfaces that are no rectangles: a floor with a corner missing, a sloping triangle, a diamond on a wall; and a wall without a polygon.
+SHAPES = (
+    ("floor", "floor", 0.0, 0.0, 1.0, 0.0, ((-4.0, -4.0, 0.0), (4.0, -4.0, 0.0), (4.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 4.0, 0.0), (-4.0, 4.0, 0.0))),
+    ("ramp", "floor", 0.0, -0.28, 0.96, -2.08, ((-2.0, -4.0, 1.0), (2.0, -4.0, 1.0), (0.0, 0.0, 2.1666666666666665))),
+    ("wall_w", "wall", 1.0, 0.0, 0.0, 4.0, ((-4.0, 0.0, 0.0), (-4.0, 4.0, 2.0), (-4.0, 0.0, 4.0), (-4.0, -4.0, 2.0))),
+    ("wall_n", "wall", 0.0, -1.0, 0.0, 4.0, None),
+)
+
+
+def shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """The shaped surfaces of every scene; their literals are broadcast."""
+    schema = "surface string, surface_type string, a double, b double, c double, d double, polygon array<struct<x:double,y:double,z:double>>"
+    fixed = spark.createDataFrame(list(SHAPES), schema)
+    return entities(spark, sf).select("scene_id").distinct().crossJoin(F.broadcast(fixed))
+
+
+def _listed(points) -> str:
+    return "NULL" if points is None else "[" + ", ".join(f"{{'x': {x}e0, 'y': {y}e0, 'z': {z}e0}}" for x, y, z in points) + "]"
+
+
+#: The hull of a box's shadow by its sides (all corners on the left), and the polygon's sides; they meet if one holds a corner of the other or sides cross.
+_SHAPED = f"""shape AS (SELECT * FROM (VALUES {", ".join(f"('{n}', '{k}', {a}e0, {b}e0, {c}e0, {d}e0, {_listed(q)})" for n, k, a, b, c, d, q in SHAPES)}) t(surface, surface_type, a, b, c, d, polygon)
+), axis AS (
+  SELECT *, CASE WHEN abs(a) <= abs(b) AND abs(a) <= abs(c) THEN [0e0, c, -b] WHEN abs(b) <= abs(c) THEN [-c, 0e0, a] ELSE [b, -a, 0e0] END AS w FROM shape
+), based AS (SELECT *, [w[1] / n, w[2] / n, w[3] / n] AS u, [b * w[3] / n - c * w[2] / n, c * w[1] / n - a * w[3] / n, a * w[2] / n - b * w[1] / n] AS v FROM (SELECT *, sqrt(w[1] * w[1] + w[2] * w[2] + w[3] * w[3]) AS n FROM axis)
+), met AS (
+  SELECT e.scene_id, e.uid, e.cx, e.cy, e.cz, e.x0, e.y0, e.z0, e.x1, e.y1, e.z1, s.*, a * (x0 + x1) / 2 + b * (y0 + y1) / 2 + c * (z0 + z1) / 2 + d AS mid, abs(a) * (x1 - x0) / 2 + abs(b) * (y1 - y0) / 2 + abs(c) * (z1 - z0) / 2 AS reach FROM ent e, based s
+), spot AS (
+  SELECT scene_id, uid, surface, u, v, polygon, u[1] * px + u[2] * py + u[3] * pz AS sx, v[1] * px + v[2] * py + v[3] * pz AS sy
+  FROM (SELECT *, unnest([x0, x0, x0, x0, x1, x1, x1, x1]) AS px, unnest([y0, y0, y1, y1, y0, y0, y1, y1]) AS py, unnest([z0, z1, z0, z1, z0, z1, z0, z1]) AS pz FROM met WHERE polygon IS NOT NULL)
+), rim AS MATERIALIZED (
+  SELECT s.scene_id, s.uid, s.surface, s.sx AS ax, s.sy AS ay, t.sx AS bx, t.sy AS by_ FROM (SELECT DISTINCT scene_id, uid, surface, sx, sy FROM spot) s JOIN (SELECT DISTINCT scene_id, uid, surface, sx, sy FROM spot) t USING (scene_id, uid, surface) JOIN spot o USING (scene_id, uid, surface)
+  WHERE s.sx <> t.sx OR s.sy <> t.sy GROUP BY ALL HAVING bool_and((t.sx - s.sx) * (o.sy - s.sy) - (t.sy - s.sy) * (o.sx - s.sx) > -1e-12)
+), pane AS (
+  SELECT surface, i, u[1] * polygon[i].x + u[2] * polygon[i].y + u[3] * polygon[i].z AS ax, v[1] * polygon[i].x + v[2] * polygon[i].y + v[3] * polygon[i].z AS ay,
+    u[1] * polygon[j].x + u[2] * polygon[j].y + u[3] * polygon[j].z AS bx, v[1] * polygon[j].x + v[2] * polygon[j].y + v[3] * polygon[j].z AS by_
+  FROM (SELECT *, i % len(polygon) + 1 AS j FROM (SELECT *, unnest(range(1, len(polygon) + 1)) AS i FROM based WHERE polygon IS NOT NULL))
+), pair AS (
+  SELECT r.scene_id, r.uid, r.surface, r.ax, r.ay, r.bx, r.by_, p.i, p.ax AS px, p.ay AS py, p.bx AS qx, p.by_ AS qy FROM rim r JOIN pane p USING (surface)
+), held AS (
+  SELECT scene_id, uid, surface, bool_or(hit) AS hit FROM (
+    SELECT scene_id, uid, surface, ax, ay, count(*) FILTER ((py > ay) <> (qy > ay) AND ax < (qx - px) * (ay - py) / nullif(qy - py, 0) + px) % 2 = 1 AS hit FROM (SELECT DISTINCT scene_id, uid, surface, ax, ay, i, px, py, qx, qy FROM pair) GROUP BY ALL
+    UNION ALL SELECT scene_id, uid, surface, px, py, bool_and((bx - ax) * (py - ay) - (by_ - ay) * (px - ax) >= 0) FROM pair GROUP BY ALL) GROUP BY ALL
+), apart AS (
+  SELECT scene_id, uid, surface, bool_or(((bx - ax) * (py - ay) - (by_ - ay) * (px - ax)) * ((bx - ax) * (qy - ay) - (by_ - ay) * (qx - ax)) < 0 AND ((qx - px) * (ay - py) - (qy - py) * (ax - px)) * ((qx - px) * (by_ - py) - (qy - py) * (bx - px)) < 0) AS crosses,
+    min(least(sqrt((ax - px - t * (qx - px)) ** 2 + (ay - py - t * (qy - py)) ** 2), sqrt((px - ax - s * (bx - ax)) ** 2 + (py - ay - s * (by_ - ay)) ** 2))) AS gap
+  FROM (SELECT *, greatest(0e0, least(1e0, ((ax - px) * (qx - px) + (ay - py) * (qy - py)) / ((qx - px) ** 2 + (qy - py) ** 2))) AS t, greatest(0e0, least(1e0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) AS s FROM pair) GROUP BY ALL
+), surfaced AS MATERIALIZED (
+  SELECT m.scene_id, m.uid, m.surface, surface_type, c, a * cx + b * cy + c * cz + d AS side, mid - reach AS low, CASE WHEN abs(mid) <= reach THEN 0 ELSE abs(mid) - reach END AS normal_gap,
+    CASE WHEN polygon IS NULL THEN NULL WHEN hit OR crosses THEN 0 ELSE gap END AS plane_gap
+  FROM met m LEFT JOIN held h ON h.scene_id = m.scene_id AND h.uid = m.uid AND h.surface = m.surface LEFT JOIN apart p ON p.scene_id = m.scene_id AND p.uid = m.uid AND p.surface = m.surface
+)"""
+
+
+@_query(f"""WITH {PRELUDE}, {_SHAPED} SELECT scene_id, uid, surface, round(CASE WHEN plane_gap IS NULL THEN normal_gap ELSE sqrt(normal_gap ** 2 + plane_gap ** 2) END, 6) AS distance, CASE WHEN plane_gap IS NULL THEN 'bbox_to_plane' ELSE 'polygon_clipped' END AS distance_metric,
+  round(normal_gap, 6) AS normal_gap, round(plane_gap, 6) AS in_plane_gap, CASE WHEN plane_gap IS NULL THEN 'polygon_none' END AS fallback_reason FROM surfaced""")
+def box_to_surface(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances of boxes to surfaces of any shape, with the reason where only the plane counts."""
+    met = r.with_surfaces(entities(spark, sf), shapes(spark, sf)).withColumn("m", p.box_to_surface("e", "s"))
+    six = [F.round(f"m.{k}", 6).alias(k) for k in ("distance", "normal_gap", "in_plane_gap")]
+    return met.select("scene_id", F.col("e.uid").alias("uid"), F.col("s.surface").alias("surface"), *six, "m.distance_metric", "m.fallback_reason")
+
+
+_NEAR = " ".join(f"WHEN '{k}' THEN {v}" for k, v in r.NEAR_SURFACE.items())
+
+
+@_query(f"""WITH {PRELUDE}, {_SHAPED} SELECT scene_id, uid AS src, surface AS dst, round(distance, 6) AS metric FROM (SELECT *, CASE WHEN plane_gap IS NULL THEN normal_gap ELSE sqrt(normal_gap ** 2 + plane_gap ** 2) END AS distance FROM surfaced)
+WHERE distance <= CASE surface_type {_NEAR} END""")
+def near_surface_polygon(spark: SparkSession, sf: str) -> DataFrame:
+    """NEAR_SURFACE over surfaces of any shape."""
+    found = r.near_surface(entities(spark, sf), shapes(spark, sf), polygons=True)
+    return found.select("scene_id", "src", "dst", F.round("metric", 6).alias("metric"))
+
+
+@_query(f"""WITH {PRELUDE}, {_SHAPED} SELECT scene_id, uid AS src, surface AS dst, 'ON_SURFACE' AS type, round(low, 6) AS metric, array_to_string(failed, ',') AS failed FROM (SELECT *, list_filter([CASE WHEN c < cos(radians(30)) THEN 'support_capable' END, CASE WHEN side < 0 THEN 'centroid_on_support_side' END,
+  CASE WHEN NOT low BETWEEN -0.03 AND 0.02 THEN 'contact' END, CASE WHEN plane_gap > 0 THEN 'footprint_ok' END], lambda x: x IS NOT NULL) AS failed FROM surfaced WHERE plane_gap IS NOT NULL)
+UNION ALL SELECT scene_id, uid, surface, 'CONTACTS_SURFACE', round(low, 6), array_to_string(failed, ',') FROM (SELECT *, list_filter([CASE WHEN abs(c) > sin(radians(30)) THEN 'wall_capable' END, CASE WHEN side < 0 THEN 'centroid_on_support_side' END,
+  CASE WHEN NOT low BETWEEN -0.02 AND 0.02 THEN 'contact' END, CASE WHEN plane_gap > 0 THEN 'footprint_ok' END], lambda x: x IS NOT NULL) AS failed FROM surfaced WHERE plane_gap IS NOT NULL AND surface_type = 'wall')""")
+def polygon_contacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rest and wall contacts with surfaces of any shape, and the clauses that fail."""
+    e, s = entities(spark, sf), shapes(spark, sf)
+    tests = r.on_surface_tests(e, s).unionByName(r.contacts_surface_tests(e, s))
+    return tests.select("scene_id", "src", "dst", "type", F.round("metric", 6).alias("metric"), F.array_join("failed", ",").alias("failed"))
