@@ -97,7 +97,8 @@ def ceilings(asked: DataFrame, entities: DataFrame, surfaces: DataFrame, rejecti
     held = rejections.withColumn("confidence", F.when(F.col("margin").isNotNull(), g.margin_confidence(F.col("margin"))))
     ends = held.select("scene_id", "type", F.explode(F.array_distinct(F.array("src", "dst"))).alias("ref"), "src", "dst", "confidence")
     met = scope.join(ends, ["scene_id", "type", "ref"]).select("scene_id", "question", "src", "dst", "confidence").distinct()
-    worst = F.greatest(F.lit(0.0), 1 - F.max("confidence"))
+    # greatest passes over nulls, so nothing measured is asked for first
+    worst = F.when(F.max("confidence").isNotNull(), F.greatest(F.lit(0.0), 1 - F.max("confidence")))
     return met.groupBy("scene_id", "question").agg(F.coalesce(worst, F.lit(1.0)).alias("ceiling"), F.count(F.lit(1)).alias("n_scoped"), F.count("confidence").alias("n_measured"))
 
 

@@ -66,7 +66,7 @@ _NO_CEILING = "limits AS (SELECT NULL::BIGINT AS scene_id, NULL::VARCHAR AS ques
 _CEILING = f"""{rel.REJECTED}, scope AS (SELECT DISTINCT r.scene_id, r.question, a.ref, CASE WHEN r.edge_type <> 'SUPPORTS' THEN r.edge_type WHEN r.anchor_kind = 'surface' THEN 'ON_SURFACE' ELSE 'ON_ENTITY_SURFACE' END AS type
   FROM rules r JOIN anc a USING (scene_id, anchor_kind, anchor) WHERE compiled = 'compiled'
 ), scoped AS (SELECT DISTINCT c.scene_id, c.question, j.src, j.dst, CASE WHEN j.margin IS NOT NULL THEN 1 / (1 + exp(-least(greatest(4 * j.margin, -50e0), 50e0))) END AS confidence FROM scope c JOIN sampled j ON j.scene_id = c.scene_id AND j.type = c.type AND c.ref IN (j.src, j.dst)
-), limits AS (SELECT scene_id, question, coalesce(greatest(0e0, 1 - max(confidence)), 1e0) AS ceiling, count(*) AS n_scoped, count(confidence) AS n_measured FROM scoped GROUP BY ALL)"""
+), limits AS (SELECT scene_id, question, CASE WHEN count(confidence) = 0 THEN 1e0 ELSE greatest(0e0, 1 - max(confidence)) END AS ceiling, count(*) AS n_scoped, count(confidence) AS n_measured FROM scoped GROUP BY ALL)"""
 
 
 def answers_sql(texts: tuple[str, ...], recall: float = 1.0, tau: float = 0.0, score: str = "min(edge.c)", limits: str = _NO_CEILING) -> str:
