@@ -19,15 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import least_hashed, table, whole_text
+from orrery.llm.common import least_hashed, materialise, table, whole_text
 from orrery.llm.tokens import Memo
 from orrery.llm.toxicity import _chunks, _slices, held_out
 
 BUCKETS = 1 << 16
 FORM = 4
 SIZE = BUCKETS + FORM
-#: The bound of the labelled sample that the weights are fitted on.
-TRAIN_ROWS = 4096
+#: The bounds of the labelled sample that the weights are fitted on: documents, and bytes of their features.
+TRAIN_ROWS, TRAIN_BYTES = 4096, 64 << 20
 STEPS, RATE, PENALTY = 200, 0.3, 1e-5
 _SHAPE = ((re.compile(r"[^\W\d_]+"), "a"), (re.compile(r"\d+"), "0"))
 
@@ -108,7 +108,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int]) -> Ordinal
 
 
 def sample_features(labelled: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
-    """Features and grades of at most TRAIN_ROWS labelled documents, least hash first."""
+    """Features and grades of at most TRAIN_ROWS labelled documents, least hash first.
+
+    Tasks work out the features; of these no more reach the driver than TRAIN_BYTES hold, and
+    at least one document's.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Memo[tuple[int, int, int]] = Memo()
@@ -123,10 +127,19 @@ def sample_features(labelled: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndar
                     k, c = np.unique(own, return_counts=True)
                     places.append(np.concatenate([k, BUCKETS + np.arange(FORM)]).astype(np.int32))
                     values.append(np.concatenate([c / n, form[r]]))
-                yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), part.column(1)], names=["places", "values", "grade"])
-
-    chosen = least_hashed(labelled, "doc_id", TRAIN_ROWS)
-    found = chosen.select("text", "grade").mapInArrow(run, "places array<int>, values array<double>, grade int").toArrow()
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), part.column(1), part.column(2)], names=["places", "values", "grade", "h"])
+
+    chosen = least_hashed(labelled, "doc_id", TRAIN_ROWS).select("text", "grade", F.xxhash64("doc_id", "text").alias("h"))
+    coded = materialise(chosen.mapInArrow(run, "places array<int>, values array<double>, grade int, h long"), "graded-features")
+    size, last = 0, None
+    for row in coded.select("h", (F.size("places") * 12).alias("bytes")).orderBy("h").collect():
+        size += row["bytes"]
+        if size > TRAIN_BYTES and last is not None:
+            break
+        last = row["h"]
+    if last is None:
+        return [], []
+    found = coded.where(F.col("h") <= last).toArrow()
     rows = [(np.array(a.as_py()), np.array(b.as_py())) for a, b in zip(found["places"], found["values"], strict=True)]
     return rows, found["grade"].to_pylist()
 

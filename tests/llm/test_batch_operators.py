@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, files, linestore, periodic, sharding, tokenfile
+from orrery.llm import clusters, files, linestore, periodic, quality, sharding, tokenfile
 from orrery.llm.queries import QUERIES
 
 from ..conftest import SMALL
@@ -311,3 +311,17 @@ def test_very_many_equal_rows_are_written_by_several_tasks(spark, uncoalesced):
     assert len(parts) > 1 and max(parts) < 0.6 * sum(parts)
     read = tokenfile.read_token_file(blocks, dictionary)
     assert read.count() == read.select("start").distinct().count() == 200_000
+
+
+def test_features_that_reach_the_driver_are_bounded_in_bytes(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(3000 if i % 2 else 5)), i % 3) for i in range(40)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    every, grades = quality.sample_features(labelled)
+    assert len(every) == len(grades) == 40
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 200_000)
+    some, grades = quality.sample_features(labelled)
+    assert 0 < len(some) < 40 and sum(12 * len(p) for p, _ in some) <= 200_000 and len(grades) == len(some)
+    monkeypatch.setattr(quality, "TRAIN_BYTES", 1)
+    assert len(quality.sample_features(labelled)[0]) == 1
+    assert quality.sample_features(labelled.where("false")) == ([], [])
