@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,13 +54,19 @@ def text_hash(column: str = "text") -> Column:
     return F.xxhash64(whole_text(column))
 
 
+#: Rows of two longs, about 16 MB, that ``without`` sends to every task; with more, both sides are shuffled.
+FEW = 1 << 19
+
+
 def without(docs: DataFrame, gone: DataFrame, tag: str) -> DataFrame:
     """``docs`` less the rows whose doc_id and text are in ``gone`` (doc_id, row_hash); all columns stay.
 
-    ``gone`` is written first, so that Spark knows its size: it is broadcast where it is small, and
-    both sides are shuffled where it is not.
+    ``gone`` is written first and counted: at most FEW rows of it are broadcast, so that texts stay
+    where they are, and with more of them both sides are shuffled.
     """
     gone = materialise(gone.select(F.col("doc_id").alias("gone_id"), F.col("row_hash").alias("gone_hash")).distinct(), tag)
+    if isinstance(gone.schema["gone_id"].dataType, IntegralType) and gone.count() <= FEW:
+        gone = F.broadcast(gone)
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["gone_hash"])
     return docs.join(gone, same, "left_anti")
 

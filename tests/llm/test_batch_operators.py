@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import clusters, files, linestore, periodic, quality, sharding, tokenfile
+from orrery.llm import clusters, common, files, linestore, periodic, quality, sharding, tokenfile
 from orrery.llm.queries import QUERIES
 
 from ..conftest import SMALL
@@ -325,3 +325,16 @@ def test_features_that_reach_the_driver_are_bounded_in_bytes(spark, monkeypatch)
     monkeypatch.setattr(quality, "TRAIN_BYTES", 1)
     assert len(quality.sample_features(labelled)[0]) == 1
     assert quality.sample_features(labelled.where("false")) == ([], [])
+
+
+def test_rows_leave_alike_whether_few_or_many_go(spark, monkeypatch):
+    rows = [(i % 50 if i % 9 else None, f"text {i % 13}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = docs.where("doc_id is null or doc_id % 3 = 0").select("doc_id", F.xxhash64("text").alias("row_hash"))
+    found = []
+    for few in (common.FEW, 0):
+        monkeypatch.setattr(common, "FEW", few)
+        kept = common.without(docs, gone, "gone")
+        assert ("Broadcast" in kept._jdf.queryExecution().optimizedPlan().toString() or "broadcast" in kept._jdf.queryExecution().optimizedPlan().toString()) == (few > 0)
+        found.append(sorted((r["doc_id"], r["text"]) for r in kept.collect()))
+    assert found[0] == found[1] == sorted(r for r in rows if r[0] is not None and r[0] % 3)
