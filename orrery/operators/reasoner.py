@@ -165,6 +165,31 @@ def wording(outcome: Column, labels: Column) -> Column:
     return text
 
 
+#: Why a question of the schema's own kinds is put off, by its pattern; and what is said of it, of others outside the schema, and of too little evidence.
+DEFERRED = (
+    (ON, "this support class is not covered by EntitySurface in P6"),
+    (AGAINST, "wall contact only supports 'against the wall' in P5; this surface is not a wall"),
+    (ATTACHED, "ATTACHED_TO currently supports wall surfaces only"),
+)
+PUT_OFF, OUTSIDE = ("I can't answer that yet — ", ". This isn't a claim that nothing is there."), "That question isn't expressible in the current scene graph."
+UNSURE = "I don't have enough evidence to say. The underlying extractor's recall is below the threshold needed to treat a no-match result as a true negative."
+
+
+def spoken(answers: DataFrame, compiled: DataFrame) -> DataFrame:
+    """``answers`` with the full ``text`` and ``answered_by``: reasons of deferral, which must not read as if nothing were there.
+
+    compiled: question, compiled. Questions outside the schema without a reason of their own are called inexpressible.
+    """
+    asked = F.regexp_replace(F.lower(F.trim("question")), r"\s+", " ")
+    reason = F.coalesce(*[F.when(asked.rlike(pattern), why) for pattern, why in DEFERRED])
+    known = answers.join(compiled.select("question", "compiled").distinct(), "question")
+    outside = F.col("compiled") == "out_of_schema"
+    put_off = F.concat(F.lit(PUT_OFF[0]), reason, F.lit(PUT_OFF[1]))
+    text = F.when(outside, F.coalesce(put_off, F.lit(OUTSIDE))).when(F.col("outcome") == "unknown", UNSURE).otherwise(F.col("text"))
+    who = F.when(outside | (F.col("compiled") == "parser_failure"), "verbalizer_abstain").otherwise("rules_compiler")
+    return known.withColumns({"text": text, "answered_by": who})
+
+
 def per_group_rank(df: DataFrame, group: list[str], order: list, top: int) -> DataFrame:
     """The first ``top`` rows of each group in a total order."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= top)

@@ -136,6 +136,22 @@ def qa_tau_gate(spark: SparkSession, sf: str) -> DataFrame:
     return answers(spark, sf, q.BATTERY, recall=0.9, tau=0.6, aggregate="mean")
 
 
+_SPOKEN = q.BATTERY[:5] + ODD
+_DASH = "\u2014"
+
+
+@_query(f"""WITH {answers_sql(_SPOKEN, recall=0.9)}, t AS (SELECT a.scene_id, a.question, a.outcome, a.text, r.compiled, lower(trim(a.question)) AS asked FROM answers a JOIN (SELECT DISTINCT question, compiled FROM rules) r USING (question))
+SELECT scene_id, question, outcome, CASE WHEN compiled = 'out_of_schema' THEN coalesce('I can''t answer that yet {_DASH} ' || CASE WHEN asked LIKE 'what is on %' THEN 'this support class is not covered by EntitySurface in P6'
+    WHEN asked LIKE 'what is against %' THEN 'wall contact only supports ''against the wall'' in P5; this surface is not a wall' WHEN asked LIKE 'what is attached to %' THEN 'ATTACHED_TO currently supports wall surfaces only' END || '. This isn''t a claim that nothing is there.',
+    'That question isn''t expressible in the current scene graph.')
+  WHEN outcome = 'unknown' THEN 'I don''t have enough evidence to say. The underlying extractor''s recall is below the threshold needed to treat a no-match result as a true negative.' ELSE text END AS text,
+  CASE WHEN compiled IN ('out_of_schema', 'parser_failure') THEN 'verbalizer_abstain' ELSE 'rules_compiler' END AS answered_by FROM t""")
+def qa_spoken(spark: SparkSession, sf: str) -> DataFrame:
+    """What is said to questions, with the reasons for putting some off, and who says it."""
+    found = q.spoken(answers(spark, sf, _SPOKEN, recall=0.9), compiled_once(spark, _SPOKEN))
+    return found.select("scene_id", "question", "outcome", "text", "answered_by")
+
+
 def limited(spark: SparkSession, sf: str, texts: tuple[str, ...], **options) -> DataFrame:
     """Answers with the rejections' ceiling."""
     e, s, compiled = settled(entities(spark, sf), "entities"), surfaces(spark, sf), compiled_once(spark, texts)
