@@ -81,3 +81,17 @@ def test_controls_order_by_rank_and_then_by_noise(spark):
     assert got[1]["mean"] == pytest.approx(got[0]["mean"])
     ranks = {r["family"]: r["rank"] for r in evaluation.observed_ranks(df.withColumn("family", F.col("id") % 3), ["scene_id"], "family").where("scene_id = 0").collect()}
     assert ranks[0] == 1.0
+
+
+def test_what_is_put_off_does_not_read_as_nothing(spark):
+    rows = [("what is on the moon?", "abstain", "x"), ("What is   against the door?", "abstain", "x"), ("what is attached to the lamp", "abstain", "x"), ("sing", "parser_failure", "no"), ("what is near the cup?", "unknown", "x"), ("what is on the desk?", "empty", "Nothing in the scene matches that.")]
+    asked = spark.createDataFrame(rows, "question string, outcome string, text string").withColumn("scene_id", F.lit(0))
+    compiled = reasoner.compile_questions(asked.select("question"))
+    got = {r["question"]: (r["text"], r["answered_by"]) for r in reasoner.spoken(asked, compiled).collect()}
+    assert len(got) == len(rows)
+    for question, _, why in ((rows[0][0], 0, "support class"), (rows[1][0], 0, "wall contact"), (rows[2][0], 0, "wall surfaces only")):
+        text, who = got[question]
+        assert why in text and text.endswith("This isn't a claim that nothing is there.") and who == "verbalizer_abstain"
+    assert got["sing"] == ("no", "verbalizer_abstain")
+    assert got["what is near the cup?"] == (reasoner.UNSURE, "rules_compiler")
+    assert got["what is on the desk?"][0] == "Nothing in the scene matches that."
