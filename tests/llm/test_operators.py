@@ -653,6 +653,76 @@ def test_links_that_stars_miss_are_found_in_the_rest(spark, monkeypatch):
     assert all(r["class_id"] == r["image_id"] // 10 * 10 and r["links"] == 3 for r in got)
 
 
+IMAGES = "image_id long, width int, height int, pixels binary"
+
+
+def shown_as(image_id, image):
+    pixels = np.rint(image).astype(np.uint8)
+    return image_id, pixels.shape[1], pixels.shape[0], pixels.tobytes()
+
+
+def in_alike_bins(one, two):
+    """SHARED or more cells of one image whose corners share a key with the other's, close by and turned and scaled alike: plainly, pair by pair."""
+    keys, corners, bins = {}, media.constellations(two), {}
+    for key, at in zip(*corners, strict=True):
+        keys.setdefault(int(key), []).append(int(media.spots(two)[at]) % 2**64)
+    for key, at in zip(*media.constellations(one), strict=True):
+        spot = int(media.spots(one)[at]) % 2**64
+        for other in keys.get(int(key), []):
+            if ((spot ^ other) >> 32).bit_count() <= media.MAX_TRAVELLED:
+                turn, level = ((other >> 20) - (spot >> 20)) % 256, (other >> 28) % 16 - (spot >> 28) % 16
+                for half in (0.0, 0.5):
+                    alike = half, math.floor(turn / 256 * 12 + half) % 12, math.floor(level / (media.STEPS * media.OCTAVE) + 0.25 + half)
+                    bins.setdefault(alike, set()).add(spot % 2**20)
+    return any(len(cells) >= media.SHARED for cells in bins.values())
+
+
+def test_links_are_all_pairs_that_meet_the_threshold(spark):
+    rng, rows = np.random.default_rng(28), []
+    for i in range(6):
+        image = np.rint(media.render(rng.normal(0, 0.12, 64)))
+        # crops and grey steps, fainter one by one: in each bucket another image may be the least
+        rows += [shown_as(i * 10 + 9 - k, image[3 * k : 92 + k // 2, 5 * k : 90 + k] // (1 + 3 * k) * (1 + 3 * k)) for k in range(6)]
+    rows.append((200, *rows[0][1:]))
+    images = spark.createDataFrame(rows, IMAGES)
+    found = {r["image_id"]: (r["node"], np.frombuffer(r["found"], media.DESCRIPTOR)) for r in media.descriptors(images).collect()}
+    links = {i: set() for i in found}
+    for i, (x, one) in found.items():
+        for j, (y, two) in found.items():
+            if x < y and in_alike_bins(one, two) and (media.consensus(one, two) or media.consensus(two, one)):
+                links[i].add(y)
+                links[j].add(x)
+    got = {r["image_id"]: r for r in media.copies(images).collect()}
+    assert {i: r["links"] for i, r in got.items()} == {i: len(x) for i, x in links.items()}
+    assert sum(map(len, links.values())) > 6 * 6 * 4
+    assert all(got[j]["class_id"] == r["class_id"] for i, r in got.items() for j in found if found[j][0] in links[i])
+    # the threshold alone, without the index: nine of ten pairs meet
+    meets = [(i, j) for i, (x, one) in found.items() for j, (y, two) in found.items() if x < y and (media.consensus(one, two) or media.consensus(two, one))]
+    assert sum(found[j][0] in links[i] for i, j in meets) >= 0.9 * len(meets)
+
+
+def test_copies_of_a_repeated_pattern_are_linked(spark):
+    tile = np.rint(media.render(np.random.default_rng(5).normal(0, 0.12, 64), 32))
+    image = np.tile(tile, (4, 4))
+    got = media.copies(spark.createDataFrame([shown_as(1, image), shown_as(2, image * 0.6 + 50), shown_as(3, image[6:122, 8:126])], IMAGES)).collect()
+    assert [(r["class_id"], r["links"]) for r in got] == [(1, 2)] * 3
+
+
+def test_an_image_without_an_id_links_to_its_copies(spark):
+    image = np.rint(media.render(np.random.default_rng(3).normal(0, 0.12, 64)))
+    got = media.copies(spark.createDataFrame([shown_as(None, image), shown_as(8, image[6:92, 8:94]), shown_as(9, image[2:90, 4:90])], IMAGES)).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == ["(8, 8, 2)", "(9, 8, 2)", "(None, 8, 2)"]
+
+
+def test_what_stars_link_is_a_part_of_the_links(spark):
+    rng = np.random.default_rng(31)
+    shown = [np.rint(media.render(rng.normal(0, 0.12, 64))) for _ in range(3)]
+    images = spark.createDataFrame([shown_as(10 * i + k, x[k : 90 + k, 2 * k : 88]) for i, x in enumerate(shown) for k in range(3)], IMAGES)
+    described = media.descriptors(images).select("node", "found")
+    stars, pairs = ({(r["a"], r["b"]) for r in f(described).collect()} for f in (media.star_links, media.pair_links))
+    assert stars and stars <= pairs and len(pairs) == 9
+
+
 def test_images_without_an_id_keep_their_own_class(spark):
     pixels = np.rint(media.render(np.random.default_rng(3).normal(0, 0.12, 64))).astype(np.uint8)
     rows = [(None, 96, 96, pixels.tobytes()), (7, 96, 96, pixels.tobytes()), (None, 96, 96, pixels[::-1].tobytes()), (8, 2, 2, b"ab")]
