@@ -723,6 +723,60 @@ def test_what_stars_link_is_a_part_of_the_links(spark):
     assert stars and stars <= pairs and len(pairs) == 9
 
 
+def sharing_a_logo(images, copies):
+    """Rows (node, found) of unrelated images that share 16 corners of 76, and of copies of the first ones that have lost some of their own."""
+    rng = np.random.default_rng(41)
+
+    def corners(n, at):
+        found = np.zeros(n, media.DESCRIPTOR)
+        found["x"], found["y"], found["angle"] = at + rng.uniform(0, 100, n), rng.uniform(0, 100, n), rng.uniform(-3, 3, n)
+        found["high"], found["low"] = rng.integers(-(2**63), 2**63, (2, n))
+        return found
+
+    logo = corners(16, 0)
+    shown = [np.concatenate([logo, corners(60, 300)]) for _ in range(images)]
+    shown += [x[: len(x) - 9] for x in shown[:copies]]
+    nodes = [int(x) for x in rng.integers(-(2**63), 2**63, len(shown))]
+    return [(node, x.tobytes()) for node, x in zip(nodes, shown, strict=True)], {tuple(sorted((nodes[k], nodes[images + k]))) for k in range(copies)}
+
+
+def test_images_that_share_a_logo_write_no_row_for_each_meeting_of_corners(spark):
+    rows, expected = sharing_a_logo(80, 5)
+    described = spark.createDataFrame(rows, "node long, found binary")
+
+    def files():
+        found, sizes = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), {}
+        while found.hasNext():
+            file = found.next()
+            sizes[file.getPath()] = file.length()
+        return sizes
+
+    before = files()
+    assert {tuple(r) for r in media.pair_links(described).collect()} == expected
+    # 3,570 pairs share some 160 keys each
+    assert sum(size for path, size in files().items() if path not in before) < 3 * sum(len(found) for _, found in rows)
+
+
+def test_links_do_not_depend_on_blocks(spark, monkeypatch):
+    rows, expected = sharing_a_logo(30, 12)
+    described = spark.createDataFrame(rows + rows[:7], "node long, found binary")
+    plain = media.keyed(described.distinct())
+    side = lambda name: plain.select("key", plain["node"].alias(name), plain["spot"].alias(f"spot_{name}"))
+    met = {tuple(r) for r in media.candidates(side("a").join(side("b"), "key").where("a < b")).collect()}
+    assert len(met) == 42 * 41 // 2
+    for blocks, images, meetings in ((1, 256, 1 << 20), (2, 3, 50), (7, 1, 999)):
+        monkeypatch.setattr(media, "TOGETHER", images)
+        monkeypatch.setattr(media, "MEETINGS", meetings)
+        got = [tuple(r) for r in media.pair_links(described, sum(len(found) for _, found in rows) // blocks + 1).collect()]
+        assert len(got) == len(expected) and set(got) == expected
+    found = [np.frombuffer(x, media.DESCRIPTOR) for _, x in rows]
+    at = np.array([node for node, _ in rows])
+    for one, two, same in ((found, found, True), (found[:20], found[20:], False)):
+        pairs = [(i, j + (0 if same else 20)) for part in media._met(one, two, at, same) for i, j in zip(*part, strict=True)]
+        assert len(pairs) == len(set(pairs))
+        assert {tuple(sorted((at[i], at[j]))) for i, j in pairs} == {x for x in met if same or (list(at).index(x[0]) < 20) != (list(at).index(x[1]) < 20)}
+
+
 def test_images_without_an_id_keep_their_own_class(spark):
     pixels = np.rint(media.render(np.random.default_rng(3).normal(0, 0.12, 64))).astype(np.uint8)
     rows = [(None, 96, 96, pixels.tobytes()), (7, 96, 96, pixels.tobytes()), (None, 96, 96, pixels[::-1].tobytes()), (8, 2, 2, b"ab")]
