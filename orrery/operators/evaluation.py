@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.tables import tasks
+
 
 def risk_coverage(items: DataFrame, group: list[str]) -> DataFrame:
     """``group, k, coverage, risk``: error rate of the k most confident items, abstained ones last.
@@ -114,6 +116,8 @@ def hashed_share_sql(id_: str, trial: str, seed: int) -> str:
 
 #: Trials of a control, the width of the noise, and the tails that bound it.
 TRIALS, NOISE, LOW, HIGH = 4000, 1e-3, 0.05, 0.95
+#: Trials for which an item is shuffled once.
+TOGETHER = 50
 
 
 def observed_ranks(items: DataFrame, group: list[str], family: str) -> DataFrame:
@@ -126,11 +130,19 @@ def random_control(items: DataFrame, group: list[str], trials: int = TRIALS, see
 
     items: id, rank, correct, abstained. Every trial orders a group by rank and, within a rank, by hashed noise;
     trials are rows, so a trial of a group is one window, and what is gathered of a group is one number a trial.
+    Items are dealt once for ``TOGETHER`` trials, and become rows of each trial where these are ordered.
     """
-    dealt = items.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))).alias("trial"))
-    noisy = dealt.withColumn("confidence", F.col("rank") + hashed_share(F.col("id"), F.col("trial"), seed) * NOISE)
-    curve = risk_coverage(noisy, [*group, "trial"])
-    each = curve.groupBy(*group, "trial").agg(F.avg("risk").alias("aurc"))
+    blocks = -(-trials // TOGETHER)
+    own = items.select(*group, "id", "rank", "correct", "abstained", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    # as many more partitions as there are blocks, as their rows grow after they are dealt
+    dealt = own.repartition(tasks(items.sparkSession) * blocks, *group, "block")
+    last = F.least((F.col("block") + 1) * TOGETHER, F.lit(trials)) - 1
+    noisy = dealt.select("*", F.explode(F.sequence(F.col("block") * TOGETHER, last)).alias("trial"))
+    noisy = noisy.select(*group, "block", "trial", "id", "correct", "abstained", (F.col("rank") + hashed_share(F.col("id"), F.col("trial"), seed) * NOISE).alias("confidence"))
+    by = Window.partitionBy(*group, "block", "trial").orderBy(F.col("abstained").asc(), F.desc("confidence"), F.col("correct").asc(), F.col("id"))
+    errors = F.sum((~F.col("correct")).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    risks = noisy.select(*group, "block", "trial", (errors / F.row_number().over(by)).alias("risk"))
+    each = risks.groupBy(*group, "block", "trial").agg(F.avg("risk").alias("aurc"))
     at = lambda share: F.element_at(F.array_sort(F.collect_list("aurc")), int(share * trials) + 1)
     return each.groupBy(*group).agg(F.avg("aurc").alias("mean"), F.stddev_pop("aurc").alias("stdev"), at(LOW).alias("p05"), at(HIGH).alias("p95"))
 

@@ -12,16 +12,18 @@ from orrery.sources.tables import settled
 MASK = "scene_id long, p long, v long"
 
 
-def executions(spark, run):
-    """What ``run`` executed: the plans' texts and the records that their shuffles wrote."""
+def executions(spark, run, planned=False):
+    """What ``run`` executed: the plans' texts and the records that their shuffles wrote; only ``planned`` joins may broadcast."""
     store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
     bus.waitUntilEmpty()
     seen = store.executionsCount()
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m" if planned else "-1")
     try:
         run()
     finally:
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     bus.waitUntilEmpty()
     listed = store.executionsList()
     plans, records = [], 0
@@ -52,7 +54,7 @@ def broadcast_explosions(plan: str) -> int:
 
 @pytest.mark.parametrize("name", ["mask_iou", "ar_at_k", "bank_dedupe", "components", "edge_confidence", "fused_bank", "iou_match", "failure_classes", "exact_recall", "lifted_masks", "oracle_coverage", "over_segmentation", "overlap_matches", "expanded_answers"])
 def test_exploded_rows_are_not_broadcast(spark, name):
-    plans, _ = executions(spark, lambda: queries()[name](spark, SMALL).collect())
+    plans, _ = executions(spark, lambda: queries()[name](spark, SMALL).collect(), planned=True)
     assert plans and sum(map(broadcast_explosions, plans)) == 0
 
 

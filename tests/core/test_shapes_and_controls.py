@@ -95,3 +95,16 @@ def test_what_is_put_off_does_not_read_as_nothing(spark):
     assert got["sing"] == ("no", "verbalizer_abstain")
     assert got["what is near the cup?"] == (reasoner.UNSURE, "rules_compiler")
     assert got["what is on the desk?"][0] == "Nothing in the scene matches that."
+
+
+def test_items_are_not_shuffled_once_a_trial(spark):
+    from tests.core.test_mask_words import executions
+
+    from orrery.sources.tables import settled
+
+    rows = settled(spark.createDataFrame([(0, k, float(k % 3), k % 4 != 0, k % 11 == 0) for k in range(100)], "scene_id long, id long, rank double, correct boolean, abstained boolean"), "items")
+    got = []
+    _, records = executions(spark, lambda: got.extend(evaluation.random_control(rows, ["scene_id"], 120, 5).collect()))
+    assert len(got) == 1
+    # 12,000 rows of items and trials
+    assert records < 2000
