@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
+from orrery.sources.tables import apart
 
 
 def _cells(df: DataFrame, low: list[Column], high: list[Column], cell: float, tag: str) -> DataFrame:
@@ -54,7 +55,7 @@ def footprints_meeting(targets: DataFrame, under: DataFrame, cell: float = 1.0)
             out = out.withColumn(f"{name}_cell_{k}", first).withColumn(f"cell_{k}", F.explode(F.sequence(first, last)))
         return out
 
-    met = dealt(targets, "t").join(dealt(under, "s"), ["scene_id", "cell_x", "cell_y"])
+    met = dealt(targets, "t").join(apart(dealt(under, "s")), ["scene_id", "cell_x", "cell_y"])
     first = [F.col(f"cell_{k}") == F.greatest(f"t_cell_{k}", f"s_cell_{k}") for k in "xy"]
     touching = [F.col(f"{a}_{k}0") <= F.col(f"{b}_{k}1") for k in "xy" for a, b in ("ts", "st")]
     for clause in (*first, *touching):

@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.greedy import losers
-from orrery.operators.masks import overlaps, resolve, sizes
-from orrery.sources.tables import settled
+from orrery.operators.masks import counted_words, overlaps, resolve, resolved, sizes
+from orrery.sources.tables import apart, settled
 
 #: Least score of the base, the priority of what is left out, and what lifts a mask above its parent.
 BASE_SCORE, EXCLUDED, LIFT = 0.2, -1.0, 1e-6
@@ -63,11 +63,11 @@ def decomposed(pairs: DataFrame, proposals: DataFrame, rule: Decomposition = Dec
     """
     base = proposals.where(F.col("score") >= BASE_SCORE).select("scene_id", F.col("p").alias("parent"), "score")
     inside = directed(pairs).where(_inside(rule.contained, rule.size) & (F.col("child_size") >= least_size))
-    children = settled(inside.join(base, ["scene_id", "parent"]), "children")
+    children = settled(inside.join(apart(base), ["scene_id", "parent"]), "children")
     side = lambda name: children.select("scene_id", "parent", F.col("child").alias(name), F.col("child_size").alias(f"{name}_size"))
     # two children of a parent can only clash if they share vertices, so pairs come from the overlaps
     strong = pairs.where(F.col("shared") / F.least("size_p", "size_q") > rule.shared).select("scene_id", "p", "q")
-    met = strong.join(side("p"), ["scene_id", "p"]).join(side("q"), ["scene_id", "q", "parent"])
+    met = strong.join(apart(side("p")), ["scene_id", "p"]).join(apart(side("q")), ["scene_id", "q", "parent"])
     first = (F.col("p_size") > F.col("q_size")) | ((F.col("p_size") == F.col("q_size")) & (F.col("p") < F.col("q")))
     clash = met.select("scene_id", "parent", F.when(first, F.col("p")).otherwise(F.col("q")).alias("better"), F.when(first, F.col("q")).otherwise(F.col("p")).alias("worse"))
     kept = children.join(losers(clash, ["scene_id", "parent"]).withColumnRenamed("node", "child"), ["scene_id", "parent", "child"], "left_anti")
@@ -86,7 +86,7 @@ def repair_v1(masks: DataFrame, proposals: DataFrame, rule: Decomposition = Deco
     suspect = found.select("scene_id", F.col("parent").alias("p")).distinct().withColumn("suspect", F.lit(True))
     own = proposals.select("scene_id", "p", "score")
     child = found.groupBy("scene_id", F.col("child").alias("p")).agg(F.max("score").alias("lifted"))
-    every = own.join(sizes(masks), ["scene_id", "p"], "left").join(suspect, ["scene_id", "p"], "left").join(child, ["scene_id", "p"], "left")
+    every = own.join(apart(sizes(masks)), ["scene_id", "p"], "left").join(apart(suspect), ["scene_id", "p"], "left").join(apart(child), ["scene_id", "p"], "left")
     base = F.when((F.col("score") >= BASE_SCORE) & F.col("size").isNotNull() & F.col("suspect").isNull(), F.col("score")).otherwise(EXCLUDED)
     priority = F.greatest(base, F.when(F.col("lifted").isNotNull(), F.greatest("score", "lifted")))
     return every.select("scene_id", "p", priority.alias("priority"), F.coalesce("suspect", F.lit(False)).alias("suspect"), F.col("lifted").isNotNull().alias("admitted"))
@@ -106,7 +106,7 @@ def promoted(pairs: DataFrame, proposals: DataFrame, rule: Carving, decompose: D
     """
     base = proposals.where(F.col("score") >= BASE_SCORE).select("scene_id", F.col("p").alias("parent"), "score")
     known = corroborated(pairs, rule.iou).where(F.col("others") >= rule.others).select("scene_id", F.col("p").alias("child"))
-    carved = directed(pairs).where(_inside(contained, rule.size) & (F.col("child_size") >= least_size)).join(known, ["scene_id", "child"], "left_semi").join(base, ["scene_id", "parent"])
+    carved = directed(pairs).where(_inside(contained, rule.size) & (F.col("child_size") >= least_size)).join(apart(known), ["scene_id", "child"], "left_semi").join(apart(base), ["scene_id", "parent"])
     lifted = carved.select("scene_id", F.col("child").alias("p"), (F.col("score") + LIFT).alias("lift"), F.lit("carveout").alias("mechanism"))
     if decompose is not None:
         split = decomposed(pairs, proposals, decompose, least_size)
@@ -114,7 +114,7 @@ def promoted(pairs: DataFrame, proposals: DataFrame, rule: Carving, decompose: D
     # of equal lifts decomposition counts, as it is judged first
     best = lifted.groupBy("scene_id", "p").agg(F.max(F.struct("lift", "mechanism")).alias("best")).select("scene_id", "p", "best.*")
     own = F.when(F.col("score") >= BASE_SCORE, F.col("score")).otherwise(EXCLUDED)
-    every = proposals.select("scene_id", "p", "score").join(best, ["scene_id", "p"], "left").withColumn("own", own)
+    every = proposals.select("scene_id", "p", "score").join(apart(best), ["scene_id", "p"], "left").withColumn("own", own)
     higher = F.coalesce(F.col("lift") > F.col("own"), F.lit(False))
     return every.select("scene_id", "p", F.when(higher, F.col("lift")).otherwise(F.col("own")).alias("priority"), F.when(higher, F.col("mechanism")).alias("mechanism"))
 
@@ -122,8 +122,8 @@ def promoted(pairs: DataFrame, proposals: DataFrame, rule: Carving, decompose: D
 def retained(masks: DataFrame, priorities: DataFrame, least: float, least_size: int = 20) -> DataFrame:
     """``scene_id, v, p``: resolve by priority, put aside masks that keep under ``least`` of their vertices, and resolve again."""
     ranked = settled(priorities.where(F.col("priority") >= 0).select("scene_id", "p", F.col("priority").alias("score")), "priorities")
-    first = sizes(resolve(masks, ranked, 0.0, least_size)).withColumnRenamed("size", "won")
-    share = ranked.join(sizes(masks), ["scene_id", "p"]).join(first, ["scene_id", "p"], "left")
+    first = resolved(masks, ranked, 0.0, least_size).groupBy("scene_id", "p").agg(F.max("size").alias("won"))
+    share = ranked.join(apart(sizes(masks)), ["scene_id", "p"]).join(apart(first), ["scene_id", "p"], "left")
     stays = share.where(F.coalesce("won", F.lit(0)) / F.col("size") >= least).select("scene_id", "p", "score")
     return resolve(masks, stays, 0.0, least_size)
 
@@ -143,7 +143,9 @@ def repair_v3(masks: DataFrame, proposals: DataFrame, rule: Carving = CARVE_NARR
 def raw_boxes(masks: DataFrame, vertices: DataFrame) -> DataFrame:
     """``scene_id, p, n`` and the box and centroid of each mask's own vertices, before any composition."""
     ends = [f(k).alias(f"{k}{n}") for n, f in ((0, F.min), (1, F.max)) for k in "xyz"]
-    boxes = masks.join(vertices, ["scene_id", "v"]).groupBy("scene_id", "p").agg(F.count(F.lit(1)).alias("n"), *ends)
+    # masks meet the vertices as words, so that a vertex is shuffled once and not for each mask
+    held = counted_words(masks, ["p"]).join(apart(vertices.withColumn("word", F.expr("shiftright(v, 6)"))), ["scene_id", "word"]).where("getbit(bits, cast(v & 63 as int)) = 1")
+    boxes = held.groupBy("scene_id", "p").agg(F.sum("times").alias("n"), *ends)
     return boxes.withColumns({f"c{k}": (F.col(f"{k}0") + F.col(f"{k}1")) / 2 for k in "xyz"})
 
 
@@ -153,9 +155,9 @@ def expanded(assignment: DataFrame, masks: DataFrame, selected: DataFrame, prote
     Vertices of ``protected`` instances (scene_id, p) are locked; of two selected masks the one of
     greater score (then lower id) has a vertex; instances left with under ``least_size`` vertices go.
     """
-    locked = assignment.join(protected.select("scene_id", "p").distinct(), ["scene_id", "p"], "left_semi").select("scene_id", "v")
-    free = masks.join(selected.select("scene_id", "p", "score"), ["scene_id", "p"]).join(locked, ["scene_id", "v"], "left_anti")
+    locked = assignment.join(apart(protected.select("scene_id", "p").distinct()), ["scene_id", "p"], "left_semi").select("scene_id", "v")
+    free = masks.join(apart(selected.select("scene_id", "p", "score")), ["scene_id", "p"]).join(apart(locked), ["scene_id", "v"], "left_anti")
     claims = free.groupBy("scene_id", "v").agg(F.min(F.struct((-F.col("score")).alias("s"), "p")).alias("best")).select("scene_id", "v", F.col("best.p").alias("p"))
-    whole = claims.unionByName(assignment.select("scene_id", "v", "p").join(claims, ["scene_id", "v"], "left_anti"))
+    whole = claims.unionByName(assignment.select("scene_id", "v", "p").join(apart(claims), ["scene_id", "v"], "left_anti"))
     large = sizes(whole).where(F.col("size") >= least_size)
-    return whole.join(large, ["scene_id", "p"], "left_semi").select("scene_id", "v", "p")
+    return whole.join(apart(large), ["scene_id", "p"], "left_semi").select("scene_id", "v", "p")

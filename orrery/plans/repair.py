@@ -10,7 +10,7 @@ from orrery.operators import masks as m
 from orrery.operators import repair as ops
 from orrery.operators.boxjoin import footprints_meeting
 from orrery.plans.masks import _POLICY, PRELUDE, masks, proposals
-from orrery.sources.tables import settled
+from orrery.sources.tables import apart, settled
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -124,13 +124,13 @@ def expanded_answers(spark: SparkSession, sf: str) -> DataFrame:
     view = settled(m.policy_view(raw, scored, ACCEPTED, PROVISIONAL), "policy")
     hard = settled(m.resolve(raw, scored, ACCEPTED), "hard")
     boxes = settled(ops.raw_boxes(raw, vertices(spark, sf)), "raw-boxes")
-    anchors = boxes.join(view.where("state = 'accepted' and hard > 0 and p % 4 = 0"), ["scene_id", "p"], "left_semi")
-    candidates = boxes.join(view.where("raw_candidate").select("scene_id", "p", "score"), ["scene_id", "p"])
+    anchors = boxes.join(apart(view.where("state = 'accepted' and hard > 0 and p % 4 = 0")), ["scene_id", "p"], "left_semi")
+    candidates = boxes.join(apart(view.where("raw_candidate").select("scene_id", "p", "score")), ["scene_id", "p"])
     # an anchor carries on the top of its box
     tops = anchors.withColumns({"z0": F.col("z1"), "a": F.lit(0.0), "b": F.lit(0.0), "c": F.lit(1.0), "d": -F.col("z1")})
     pairs = settled(footprints_meeting(candidates, tops), "candidates-over-anchors").withColumnRenamed("t", "e")
     chosen = settled(contact.rest_contact(pairs).where("ok").select("scene_id", "e.p", "e.score").distinct(), "chosen")
     after = m.sizes(ops.expanded(hard, raw, chosen, anchors)).withColumnRenamed("size", "after")
-    every = m.sizes(hard).withColumnRenamed("size", "before").join(after, ["scene_id", "p"], "full")
-    every = every.join(chosen.select("scene_id", "p", F.lit(True).alias("selected")), ["scene_id", "p"], "full").join(anchors.select("scene_id", "p", F.lit(True).alias("anchor")), ["scene_id", "p"], "left")
+    every = m.sizes(hard).withColumnRenamed("size", "before").join(apart(after), ["scene_id", "p"], "full")
+    every = every.join(chosen.select("scene_id", "p", F.lit(True).alias("selected")), ["scene_id", "p"], "full").join(apart(anchors.select("scene_id", "p", F.lit(True).alias("anchor"))), ["scene_id", "p"], "left")
     return every.fillna(0, ["before", "after"]).fillna(False, ["selected", "anchor"])
